@@ -138,7 +138,7 @@ def day_arrays(seasons: DataFrame, daily: DataFrame, entity: Sequence[str], keys
     joined = spread.join(daily.select(*entity, "day", *columns), [*entity, "day"], "left")
     rows = joined.groupBy(*keys).agg(F.first("cohorts").alias("cohorts"),
                                      F.array_sort(F.collect_list(F.struct("day", *columns))).alias("_a"))
-    return rows.select(*keys, "cohorts", *[F.transform("_a", lambda r, c=c: r[c]).alias(c) for c in columns])
+    return rows.select(*keys, "cohorts", *[F.col(f"_a.{c}").alias(c) for c in columns])
 
 
 def run_length(flags: Column) -> Column:
@@ -185,13 +185,20 @@ def shock_features(seasons: DataFrame, daily: DataFrame, entity: Sequence[str],
         "pre_bloom_dry_run": over_cohorts(n, lambda i: run_length(part(dry, 0, 90)(i))),
         "early_dry_run": over_cohorts(n, lambda i: run_length(part(dry, 90, 30)(i))),
     }
+
+    def days_above(limit):
+        return lambda i: F.size(F.filter(part(x, 90, 30)(i), lambda v: v > limit))
+
     for limit in hot:
-        out[f"early_hot{limit:g}_days"] = over_cohorts(
-            n, lambda i, limit=limit: F.size(F.filter(part(x, 90, 30)(i), lambda v: v > limit)))
+        out[f"early_hot{limit:g}_days"] = over_cohorts(n, days_above(limit))
     out[f"early_hot{hot[0]:g}_run"] = over_cohorts(
         n, lambda i: run_length(F.transform(part(x, 90, 30)(i), lambda v: v > hot[0])))
+
+    def largest(k):
+        return lambda i: F.array_max(F.slice(F.col(f"_s{k}"), i + 91, age - k + 1))
+
     for k in (3, 7):
-        out[f"fruit_rx{k}"] = over_cohorts(n, lambda i, k=k: F.array_max(F.slice(F.col(f"_s{k}"), i + 91, age - k + 1)))
+        out[f"fruit_rx{k}"] = over_cohorts(n, largest(k))
     staged = days.withColumns({f"_s{k}": sliding(r, k) for k in (3, 7)})
     return staged.select(*keys, *[F.when(_complete(rain, tmax), c).alias(n_) for n_, c in out.items()])
 
@@ -386,7 +393,8 @@ def interval_features(seasons: DataFrame, intervals: DataFrame, entity: Sequence
                       start: str, end: str, min_coverage: float = 50.0) -> DataFrame:
     """Overlap-weighted interval values over the pre-bloom and fruit windows of all cohorts."""
     density = (
-        intervals.where(F.col(value).isNotNull()).select(*entity, F.explode(F.sequence(start, end)).alias("day"), value)
+        intervals.where(F.col(value).isNotNull() & (F.col(end) >= F.col(start)))
+        .select(*entity, F.explode(F.sequence(start, end)).alias("day"), value)
         .groupBy(*entity, "day").agg(F.count("*").alias("_n"), F.sum(value).alias("_v")))
     cells = stage_cells(seasons, keys, [age], {"pre_bloom": (-90, 0), "fruit": (0, None)})
     joined = cells.join(density, [*entity, "day"], "left")

@@ -149,7 +149,7 @@ def interval_exposure(windows: DataFrame, intervals: DataFrame, by: Sequence[str
     """
     by = list(by)
     daily = (
-        intervals.where(F.col(value).isNotNull())
+        intervals.where(F.col(value).isNotNull() & (F.col(interval_end) >= F.col(interval_start)))
         .select(*by, F.explode(F.sequence(interval_start, interval_end)).alias("_day"), value)
         .groupBy(*by, "_day").agg(F.count("*").alias("_n"), F.sum(value).alias("_v"))
     )

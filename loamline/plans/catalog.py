@@ -1,4 +1,6 @@
 """Importing the query modules fills the registry."""
 
-from loamline.plans import q_functions, q_joins, q_quality, q_sources, q_windows  # noqa: F401
+from loamline.plans import (  # noqa: F401
+    q_aggregates, q_features, q_functions, q_joins, q_quality, q_sources, q_spatial, q_windows,
+)
 from loamline.plans.registry import REGISTRY  # noqa: F401

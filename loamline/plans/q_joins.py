@@ -112,13 +112,13 @@ def _(t):
 
 
 @query("j08_asof_global", "ord sensor", """
-    with d as (select start_date + interval 9125 day as at, count(*) as n, max(state) as state from ord group by all)
-    select event_id, case when m is null then 'none' when d.n > 1 then 'ambiguous' else 'ok' end as status from (select s.event_id, (select max(at) from d where at < s.recorded_at) as m from sensor s)
-    left join d on d.at = m""")
+    with d as (select start_date + interval 9125 day as pub, count(*) as n, max(state) as state from ord group by all)
+    select event_id, case when m is null then 'none' when d.n > 1 then 'ambiguous' else 'ok' end as status from (select s.event_id, (select max(pub) from d where pub < s.recorded_at) as m from sensor s)
+    left join d on d.pub = m""")
 def _(t):
-    docs = t.ord.select(F.date_add("start_date", 9125).cast("timestamp_ntz").alias("at"), "state")
+    docs = t.ord.select(F.date_add("start_date", 9125).cast("timestamp_ntz").alias("pub"), "state")
     left = t.sensor.select("event_id", "recorded_at")
-    out = J.asof_join(left, docs, [], "recorded_at", "at", 100 * 365 * 86400, True, ["state"])
+    out = J.asof_join(left, docs, [], "recorded_at", "pub", 100 * 365 * 86400, True, ["state"])
     return out.select("event_id", F.col("asof_status").alias("status"))
 
 

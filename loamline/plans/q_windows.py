@@ -362,7 +362,7 @@ def _(t):
     r as (select *, sum(brk) over (partition by device_id order by recorded_at, event_id rows unbounded preceding) as run from b),
     m as (select *, date_diff('microsecond', min(recorded_at) over (partition by device_id, run), recorded_at) / 6e7 >= 360 as stuck from r),
     h as (select device_id, to_timestamp(ceil(epoch_us(recorded_at) / 3600000000) * 3600) as hour, avg(case when not stuck then soil end) as soil, avg(case when not stuck then rh end) as rh from m group by all)
-    select device_id, strftime(cast(hour as timestamp), '%Y-%m-%d') as day, cast(count(soil) as bigint) as hours, round(avg(soil), 4) as mean_soil,
+    select device_id, strftime(cast(hour as timestamp), '%Y-%m-%d') as day, cast(count(soil) as bigint) as hours, round(avg(soil), 7) as mean_soil,
         cast(count(*) filter (soil >= 43.5 and rh >= 75) as bigint) as alerts,
         case when count(*) filter (soil >= 43.5 and rh >= 75) >= 0.5 * count(soil) then 'high' when count(*) filter (soil >= 43.5 and rh >= 75) >= 0.2 * count(soil) then 'medium' else 'low' end as risk_level
     from h group by all having count(soil) > 0""")
@@ -374,4 +374,4 @@ def _(t):
     out = hourly.groupBy("device_id", F.to_date("hour").alias("day")).agg(
         F.count("soil").alias("hours"), F.avg("soil").alias("mean_soil"), F.count_if(alert).alias("alerts")).where("hours > 0")
     level = F.when(F.col("alerts") >= 0.5 * F.col("hours"), "high").when(F.col("alerts") >= 0.2 * F.col("hours"), "medium").otherwise("low")
-    return out.select("device_id", day("day"), "hours", F.round("mean_soil", 4).alias("mean_soil"), "alerts", level.alias("risk_level"))
+    return out.select("device_id", day("day"), "hours", F.round("mean_soil", 7).alias("mean_soil"), "alerts", level.alias("risk_level"))
