@@ -171,36 +171,41 @@ def _complete(*arrays: str) -> Column:
     return test
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and use it in ``fn``: a plain column reference inside a lambda would be
+    evaluated again for every element."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def shock_features(seasons: DataFrame, daily: DataFrame, entity: Sequence[str], keys: Sequence[str], age: int,
                    rain: str = "rain_mm", tmax: str = "t_max", dry_mm: float = 1, hot: Sequence[float] = (35, 38)) -> DataFrame:
     """Cohort means of dry runs, hot days, hot runs and the largest 3- and 7-day rain. Null when a day is missing."""
     days = day_arrays(seasons, daily, entity, keys, age, -90, age, [rain, tmax])
     r, x, n = F.col(rain), F.col(tmax), F.col("cohorts")
-    dry = F.transform(r, lambda v: v < dry_mm)
-
-    def part(array, offset, length):
-        return lambda i: F.slice(array, i + 1 + offset, length)
+    shared = F.struct(
+        F.transform(r, lambda v: v < dry_mm).alias("dry"), *[
+            F.transform(x, lambda v: v > limit).alias(f"hot{k}") for k, limit in enumerate(hot)],
+        sliding(r, 3).alias("s3"), sliding(r, 7).alias("s7"))
 
-    out = {
-        "pre_bloom_dry_run": over_cohorts(n, lambda i: run_length(part(dry, 0, 90)(i))),
-        "early_dry_run": over_cohorts(n, lambda i: run_length(part(dry, 90, 30)(i))),
-    }
+    def features(s):
+        def window_run(name, offset, length):
+            return over_cohorts(n, lambda i: run_length(F.slice(s[name], i + 1 + offset, length)))
 
-    def days_above(limit):
-        return lambda i: F.size(F.filter(part(x, 90, 30)(i), lambda v: v > limit))
+        def window_days(name):
+            return over_cohorts(n, lambda i: F.size(F.filter(F.slice(s[name], i + 91, 30), lambda v: v)))
 
-    for limit in hot:
-        out[f"early_hot{limit:g}_days"] = over_cohorts(n, days_above(limit))
-    out[f"early_hot{hot[0]:g}_run"] = over_cohorts(
-        n, lambda i: run_length(F.transform(part(x, 90, 30)(i), lambda v: v > hot[0])))
+        def largest(k):
+            return over_cohorts(n, lambda i: F.array_max(F.slice(s[f"s{k}"], i + 91, age - k + 1)))
 
-    def largest(k):
-        return lambda i: F.array_max(F.slice(F.col(f"_s{k}"), i + 91, age - k + 1))
+        out = {"pre_bloom_dry_run": window_run("dry", 0, 90), "early_dry_run": window_run("dry", 90, 30)}
+        for k, limit in enumerate(hot):
+            out[f"early_hot{limit:g}_days"] = window_days(f"hot{k}")
+        out[f"early_hot{hot[0]:g}_run"] = window_run("hot0", 90, 30)
+        out |= {"fruit_rx3": largest(3), "fruit_rx7": largest(7)}
+        return F.struct(*[c.alias(name) for name, c in out.items()])
 
-    for k in (3, 7):
-        out[f"fruit_rx{k}"] = over_cohorts(n, largest(k))
-    staged = days.withColumns({f"_s{k}": sliding(r, k) for k in (3, 7)})
-    return staged.select(*keys, *[F.when(_complete(rain, tmax), c).alias(n_) for n_, c in out.items()])
+    done_rows = days.select(*keys, F.when(_complete(rain, tmax), let(shared, features)).alias("_f"))
+    return done_rows.select(*keys, "_f.*")
 
 
 def critical_features(seasons: DataFrame, daily: DataFrame, entity: Sequence[str], keys: Sequence[str], age: int,
@@ -209,26 +214,30 @@ def critical_features(seasons: DataFrame, daily: DataFrame, entity: Sequence[str
     """Days 30..50 after bloom: dry run, hot days, hot run, heavy rain after a dry week, heat x dry."""
     days = day_arrays(seasons, daily, entity, keys, age, 23, 51, [rain, tmax])
     r, x, n = F.col(rain), F.col(tmax), F.col("cohorts")
-    dry = F.transform(r, lambda v: v < dry_mm)
-    is_hot = F.transform(x, lambda v: v > hot)
-
-    def dry_run(i):
-        return run_length(F.slice(dry, i + 8, 21))
-
-    def heat(i):
-        return F.size(F.filter(F.slice(is_hot, i + 8, 21), lambda v: v))
-
-    # A surge day is judged once per calendar day: wet after seven dry days.
-    surge = F.transform(F.sequence(F.lit(8), F.size(r)), lambda p: (F.element_at(r, p) >= wet_mm) & F.forall(
-        F.slice(dry, p - 7, 7), lambda v: v))
-    out = {
-        "dry_run": over_cohorts(n, dry_run), "hot_days": over_cohorts(n, heat),
-        "hot_run": over_cohorts(n, lambda i: run_length(F.slice(is_hot, i + 8, 21))),
-        "rain_after_dry": over_cohorts(n, lambda i: F.size(F.filter(F.slice(F.col("_surge"), i + 1, 21), lambda v: v))),
-        "heat_x_dry": over_cohorts(n, lambda i: heat(i) * dry_run(i)),
-    }
-    staged = days.withColumn("_surge", surge)
-    return staged.select(*keys, *[F.when(_complete(rain, tmax), c).alias(n_) for n_, c in out.items()])
+    flags = F.struct(F.transform(r, lambda v: v < dry_mm).alias("dry"), F.transform(r, lambda v: v >= wet_mm).alias("wet"),
+                     F.transform(x, lambda v: v > hot).alias("hot"))
+
+    def with_surge(f):
+        # A surge day is judged once per calendar day: wet after seven dry days.
+        surge = F.transform(F.sequence(F.lit(8), F.size(f["wet"])), lambda p: F.element_at(f["wet"], p) & F.forall(
+            F.slice(f["dry"], p - 7, 7), lambda v: v))
+        return let(F.struct(f["dry"].alias("dry"), f["hot"].alias("hot"), surge.alias("surge")), features)
+
+    def features(s):
+        def dry_run(i):
+            return run_length(F.slice(s["dry"], i + 8, 21))
+
+        def count(name, i, offset):
+            return F.size(F.filter(F.slice(s[name], i + offset, 21), lambda v: v))
+
+        return F.struct(
+            over_cohorts(n, dry_run).alias("dry_run"), over_cohorts(n, lambda i: count("hot", i, 8)).alias("hot_days"),
+            over_cohorts(n, lambda i: run_length(F.slice(s["hot"], i + 8, 21))).alias("hot_run"),
+            over_cohorts(n, lambda i: count("surge", i, 1)).alias("rain_after_dry"),
+            over_cohorts(n, lambda i: count("hot", i, 8) * dry_run(i)).alias("heat_x_dry"))
+
+    done_rows = days.select(*keys, F.when(_complete(rain, tmax), let(flags, with_surge)).alias("_f"))
+    return done_rows.select(*keys, "_f.*")
 
 
 def trigger_windows(seasons: DataFrame, searched: DataFrame, keys: Sequence[str], age: int, lag: int = 50, tol: int = 30

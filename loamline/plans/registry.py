@@ -33,7 +33,9 @@ def query(name: str, uses: str = "", sql: str | None = None):
         if sql is not None:
             head = oracle_with(tuple(uses.split()))
             body = sql.strip()
-            if head and body[:5].lower() == "with ":
+            if head and body[:15].lower() == "with recursive ":
+                text = f"with recursive {head},\n{body[15:]}"
+            elif head and body[:5].lower() == "with ":
                 text = f"with {head},\n{body[5:]}"
             elif head:
                 text = f"with {head}\n{body}"
