@@ -39,17 +39,18 @@ STATE = StructType([StructField("signature", StringType()), StructField("run_sta
 
 
 def stream_flatline(stream: DataFrame, by: Sequence[str], ts: str, event: str, signature: Sequence[str], minutes: float = 60,
-                    max_gap_s: float = 1800, expire_s: int = 7 * 86400) -> DataFrame:
+                    max_gap_s: float = 1800, delay: str = "1 hour", expire_s: int = 7 * 86400) -> DataFrame:
     """Online stuck-sensor flag with per-device state: signature, start of the run, last time.
 
     Batches must arrive in time order; inside a batch the rows of a device are sorted. Only the rows of one
-    device in one micro-batch meet in a task. State of a silent device is dropped after ``expire_s``.
+    device in one micro-batch meet in a task. State of a silent device is dropped ``expire_s`` of event time later.
     """
     known = F.lit(True)
     for c in signature:
         known = known & F.col(c).isNotNull()
     text = F.when(known, F.to_json(F.struct(*signature)))
-    rows = stream.select(*by, event, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), text.alias("_sig"))
+    rows = stream.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", delay).select(
+        *by, event, "_t", F.unix_micros("_t").alias("_us"), text.alias("_sig"))
     keys = [f for f in rows.schema.fields if f.name in by]
     event_field = rows.schema[event]
     schema = StructType([*keys, StructField(event, event_field.dataType), StructField("flatline_online", BooleanType())])
@@ -69,12 +70,12 @@ def stream_flatline(stream: DataFrame, by: Sequence[str], ts: str, event: str, s
             sig, last = now, us
             flags.append(now is not None and us - start >= limit)
         state.update((sig, start, last))
-        state.setTimeoutDuration(expire_s * 1000)
+        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + expire_s * 1000)
         out = batch[[*by, event]].copy()
         out["flatline_online"] = flags
         yield out
 
-    return rows.groupBy(*by).applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(*by).applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_episodes(stream: DataFrame, by: Sequence[str], ts: str, value: str, threshold: float, gap: str, delay: str) -> DataFrame:
