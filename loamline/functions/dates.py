@@ -26,7 +26,8 @@ def ce_to_be(year) -> Column:
 def thai_date(c) -> Column:
     """ISO text, or day-month-year with Thai or numeric months and 2- or 4-digit years of either era."""
     text = F.trim(col(c))
-    parts = F.split(text, r"[-/\s]+")
+    split = F.split(text, r"[-/\s]+")
+    parts = [F.get(split, F.lit(i)) for i in range(3)]
     pairs = []
     for names in (THAI_MONTHS_SHORT, THAI_MONTHS_FULL):
         for number, name in enumerate(names, 1):
@@ -38,7 +39,7 @@ def thai_date(c) -> Column:
     iso = text.rlike(r"^\d{4}-\d{2}-\d{2}")
     return (
         F.when(iso, F.substring(text, 1, 10).try_cast("date"))
-        .when(F.size(parts) == 3, _checked_date(year, month, parts[0].try_cast("int")))
+        .when(F.size(split) == 3, _checked_date(year, month, parts[0].try_cast("int")))
     )
 
 

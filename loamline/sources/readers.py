@@ -30,8 +30,8 @@ def read_features(spark: SparkSession, path: str, properties: StructType, id_fie
                           StructField("properties", properties)])
     schema = StructType([StructField("features", ArrayType(feature))])
     rows = spark.read.json(path, schema=schema, multiLine=multi_line, mode="FAILFAST").select(F.explode("features").alias("f"))
-    rows = rows.select(f"f.{id_field}", F.struct(F.col("f.geometry.coordinates")[0].alias("lon"),
-                                                 F.col("f.geometry.coordinates")[1].alias("lat")).alias("point"),
+    rows = rows.select(f"f.{id_field}", F.struct(F.get("f.geometry.coordinates", F.lit(0)).alias("lon"),
+                                                 F.get("f.geometry.coordinates", F.lit(1)).alias("lat")).alias("point"),
                        "f.properties.*")
     counts = rows.groupBy(id_field).agg(F.count("*").alias("id_count"))
     return rows.join(counts, id_field)
