@@ -12,6 +12,7 @@ from loamline.functions.climate import close
 
 from loamline.operators.scan import Series, grouped_quantiles
 from loamline.operators.windows import stale_runs
+from loamline.session import cut_lineage
 
 
 def month_length(year, month) -> Column:
@@ -113,7 +114,8 @@ def robust_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     tall = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
                                               for c in columns])).alias("m")).select(*by, "m.*").where("value is not null")
     keys = [*by, "feature"]
-    quartiles = grouped_quantiles(tall, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    # One row per feature, used three times below: written once instead of computed three times.
+    quartiles = cut_lineage(grouped_quantiles(tall, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}))
     centred = tall.join(quartiles.select(*keys, "median"), keys).withColumn("dev", F.abs(F.col("value") - F.col("median")))
     mad = grouped_quantiles(centred, keys, "dev", {"mad": 0.5}).drop("n")
     span = tall.groupBy(*keys).agg((F.min("value") < F.max("value")).alias("_varies"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.operators.quality import require_unique
@@ -139,6 +139,26 @@ def vintage_asof(origins: DataFrame, forecasts: DataFrame, by: Sequence[str], or
     return left.join(best, [*by, "_o"], "left").drop("_o")
 
 
+def interval_density(intervals: DataFrame, by: Sequence[str], start: str, end: str, value: str) -> DataFrame:
+    """(by, day, n, v): how many known intervals cover each day and the sum of their values.
+
+    An interval adds at its first day and is taken off after its last one. The changes are summed per day
+    before the running sum, so its window holds at most one row per calendar day of an entity, and the work
+    does not grow with the length of the intervals.
+    """
+    known = intervals.where(F.col(value).isNotNull() & (F.col(end) >= F.col(start)))
+    v = F.col(value).cast("double")
+    changes = known.select(*by, F.explode(F.array(
+        F.struct(F.col(start).alias("day"), F.lit(1).alias("n"), v.alias("v")),
+        F.struct(F.date_add(end, 1).alias("day"), F.lit(-1).alias("n"), (-v).alias("v")))).alias("c")).select(*by, "c.*")
+    steps = changes.groupBy(*by, "day").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    w = Window.partitionBy(*by).orderBy("day")
+    until = w.rowsBetween(Window.unboundedPreceding, 0)
+    levels = steps.select(*by, "day", F.sum("n").over(until).alias("n"), F.sum("v").over(until).alias("v"),
+                          F.lead("day").over(w).alias("_next")).where("n > 0")
+    return levels.select(*by, F.explode(F.sequence(F.col("day"), F.date_sub("_next", 1))).alias("day"), "n", "v")
+
+
 def interval_exposure(windows: DataFrame, intervals: DataFrame, by: Sequence[str], window_id: Sequence[str],
                       start: str, stop: str, value: str, interval_start: str, interval_end: str,
                       min_coverage: float = 50.0) -> DataFrame:
@@ -148,11 +168,8 @@ def interval_exposure(windows: DataFrame, intervals: DataFrame, by: Sequence[str
     join with the window days is one to many whatever the number of intervals.
     """
     by = list(by)
-    daily = (
-        intervals.where(F.col(value).isNotNull() & (F.col(interval_end) >= F.col(interval_start)))
-        .select(*by, F.explode(F.sequence(interval_start, interval_end)).alias("_day"), value)
-        .groupBy(*by, "_day").agg(F.count("*").alias("_n"), F.sum(value).alias("_v"))
-    )
+    daily = interval_density(intervals, by, interval_start, interval_end, value).select(
+        *by, F.col("day").alias("_day"), F.col("n").alias("_n"), F.col("v").alias("_v"))
     days = windows.select(*by, *window_id, F.datediff(stop, start).alias("_len"),
                           F.explode(F.sequence(F.col(start), F.date_sub(stop, 1))).alias("_day"))
     joined = days.join(daily, [*by, "_day"], "left")

@@ -171,13 +171,12 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], column: str, probs: dict
     values = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_v"))
     names = list(probs)
     margin = 2.0 / accuracy
-    lo = F.array(*[F.lit(max(0.0, p - margin)) for p in probs.values()])
-    hi = F.array(*[F.lit(min(1.0, p + margin)) for p in probs.values()])
+    ends = F.array(*[F.lit(max(0.0, p - margin)) for p in probs.values()],
+                   *[F.lit(min(1.0, p + margin)) for p in probs.values()])
     sketch = values.groupBy(*by).agg(
         F.count("*").alias("_n"),
-        F.percentile_approx("_v", lo, F.lit(accuracy)).alias("_lo"),
-        F.percentile_approx("_v", hi, F.lit(accuracy)).alias("_hi"),
-    )
+        F.percentile_approx("_v", ends, F.lit(accuracy)).alias("_ends"),
+    ).select(*by, "_n", F.slice("_ends", 1, len(probs)).alias("_lo"), F.slice("_ends", len(probs) + 1, len(probs)).alias("_hi"))
     # Compress equal values before anything is ranked.
     counted = values.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
     joined = counted.join(sketch, by, "inner") if by else counted.crossJoin(F.broadcast(sketch))
@@ -213,8 +212,9 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], column: str, probs: dict
             k = F.floor(rank) + j
             pick.append(F.max(F.when(mine & (k >= start) & (k < end), F.col("_v"))).alias(f"_s{i}_{j}"))
         pick.append(F.max(F.when(mine, end)).alias(f"_e{i}"))
-    got = ranked.groupBy(*by).agg(*pick)
-    got = got.join(counts, by, "inner") if by else got.crossJoin(F.broadcast(counts))
+    # The counts travel along, so they are not joined a second time.
+    carried = ["_n", *[f"_{k}{i}" for i in range(len(names)) for k in "blh"]]
+    got = ranked.groupBy(*by).agg(*[F.first(c).alias(c) for c in carried], *pick)
     out = []
     for i, (name, p) in enumerate(probs.items()):
         rank = F.lit(p) * (F.col("_n") - 1)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loamline.operators import aggregates as A
 from loamline.operators import spatial as S
+from loamline.operators.windows import topk
 from loamline.plans.q_windows import ints
 from loamline.plans.registry import query
 
@@ -62,8 +63,7 @@ KM = """2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(r.lat - p.lat) / 2)
     d as (select p.point_id, p.province, r.point_id as sample, {KM} as km from pts p join r on r.province = p.province and r.n <= 4)
     select point_id, arg_min(sample, struct_pack(k := km, i := sample)) as sample_id, round(min(km), 6) as distance_km from d group by point_id""")
 def _(t):
-    reps = t.pts.groupBy("province").agg(F.slice(F.array_sort(F.collect_list(F.struct("point_id", "lat", "lon"))), 1, 4).alias("r"))
-    reps = reps.select("province", F.explode("r").alias("r")).select("province", F.col("r.point_id").alias("rep"), F.col("r.lat").alias("lat"), F.col("r.lon").alias("lon"))
+    reps = topk(t.pts, ["province"], [F.col("point_id")], 4).select("province", F.col("point_id").alias("rep"), "lat", "lon")
     return S.nearest_assign(t.pts, reps, ["province"], "rep").select("point_id", "sample_id", F.round("distance_km", 6).alias("distance_km"))
 
 

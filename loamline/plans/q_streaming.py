@@ -21,20 +21,22 @@ def folder(t) -> str:
     return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
-def replay(t, df, at: str, closing=()):
-    """Write the rows as one file set per period, oldest first, and read them back as a stream."""
+def replay(t, df, at: str, run, closing=()) -> None:
+    """Append the rows period by period, oldest first, and let the query process each period: ``run`` gets the
+    stream and continues from its own checkpoint, as a scheduled ingest job would."""
     path = folder(t)
     edges = [None, *CUTS, None]
+    parts = []
     for low, high in zip(edges, edges[1:]):
         part = df
         if low:
             part = part.where(F.col(at) >= F.lit(low).cast("timestamp_ntz"))
         if high:
             part = part.where(F.col(at) < F.lit(high).cast("timestamp_ntz"))
-        part.coalesce(1).write.mode("append").parquet(path)
-    for extra in closing:
-        extra.select(*df.columns).coalesce(1).write.mode("append").parquet(path)
-    return T.read_files(t.spark, path, df.schema)
+        parts.append(part)
+    for part in [*parts, *[c.select(*df.columns) for c in closing]]:
+        part.write.mode("append").parquet(path)
+        run(T.read_files(t.spark, path, df.schema, 10_000))
 
 
 def closing_rows(df, at: str):
@@ -43,17 +45,17 @@ def closing_rows(df, at: str):
     return [one.withColumns({"device_id": F.lit(-1).cast("long"), at: F.lit(d).cast("timestamp_ntz")}) for d in ("2024-03-01", "2024-03-02")]
 
 
-def finish(t, stream):
+def finish(t, df, at: str, transform, closing=()):
     out = folder(t)
-    T.run_to_end(stream, out, out + "-checkpoint")
+    replay(t, df, at, lambda s: T.run_to_end(transform(s), out, out + "-checkpoint"), closing)
     return t.spark.read.parquet(out)
 
 
 @query("t01_stream_dedupe", "sensor", "select event_id, device_id, soil from sensor")
 def _(t):
     rows = t.sensor.select("event_id", "device_id", "soil", F.col("recorded_at").cast("timestamp").alias("at"), F.col("recorded_at"))
-    stream = replay(t, rows.unionByName(rows), "recorded_at")
-    return finish(t, T.stream_dedupe(stream, ["event_id"], "at", "2 days")).select("event_id", "device_id", "soil")
+    out = finish(t, rows.unionByName(rows), "recorded_at", lambda s: T.stream_dedupe(s, ["event_id"], "at", "2 days"))
+    return out.select("event_id", "device_id", "soil")
 
 
 @query("t02_stream_hourly", "sensor", """
@@ -61,8 +63,8 @@ def _(t):
         round(avg(soil), 6) as soil, cast(count(soil) as bigint) as soil_n from sensor group by all""")
 def _(t):
     rows = t.sensor.select("device_id", "recorded_at", "soil")
-    stream = replay(t, rows, "recorded_at", closing_rows(rows, "recorded_at"))
-    out = finish(t, T.stream_hourly(stream, ["device_id"], "recorded_at", ["soil"], "1 hour", 1))
+    out = finish(t, rows, "recorded_at", lambda s: T.stream_hourly(s, ["device_id"], "recorded_at", ["soil"], "1 hour", 1),
+                 closing_rows(rows, "recorded_at"))
     return out.where("device_id >= 0").select("device_id", ts("hour").alias("hour"), F.round("soil", 6).alias("soil"), "soil_n")
 
 
@@ -70,8 +72,9 @@ def _(t):
     select event_id, complete and date_diff('microsecond', run_start, recorded_at) / 6e7 >= 360 as flatline_online from m""")
 def _(t):
     rows = signed(t).select("event_id", "device_id", "recorded_at", "sig1", "sig2")
-    out = T.stream_flatline(replay(t, rows, "recorded_at"), ["device_id"], "recorded_at", "event_id", ["sig1", "sig2"], STALE_MINUTES, GAP)
-    return finish(t, out).select("event_id", "flatline_online")
+    out = finish(t, rows, "recorded_at", lambda s: T.stream_flatline(
+        s, ["device_id"], "recorded_at", "event_id", ["sig1", "sig2"], STALE_MINUTES, GAP))
+    return out.select("event_id", "flatline_online")
 
 
 @query("t04_stream_episodes", "sensor", """
@@ -81,8 +84,8 @@ def _(t):
 def _(t):
     rows = t.sensor.select("device_id", "recorded_at", "soil")
     closing = [r.withColumn("soil", F.lit(60.0)) for r in closing_rows(rows, "recorded_at")]
-    out = T.stream_episodes(replay(t, rows, "recorded_at", closing), ["device_id"], "recorded_at", "soil", 50, "12 hours", "1 hour")
-    return finish(t, out).where("device_id >= 0").select("device_id", ts("start_at").alias("start_at"), ts("end_at").alias("end_at"), "rows", "peak_value")
+    out = finish(t, rows, "recorded_at", lambda s: T.stream_episodes(s, ["device_id"], "recorded_at", "soil", 50, "12 hours", "1 hour"), closing)
+    return out.where("device_id >= 0").select("device_id", ts("start_at").alias("start_at"), ts("end_at").alias("end_at"), "rows", "peak_value")
 
 
 @query("t05_stream_upsert", "sensor", """
@@ -92,7 +95,8 @@ def _(t):
     target = folder(t)
     # The table exists before the stream starts: one row carries its schema.
     rows.limit(1).write.partitionBy("part").parquet(target)
-    T.stream_upsert(replay(t, rows, "recorded_at"), target, target + "-checkpoint", ["device_id", "part"], "part", ["recorded_at", "event_id"])
+    replay(t, rows, "recorded_at", lambda s: T.stream_upsert(
+        s, target, target + "-checkpoint", ["device_id", "part"], "part", ["recorded_at", "event_id"]))
     return t.spark.read.parquet(target).select("device_id", F.col("part").cast("long").alias("part"), "soil")
 
 
@@ -114,8 +118,10 @@ def _(t):
 def _(t):
     rows = t.sensor.select("device_id", "event_id", "recorded_at", "soil", "valid", "age_sec")
     base = folder(t)
-    last = T.stream_status(replay(t, rows, "recorded_at"), ["device_id"], "recorded_at", "event_id", base, base + "-checkpoint")
-    out = t.spark.read.parquet(last)
+    paths = []
+    replay(t, rows, "recorded_at", lambda s: paths.append(
+        T.stream_status(s, ["device_id"], "recorded_at", "event_id", base, base + "-checkpoint")))
+    out = t.spark.read.parquet(paths[-1])
     state = sensor_state(F.col("soil"), F.col("valid"), F.col("age_sec"), F.lit(False), F.col("recorded_at"),
                          F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"), fresh_minutes=1440)
     return out.select("device_id", "event_id", state.alias("state"))
@@ -126,6 +132,8 @@ def _(t):
 def _(t):
     rows = t.sensor.select("event_id", "device_id", "recorded_at", "soil")
     base = folder(t)
-    T.stream_guard(replay(t, rows, "recorded_at"), "recorded_at", F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), 300, base + "/good", base + "/bad", base + "-checkpoint")
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    replay(t, rows, "recorded_at", lambda s: T.stream_guard(
+        s, "recorded_at", now, 300, base + "/good", base + "/bad", base + "-checkpoint"))
     good = t.spark.read.parquet(base + "/good").select("event_id", F.lit(True).alias("accepted"))
     return good.unionByName(t.spark.read.parquet(base + "/bad").select("event_id", F.lit(False).alias("accepted")))
