@@ -198,17 +198,19 @@ def availability_check(df: DataFrame, cutoff: str, mode: str = "exploratory") ->
     return df.withColumn("allowed", F.size("errors") == 0)
 
 
-def preflight(years: DataFrame, leads: DataFrame, entities: DataFrame, features: DataFrame) -> DataFrame:
+def preflight(entities: DataFrame, leads: Sequence[int], features: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Every (year, lead, entity, feature, dependency) use with its cutoffs.
 
-    ``entities`` has (entity, anchor_month, anchor_day); ``features`` has (feature, dependency, role).
-    All inputs are configuration tables. The shared fit cutoff is the earliest issue of a year and lead.
+    ``entities`` has (entity, year, anchor_month, anchor_day); ``features`` lists (feature, dependency, role).
+    Leads and features are configuration and are expanded per row, without a join. The shared fit cutoff is
+    the earliest issue of a year and lead.
     """
-    uses = years.crossJoin(leads).crossJoin(entities)
-    issue = F.date_sub(F.make_date("year", "anchor_month", "anchor_day"), F.col("lead"))
-    uses = uses.withColumn("issue", issue)
+    uses = entities.withColumn("lead", F.explode(F.array(*[F.lit(n) for n in leads])))
+    uses = uses.withColumn("issue", F.date_sub(F.make_date("year", "anchor_month", "anchor_day"), F.col("lead")))
     fit = uses.groupBy("year", "lead").agg(F.min("issue").alias("fit_cutoff"))
-    uses = uses.join(fit, ["year", "lead"]).crossJoin(features)
+    listed = F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.lit(d).alias("dependency"), F.lit(r).alias("role")) for f, d, r in features]))
+    uses = uses.join(fit, ["year", "lead"]).withColumn("_f", listed).select("*", "_f.*").drop("_f")
     cutoff = F.when(F.col("role").isin("training_label", "selection_label"), F.col("fit_cutoff")).otherwise(
         F.col("issue"))
     return uses.withColumn("cutoff", cutoff)

@@ -236,14 +236,11 @@ def _(t):
         cast(issue as varchar) as issue, cast(case when role = 'training_label' then fit_cutoff else issue end as varchar) as cutoff
     from c cross join (values ('rain', 'daily', 'feature'), ('rain', 'normals', 'feature'), ('lag', 'annual', 'training_label')) f(feature, dependency, role)""")
 def _(t):
-    years = t.year.select(F.col("year_ce").alias("year")).distinct()
-    leads = t.spark.createDataFrame([(0,), (60,)], "lead int")
-    entities = t.year.groupBy(F.col("province").alias("entity")).agg((4 + F.min("year_ce") % 3).alias("m")).select(
+    anchors = t.year.groupBy(F.col("province").alias("entity")).agg((4 + F.min("year_ce") % 3).alias("m")).select(
         "entity", (F.col("m") + F.col("entity") % 2).cast("int").alias("anchor_month"), F.lit(10).alias("anchor_day"))
-    features = t.spark.createDataFrame(
-        [("rain", "daily", "feature"), ("rain", "normals", "feature"), ("lag", "annual", "training_label")],
-        "feature string, dependency string, role string")
-    out = Q.preflight(years, leads, entities, features)
+    entities = t.year.select(F.col("province").alias("entity"), F.col("year_ce").alias("year")).join(anchors, "entity")
+    out = Q.preflight(entities, [0, 60], [
+        ("rain", "daily", "feature"), ("rain", "normals", "feature"), ("lag", "annual", "training_label")])
     return out.select(*[F.col(c).cast("long").alias(c) for c in ("year", "lead", "entity")], "feature", "dependency", day("issue"), day("cutoff"))
 
 

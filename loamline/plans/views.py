@@ -44,7 +44,7 @@ VIEWS = {
                o_orderdate + (o_orderkey % 12) * interval '1' hour as received,
                o_orderdate + h * interval '1' hour as valid, cast(10 + (o_orderkey + h) % 25 as double) as temp_c,
                cast((o_orderkey * h) % 8 as double) as rain_mm
-        from [orders] cross join (select * from (values (1),(2),(3),(4),(5),(6)) v(h)) x
+        from [orders] {H}
         where (o_orderkey + h) % 7 <> 0""",
     "part_area": """
         select s_nationkey as province, p_brand as cls, p_type as code, sum(p_size) as area, count(*) as n
@@ -75,12 +75,14 @@ SPARK_FORMS = {
     "{E}": "element_at",
     "{T}": "transform(embedding, x -> cast(round(cast(x as double)*10000) as int))",
     "{G}": "explode(sequence(lo, hi))",
+    "{H}": "lateral view explode(array(1, 2, 3, 4, 5, 6)) x as h",
 }
 ORACLE_FORMS = {
     "{K}": "cast(json_extract_string(props,'$.k') as bigint)",
     "{E}": "list_extract",
     "{T}": "list_transform(embedding, lambda x: cast(round(cast(x as double)*10000) as integer))",
     "{G}": "cast(unnest(generate_series(lo, hi, interval 1 day)) as date)",
+    "{H}": "cross join (select * from (values (1),(2),(3),(4),(5),(6)) v(h)) x",
 }
 
 
