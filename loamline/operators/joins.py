@@ -16,10 +16,16 @@ from loamline.operators.quality import require_unique
 from loamline.operators.scan import Series, done, first_where, last_where, running_count
 
 
-def seconds(c) -> Column:
-    """Seconds of a timestamp with or without zone as a double, to the microsecond."""
+def micros(c) -> Column:
+    """Microseconds of a timestamp with or without zone, as an exact long."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.unix_micros(c.cast("timestamp")) / F.lit(1_000_000.0)
+    return F.unix_micros(c.cast("timestamp"))
+
+
+def elapsed(later, earlier) -> Column:
+    """Seconds between two timestamps. The difference is taken in whole microseconds, so limits such as
+    exactly one hour compare exactly."""
+    return (micros(later) - micros(earlier)) / F.lit(1_000_000.0)
 
 
 def checked_join(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "inner", validate: str = "m:1") -> DataFrame:
@@ -94,7 +100,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str
     both = doc.unionByName(rows, allowMissingColumns=True)
     s = Series(tuple(by), "_at", ("_side",), bounds, slice_seconds)
     found = last_where(both, s, F.col("_doc").isNotNull(), F.col("_doc"), "_match").where(F.col("_row").isNotNull())
-    age = seconds("_at") - seconds(F.col("_match")["at"])
+    age = elapsed("_at", F.col("_match")["at"])
     status = (
         F.when(F.col("_match").isNull(), "none").when(F.col("_match")["n"] > 1, "ambiguous")
         .when(age > max_age_seconds, "stale").otherwise("ok"))
@@ -124,8 +130,8 @@ def vintage_asof(origins: DataFrame, forecasts: DataFrame, by: Sequence[str], or
     at = F.timestamp_micros(
         F.unix_micros(F.col("valid").cast("timestamp")) - F.col("_h").cast("long") * F.lit(3_600_000_000))
     rows = rows.withColumn("_origin", at).where(
-        (seconds("_available") <= seconds("_origin"))
-        & (seconds("_available") >= seconds("_origin") - lookback_hours * 3600))
+        (micros("_available") <= micros("_origin"))
+        & (micros("_available") >= micros("_origin") - F.lit(lookback_hours * 3_600_000_000)))
     batch = rows.groupBy(*by, "_origin", "issued", "source").agg(
         F.count("*").alias("_rows"), F.count_distinct("_h").alias("_hours"), F.bool_and(ok).alias("_ok"),
         F.max("_available").alias("forecast_available"), *[c.alias(n) for n, c in (measures or {}).items()])
@@ -133,7 +139,7 @@ def vintage_asof(origins: DataFrame, forecasts: DataFrame, by: Sequence[str], or
     names = ["issued", "source", "forecast_available", *(measures or {})]
     # Latest issue first; among equal issues the first source name.
     best = complete.groupBy(*by, "_origin").agg(
-        F.min_by(F.struct(*names), F.struct((-seconds("issued")).alias("i"), "source")).alias("_b"))
+        F.min_by(F.struct(*names), F.struct((-micros("issued")).alias("i"), "source")).alias("_b"))
     best = best.select(*by, F.col("_origin").alias("_o"), *[F.col("_b")[n].alias(n) for n in names])
     left = origins.withColumn("_o", F.col(origin).cast("timestamp"))
     return left.join(best, [*by, "_o"], "left").drop("_o")
@@ -185,16 +191,17 @@ def around(events: DataFrame, facts: DataFrame, by: Sequence[str], event_ts: str
            after_s: int, aggregates: Mapping[str, Column]) -> DataFrame:
     """Aggregate the facts within a band around each event. Events spread to the buckets they touch."""
     by = list(by)
-    width = before_s + after_s
-    low = F.floor((seconds(event_ts) - before_s) / width)
-    high = F.floor((seconds(event_ts) + after_s) / width)
+    before, after = F.lit(before_s * 1_000_000), F.lit(after_s * 1_000_000)
+    width = F.lit((before_s + after_s) * 1_000_000)
+    low = F.floor((micros(event_ts) - before) / width)
+    high = F.floor((micros(event_ts) + after) / width)
     keys = [c for c in events.columns]
-    spread = events.withColumn("_e", seconds(event_ts)).withColumn("_bucket", F.explode(F.sequence(low, high)))
+    spread = events.withColumn("_e", micros(event_ts)).withColumn("_bucket", F.explode(F.sequence(low, high)))
     names = [c for c in facts.columns if c not in by]
     side = facts.select(*by, *[F.col(c).alias(f"fact_{c}") for c in names]).withColumn(
-        "_f", seconds(f"fact_{fact_ts}")).withColumn("_bucket", F.floor(F.col("_f") / width))
+        "_f", micros(f"fact_{fact_ts}")).withColumn("_bucket", F.floor(F.col("_f") / width))
     near = spread.join(side, [*by, "_bucket"]).where(
-        (F.col("_f") >= F.col("_e") - before_s) & (F.col("_f") <= F.col("_e") + after_s))
+        (F.col("_f") >= F.col("_e") - before) & (F.col("_f") <= F.col("_e") + after))
     got = near.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
     return events.join(got, keys, "left")
 
@@ -207,8 +214,8 @@ def first_after(df: DataFrame, s: Series, is_event: Column, crossing: Column, ga
     counted = running_count(marked, s, gap, "_gaps")
     found = first_where(counted, s, F.col("_cross"), F.struct(F.col(s.time).alias("at"), F.col("_gaps").alias("g")),
                         "_hit")
-    hours = (seconds(F.col("_hit")["at"]) - seconds(s.time)) / 3600
-    ok = hours <= within_s / 3600
+    hours = elapsed(F.col("_hit")["at"], s.time) / 3600
+    ok = elapsed(F.col("_hit")["at"], s.time) <= within_s
     return done(found.where("_event")).withColumns({
         "crossed_at": F.when(ok, F.col("_hit")["at"]), "hours_to_crossing": F.when(ok, hours),
         "path_has_gap": F.when(ok, F.col("_hit")["g"] > F.col("_gaps")),

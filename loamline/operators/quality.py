@@ -102,7 +102,7 @@ def profile(df: DataFrame) -> DataFrame:
 def sensor_profile(df: DataFrame, s: Series, event_id: str, gap_seconds: float) -> DataFrame:
     """Per device: rows, span, exact median interval, gaps above the limit, repeated event ids."""
     steps = done(previous(df, s, {s.time: "_before"})).withColumn(
-        "interval_s", F.col(s.time).cast("timestamp").cast("double") - F.col("_before").cast("timestamp").cast("double")
+        "interval_s", (F.unix_micros(F.col(s.time).cast("timestamp")) - F.unix_micros(F.col("_before").cast("timestamp"))) / 1e6
     )
     base = steps.groupBy(*s.by).agg(
         F.count("*").alias("rows"), F.min(s.time).alias("first_at"), F.max(s.time).alias("last_at"),
@@ -354,7 +354,7 @@ def repair_shift(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def sensor_state(value: Column, valid: Column, age_sec: Column, stuck: Column, at: Column, now: Column,
                  max_age: float = 3600, fresh_minutes: float = 60, skew_minutes: float = 5) -> Column:
     """missing / invalid / stale / unverified / fresh, or clock_error for a time too far ahead."""
-    minutes = (now.cast("timestamp").cast("double") - at.cast("timestamp").cast("double")) / 60
+    minutes = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 6e7
     unknown = valid.isNull() | age_sec.isNull()
     return (
         F.when(at.isNull(), "missing").when(minutes < -skew_minutes, "clock_error")

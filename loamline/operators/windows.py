@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.operators.joins import seconds
+from loamline.operators.joins import elapsed
 from loamline.operators.scan import (
     Series, balanced, done, first_where, last_position, last_where, previous, running_count,
 )
@@ -20,7 +20,7 @@ from loamline.operators.scan import (
 def gap_delta(df: DataFrame, s: Series, value: str, max_gap_s: float) -> DataFrame:
     """``gap_minutes`` to the previous row; ``delta`` only across a gap within the limit."""
     out = done(previous(df, s, {s.time: "_at", value: "_was"}))
-    gap = seconds(s.time) - seconds("_at")
+    gap = elapsed(s.time, "_at")
     return out.withColumn("gap_minutes", gap / 60).withColumn(
         "delta", F.when(gap <= max_gap_s, F.col(value) - F.col("_was"))).drop("_at", "_was")
 
@@ -38,7 +38,7 @@ def _mark_runs(df: DataFrame, s: Series, signature: Sequence[str], max_gap_s: fl
         same = same & F.coalesce(F.col(c) == F.col(p), F.lit(False))
         complete = complete & F.col(c).isNotNull()
     if max_gap_s is not None:
-        same = same & F.coalesce(seconds(s.time) - seconds("_prev_at") <= max_gap_s, F.lit(False))
+        same = same & F.coalesce(elapsed(s.time, "_prev_at") <= max_gap_s, F.lit(False))
     df = df.withColumns({"_break": ~same, "_complete": complete}).drop(*names.values())
     return last_where(df, s, F.col("_break"), F.col(s.time), "run_start")
 
@@ -47,10 +47,10 @@ def stale_runs(df: DataFrame, s: Series, signature: Sequence[str], minutes: floa
                max_gap_s: float | None = None) -> DataFrame:
     """``stale_minutes`` since the signature last changed and the ``stale`` flag."""
     out = done(_mark_runs(df, s, signature, max_gap_s))
-    elapsed = (seconds(s.time) - seconds("run_start")) / 60
+    in_run = elapsed(s.time, "run_start") / 60
     return out.withColumns({
-        "stale_minutes": F.when(F.col("_complete"), elapsed),
-        "stale": F.col("_complete") & (elapsed >= minutes),
+        "stale_minutes": F.when(F.col("_complete"), in_run),
+        "stale": F.col("_complete") & (in_run >= minutes),
     }).drop("_break", "_complete", "_prev_at", "run_start")
 
 
@@ -69,7 +69,7 @@ def flatline_offline(df: DataFrame, s: Series, signature: Sequence[str], minutes
     marked = first_where(marked, s, F.col("_break"), F.col("_prev_at"), "_end", inclusive=False)
     marked = last_position(marked, s, "_last_at")
     end = F.coalesce(F.col("_end"), F.col("_last_at"))
-    length = (seconds(end) - seconds("run_start")) / 60
+    length = (elapsed(end, "run_start")) / 60
     return done(marked).withColumns({"run_end": end, "flatline_offline": F.col("_complete") & (length >= minutes)}).drop(
         "_break", "_complete", "_prev_at", "_end", "_last_at")
 
@@ -214,7 +214,7 @@ def episodes(df: DataFrame, s: Series, value: str, threshold: float, max_gap_s:
     """Runs of consecutive rows at or above the threshold; a gap ends a run. The peak is its first maximum."""
     high = F.coalesce(F.col(value) >= threshold, F.lit(False))
     marked = previous(df.withColumn("_high", high), s, {s.time: "_at", "_high": "_was_high"})
-    start = F.col("_high") & ~F.coalesce(F.col("_was_high") & (seconds(s.time) - seconds("_at") <= max_gap_s), F.lit(False))
+    start = F.col("_high") & ~F.coalesce(F.col("_was_high") & (elapsed(s.time, "_at") <= max_gap_s), F.lit(False))
     found = done(last_where(marked, s, start, s.key, "_episode")).where("_high")
     peak = F.struct(F.col(s.time).alias("at"), F.col(value).alias("value"))
     out = found.groupBy(*s.by, "_episode").agg(

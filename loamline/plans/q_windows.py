@@ -36,12 +36,12 @@ def signed(t):
 
 
 @query("e01_gap_delta", "sensor", """
-    with l as (select *, lag(soil) over w as was, date_diff('microsecond', lag(recorded_at) over w, recorded_at) / 6e7 as gap
+    with l as (select *, lag(soil) over w as was, date_diff('microsecond', lag(recorded_at) over w, recorded_at) / 1e6 / 60 as gap
         from sensor window w as (partition by device_id order by recorded_at, event_id))
-    select event_id, round(gap, 7) as gap_minutes, round(case when gap <= 720 then soil - was end, 7) as delta from l""")
+    select event_id, round(gap, 9) as gap_minutes, round(case when gap <= 720 then soil - was end, 7) as delta from l""")
 def _(t):
     out = W.gap_delta(t.sensor, series(t), "soil", GAP)
-    return out.select("event_id", F.round("gap_minutes", 7).alias("gap_minutes"), F.round("delta", 7).alias("delta"))
+    return out.select("event_id", F.round("gap_minutes", 9).alias("gap_minutes"), F.round("delta", 7).alias("delta"))
 
 
 RUNS = """
@@ -56,11 +56,11 @@ NEAR = "and epoch_us(recorded_at) - epoch_us(pt) <= 43200000000"
 
 
 @query("e02_stale_runs", "sensor", RUNS.format(gap="") + """
-    select event_id, round(case when complete then date_diff('microsecond', run_start, recorded_at) / 6e7 end, 4) as stale_minutes,
+    select event_id, round(case when complete then date_diff('microsecond', run_start, recorded_at) / 1e6 / 60 end, 9) as stale_minutes,
         complete and date_diff('microsecond', run_start, recorded_at) / 6e7 >= 360 as stale from m""")
 def _(t):
     out = W.stale_runs(signed(t), series(t), ["sig1", "sig2"], STALE_MINUTES)
-    return out.select("event_id", F.round("stale_minutes", 4).alias("stale_minutes"), "stale")
+    return out.select("event_id", F.round("stale_minutes", 9).alias("stale_minutes"), "stale")
 
 
 @query("e03_flatline_offline", "sensor", RUNS.format(gap=NEAR) + """

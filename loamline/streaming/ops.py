@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from loamline.operators.joins import seconds, vintage_asof
+from loamline.operators.joins import elapsed, vintage_asof
 from loamline.sources.sinks import merge_upsert, upsert_table
 
 
@@ -88,7 +88,7 @@ def stream_episodes(stream: DataFrame, by: Sequence[str], ts: str, value: str, t
 
 def guard(df: DataFrame, ts: str, now: Column, tolerance_s: float = 300) -> tuple[DataFrame, DataFrame]:
     """(rows not too far in the future, rejected rows). Works on batch and streaming frames."""
-    ahead = seconds(ts) - seconds(now) > tolerance_s
+    ahead = elapsed(ts, now) > tolerance_s
     return df.where(~ahead), df.where(ahead)
 
 
