@@ -450,11 +450,11 @@ def _(t):
     places = F.when(k >= 20, " , \n").when(k >= 10, F.concat(F.lit("c1,c4,"), k)).otherwise(F.concat(F.lit("c"), k, F.lit("\nx")))
     rows = t.customer.select(
         "c_custkey", F.concat_ws("-", "c_nationkey", "c_mktsegment").alias("key"),
-        F.when(F.col("c_mktsegment") == "BUILDING", "Mango").otherwise("Mango,  Durian").alias("products"), places.alias("places"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "Mango").otherwise("Mango,  Lychee").alias("products"), places.alias("places"),
         (F.col("c_custkey") % 3 + 1).cast("string").alias("state"),
         F.when(F.col("c_custkey") % 4 == 0, "2999-12-31").otherwise("2026-01-01").alias("valid_to"))
     codes = {f"c{i}": f"P{i // 2}" for i in range(10)}
-    kept, counts = Q.normalize_registry(rows, codes, {"1": "Normal", "2": "Suspension"}, "Durian", ["key"], ["c_custkey"])
+    kept, counts = Q.normalize_registry(rows, codes, {"1": "Normal", "2": "Suspension"}, "Lychee", ["key"], ["c_custkey"])
     a = kept.select("c_custkey", "province_code", "registration_status", "open_ended", "duplicates")
     b = counts.select(F.lit(None).cast("long").alias("c_custkey"), F.col("outcome").alias("province_code"), F.lit("count").alias("registration_status"),
                       F.lit(None).cast("boolean").alias("open_ended"), F.col("rows").alias("duplicates"))
