@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -26,13 +23,9 @@ def build_session(app: str = "loamline", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach. A local folder is used only for a local master."""
+    """The folder every executor can reach: spark.checkpoint.dir, or one in the warehouse where that is not set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("Set spark.checkpoint.dir to a folder shared by all executors")
-    return os.path.join(tempfile.gettempdir(), "loamline-" + spark.sparkContext.applicationId)
+    return configured.rstrip("/") if configured else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -41,8 +34,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
-    """True when a counted prefix proves the side has at most ``max_rows`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
