@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loamline.llm.shared import stored
+from loamline.llm.shared import small_batches, stored
 from loamline.llm.words import Words, chunks, signed, to_bytes
 
 SHAPES = 10
@@ -293,7 +293,7 @@ def score_texts(docs: DataFrame, training: Column, plan: ClassModel = ClassModel
     lower-cased (A-Z) and known by a 64-bit hash. Scores are log10; perplexity is per token. Without training rows every
     class is equally likely.
     """
-    learned = docs.where(training).select("text")
+    learned = small_batches(docs).where(training).select("text")
     counts = stored(word_counts(learned))
     model = fit(learned, counts, plan)
     base = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("_t")).withColumn("_row", F.monotonically_increasing_id())

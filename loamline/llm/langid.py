@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from loamline.llm.shared import stored
+from loamline.llm.shared import small_batches, stored
 from loamline.llm.words import chunks, mix, to_bytes
 
 
@@ -74,7 +74,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                         [pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))],
                         names=["lang", "gram", "n"])
 
-    found = docs.where("lang is not null and text is not null").select("lang", "text")
+    found = small_batches(docs).where("lang is not null and text is not null").select("lang", "text")
     return found.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: Model, plan: Filters = Filters()) -> DataFra
                                              names=[*keep, "lang_pred", "score"])
 
     out = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*keep).mapInArrow(run, out)
+    return small_batches(docs).select(*keep).mapInArrow(run, out)
 
 
 def identify(docs: DataFrame, plan: Filters = Filters()) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loamline.llm.components import components
-from loamline.llm.shared import stored
+from loamline.llm.shared import small_batches, stored
 from loamline.llm.words import Words, chunks, mix, signed, to_bytes
 
 
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
     Null and empty texts have no shingles and link with nothing. Rows that share a doc_id are one node. A null doc_id
     links with nothing, gets a null component and is kept. Other columns are not read.
     """
-    made = stored(sketches(docs, plan))
+    made = stored(sketches(small_batches(docs), plan))
     classes = made.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     keyed = stored(made.join(classes, ["k1", "k2", "n_shingles"], "left").select(
         "doc_id", "n_shingles", "rep", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("sig", "bands")]))

@@ -18,3 +18,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session hands Python at most 1000 rows or 8 MB at a time, so that a worker's memory is
+    bounded by its batch, or by one text where that is longer."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df

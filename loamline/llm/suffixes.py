@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from loamline.llm.shared import stored
+from loamline.llm.shared import small_batches, stored
 from loamline.llm.words import Words, chunks, grams, signed, to_bytes
 
 
@@ -162,7 +162,7 @@ def _compare(rows: DataFrame, plan: Sparse) -> DataFrame:
 def matches(docs: DataFrame, plan: Sparse = Sparse()) -> DataFrame:
     """Rows (key, doc, th, pos, first, last): suffixes that match another document over ``least`` words or more, with
     the words of the match from first up to last."""
-    keyed = _keyed(docs.where("text is not null"))
+    keyed = _keyed(small_batches(docs).where("text is not null"))
     repeated = anchors(keyed, plan).groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
     kept = anchors(keyed, plan).join(repeated, "key", "left_semi")
     at = kept.groupBy("doc", "th").agg(F.collect_set(F.struct("pos", "key")).alias("at"))
