@@ -63,7 +63,7 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
 
 
 class Hasher:
-    """Signatures of 16 bits per hash function; the band keys use the 32-bit minima."""
+    """Signatures of 16 bits per hash function, and the band keys that they give."""
 
     def __init__(self, plan: NearDup):
         rng = np.random.default_rng(plan.seed)
@@ -80,7 +80,7 @@ class Hasher:
             part += self.b[:, None]
             part ^= part >> np.uint32(15)
             low = np.minimum(low, part.min(axis=1))
-        return low
+        return low.astype(np.uint16)
 
     def bands(self, low: np.ndarray) -> np.ndarray:
         key = self.salt.copy()
@@ -107,7 +107,7 @@ def sketches(docs: DataFrame, plan: NearDup) -> DataFrame:
                 low = [hasher.minima(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(at, 1000), pa.array(n, pa.int64()), signed(np.array(k1, dtype=np.uint64)), signed(np.array(k2, dtype=np.uint64)),
-                    pa.array([None if x is None else x.astype(np.uint16).tobytes() for x in low], pa.binary()),
+                    pa.array([None if x is None else x.tobytes() for x in low], pa.binary()),
                     pa.array([None if x is None else hasher.bands(x).view(np.int64) for x in low], pa.list_(pa.int64())),
                 ], names=["doc_id", "n_shingles", "k1", "k2", "sig", "bands"])
 
@@ -186,10 +186,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, plan: NearDup) -> DataFrame:
 
 
 def _across(members: DataFrame, plan: NearDup) -> DataFrame:
-    """Surviving pairs between the components of a bucket; ``members``: key, rep, component, sig, of mixed buckets.
+    """Surviving pairs between the components of a bucket; ``members``: band, key, rep, component, sig, of mixed buckets.
 
     A bucket's largest component is not compared with itself; the others form blocks of about ``block`` members, and
-    each block meets each block of the bucket in a task of its own, so no task grows with a bucket.
+    each block meets each block of the bucket in a task of its own, so no task grows with a bucket. A pair is given by the
+    first band only that it has in common.
     """
     bounds = least_matches(plan)
     shares = members.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -199,19 +200,21 @@ def _across(members: DataFrame, plan: NearDup) -> DataFrame:
     rows = members.join(sizes.select("key", "main", parts("all").alias("blocks"), F.greatest(
         F.lit(1), F.ceil((F.col("all") - F.col("most")) / plan.block)).cast("long").alias("other_blocks")), "key")
     spread = F.abs(F.xxhash64("rep", "key"))
-    right = rows.select("key", F.lit(False).alias("left"), "rep", "component", "sig", (spread % F.col("blocks")).alias("right_block"),
+    right = rows.select("key", "band", F.lit(False).alias("left"), "rep", "component", "sig", (spread % F.col("blocks")).alias("right_block"),
                         F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_blocks") - 1)).alias("left_block"))
     left = rows.where("component <> main").select(
-        "key", F.lit(True).alias("left"), "rep", "component", "sig",
+        "key", "band", F.lit(True).alias("left"), "rep", "component", "sig",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("right_block"), (spread % F.col("other_blocks")).alias("left_block"))
 
     def run(table: pa.Table) -> pa.Table:
         rep, comp = table.column("rep").to_numpy(), table.column("component").to_numpy()
         sig, side = _matrix(table.column("sig"), plan.size), table.column("left").to_numpy()
-        lefts, rights, out = np.flatnonzero(side), np.flatnonzero(~side), []
+        lefts, rights, out, band = np.flatnonzero(side), np.flatnonzero(~side), [], table.column("band")[0].as_py()
+        banded = sig.reshape(-1, plan.bands, plan.rows)
         for i in lefts:
             other = rights[comp[rights] != comp[i]]
             keep = other[survives(np.broadcast_to(sig[i], (len(other), plan.size)), sig[other], bounds)]
+            keep = keep[(banded[keep] == banded[i]).all(axis=2).argmax(axis=1) == band]
             out.append(np.stack([np.minimum(rep[keep], rep[i]), np.maximum(rep[keep], rep[i])]))
         pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), dtype=np.int64)
         return pa.table({"a": pairs[0].astype(np.int64), "b": pairs[1].astype(np.int64)})
@@ -230,9 +233,9 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
     keyed = stored(made.join(classes, ["k1", "k2", "n_shingles"], "left").select(
         "doc_id", "n_shingles", "rep", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("sig", "bands")]))
     chosen = keyed.where("sig is not null").groupBy("rep").agg(F.min(F.struct("sig", "bands")).alias("s")).select("rep", "s.*")
-    buckets = stored(chosen.select("rep", F.explode("bands").alias("key")))
+    buckets = stored(chosen.select("rep", F.posexplode("bands").alias("band", "key")))
     lead = buckets.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).where("lead < top")
-    shared = stored(buckets.join(lead, "key").select("key", "rep", "lead"))
+    shared = stored(buckets.join(lead, "key").select("band", "key", "rep", "lead"))
     signatures = chosen.select("rep", "sig")
     pairs = shared.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     pruned = stored(_pruned(pairs, signatures, plan))
@@ -240,7 +243,7 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
     same = keyed.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     first = stored(components(links.union(same)))
     inside = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component"))
+        "band", "key", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     members = stored(inside.join(mixed, "key").join(signatures, "rep"))
     more = stored(_across(members, plan).distinct().join(pruned, ["a", "b"], "left_anti"))
