@@ -36,12 +36,16 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words: whole times, and once more with the chance that is left,
     by a seeded hash, so that each source comes near its target."""
-    row = F.struct(*docs.columns)
-    sized = docs.select("source", F.coalesce(F.regexp_count("text", F.lit(packing.WORD)), F.lit(0)).cast("long").alias("size"), row.alias("_row"))
+    key = docs.select("*", F.xxhash64(*docs.columns).alias("_hash"))
+    sized = key.select("source", "doc_id", "_hash", F.coalesce(F.regexp_count("text", F.lit(packing.WORD)), F.lit(0)).cast("long").alias("size"))
     mixed = mixing.mix(sized, mixing.cycle_weights)
-    chance = F.pmod(F.xxhash64("_row", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + chance)).otherwise(0).cast("int")
-    return mixed.select("_row", F.explode(F.array_repeat(F.lit(1), times)).alias("_time")).select("_row.*")
+    chance = F.pmod(F.xxhash64("_hash", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + chance)).otherwise(0)
+    # Equal rows share their sum of times, so one of them stands for all.
+    taken = mixed.groupBy("doc_id", "_hash").agg(F.sum(times).cast("int").alias("_times")).where("_times > 0").withColumnRenamed("doc_id", "_id")
+    joined = key.dropDuplicates(["doc_id", "_hash"]).join(taken.withColumnRenamed("_hash", "_same"), F.col("doc_id").eqNullSafe(F.col("_id")) & (
+        F.col("_hash") == F.col("_same")))
+    return joined.withColumn("_time", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
