@@ -49,7 +49,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = to_bytes(batch.column(0))
-            for begin, end in chunks(texts, 8 << 20):
+            for begin, end in chunks(texts, 2 << 20):
                 words = Words(texts[begin:end], lower=True)
                 word, at, n = np.unique(words.hashes, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([signed(word), pa.array(shapes(words)[at].astype(np.int32)), pa.array(n.astype(np.int64))],
@@ -85,7 +85,7 @@ def bigrams(docs: DataFrame, known: np.ndarray) -> DataFrame:
         total = np.zeros(size * size, dtype=np.int32)
         for batch in batches:
             texts = to_bytes(batch.column(0))
-            for begin, end in chunks(texts, 4 << 20):
+            for begin, end in chunks(texts, 2 << 20):
                 row, _ = symbols(Words(texts[begin:end], lower=True), shared.value)
                 pair = np.concatenate([[size - 1], row[:-1]]) * size + row
                 cell, n = np.unique(pair, return_counts=True)

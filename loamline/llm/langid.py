@@ -68,7 +68,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             for lang, text in zip(langs, texts):
                 own.setdefault(lang, []).append(text)
             for lang, group in own.items():
-                for begin, end in chunks(group, 8 << 20):
+                for begin, end in chunks(group, 2 << 20):
                     gram, n = np.unique(letters(group[begin:end])[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))],
