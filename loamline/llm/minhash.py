@@ -22,7 +22,11 @@ from loamline.llm.words import Words, chunks, mix, signed, to_bytes
 
 @dataclass(frozen=True)
 class NearDup:
-    """32 bands of 6 find a pair of similarity 0.8 with probability 0.9999; ``miss`` is the chance to drop a true pair."""
+    """32 bands of 6 find a pair of similarity 0.8 with probability 0.9999; ``miss`` is the chance to drop a true pair.
+
+    ``best``: rounds in which a document verifies only that many most similar ones of other components in its bucket; they
+    join nearly all of a large group with few pairs. One more round takes all pairs that are left between components.
+    """
 
     shingle: int = 5
     numerator: int = 80
@@ -32,6 +36,7 @@ class NearDup:
     batch: int = 32
     miss: float = 1e-5
     block: int = 1000
+    best: tuple[int, ...] = (2, 2)
     seed: int = 7
 
     @property
@@ -185,12 +190,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, plan: NearDup) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, plan: NearDup) -> DataFrame:
+def _across(members: DataFrame, plan: NearDup, best: int | None) -> DataFrame:
     """Surviving pairs between the components of a bucket; ``members``: band, key, rep, component, sig, of mixed buckets.
 
     A bucket's largest component is not compared with itself; the others form blocks of about ``block`` members, and
     each block meets each block of the bucket in a task of its own, so no task grows with a bucket. A pair is given by the
-    first band only that it has in common.
+    first band only that it has in common. ``best`` keeps the most similar partners of each member, None keeps all.
     """
     bounds = least_matches(plan)
     shares = members.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -215,6 +220,8 @@ def _across(members: DataFrame, plan: NearDup) -> DataFrame:
             other = rights[comp[rights] != comp[i]]
             keep = other[survives(np.broadcast_to(sig[i], (len(other), plan.size)), sig[other], bounds)]
             keep = keep[(banded[keep] == banded[i]).all(axis=2).argmax(axis=1) == band]
+            if best is not None and len(keep) > best:
+                keep = keep[np.argsort(-(sig[keep] == sig[i]).sum(axis=1), kind="stable")[:best]]
             out.append(np.stack([np.minimum(rep[keep], rep[i]), np.maximum(rep[keep], rep[i])]))
         pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), dtype=np.int64)
         return pa.table({"a": pairs[0].astype(np.int64), "b": pairs[1].astype(np.int64)})
@@ -238,30 +245,28 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
     shared = stored(buckets.join(lead, "key").select("band", "key", "rep", "lead"))
     signatures = chosen.select("rep", "sig")
     pairs = shared.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    pruned = stored(_pruned(pairs, signatures, plan))
-    links = stored(_verified(pruned, _texts(docs, pruned), plan))
+    texts = stored(_texts(docs, shared))
+    tried = stored(_pruned(pairs, signatures, plan))
+    links = stored(_verified(tried, texts, plan))
     same = keyed.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    first = stored(components(links.union(same)))
-    inside = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "band", "key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    members = stored(inside.join(mixed, "key").join(signatures, "rep"))
-    more = stored(_across(members, plan).distinct().join(pruned, ["a", "b"], "left_anti"))
-    late = _verified(more, _texts(docs, more), plan)
-    # Components of the first pass stand for their members: only links between components remain to be joined.
-    named = lambda side: first.select(F.col("node").alias(side), F.col("component").alias("c" + side))
-    joined = late.join(named("a"), "a", "left").join(named("b"), "b", "left").select(
-        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    second = components(joined)
-    whole = keyed.select("doc_id", "n_shingles").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "component", F.coalesce("component", "doc_id")).join(
-        second.select(F.col("node").alias("component"), F.col("component").alias("final")), "component", "left")
-    return whole.select("doc_id", "n_shingles", F.coalesce("final", "component").alias("component_id")).withColumn(
+    reach = stored(components(links.union(same)))
+    for best in (*plan.best, None):
+        inside = shared.join(reach.withColumnRenamed("node", "rep"), "rep", "left").select(
+            "band", "key", "rep", F.coalesce("component", "rep").alias("component"))
+        mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        members = stored(inside.join(mixed, "key").join(signatures, "rep"))
+        if members.isEmpty():
+            break
+        more = stored(_across(members, plan, best).distinct().join(tried, ["a", "b"], "left_anti"))
+        links, tried = links.union(stored(_verified(more, texts, plan))), tried.union(more)
+        reach = stored(components(links.union(same)))
+    return keyed.select("doc_id", "n_shingles").join(reach.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One text for each document that a pair names. Rows that share a doc_id give the smallest text that has words."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+def _texts(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """The texts (rep, text) of all documents in shared buckets."""
+    wanted = shared.select("rep").distinct().hint("merge")
     found = docs.select(F.col("doc_id").alias("rep"), "text").where("text is not null").join(wanted, "rep", "left_semi")
-    return found.distinct()
+    return found.dropDuplicates(["rep", "text"])
