@@ -39,6 +39,11 @@ class NearDup:
     best: tuple[int, ...] = (2, 2)
     seed: int = 7
 
+    def reached(self, x: np.ndarray, y: np.ndarray) -> bool:
+        """Whether two full shingle sets are similar enough."""
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return self.denominator * both >= self.numerator * (len(x) + len(y) - both)
+
     @property
     def size(self) -> int:
         return self.bands * self.rows
@@ -180,8 +185,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, plan: NearDup) -> DataFrame:
                 for t in (x, y):
                     if t not in sets:
                         sets[t] = shingle_sets([t], plan.shingle)[0]
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if plan.denominator * both >= plan.numerator * (len(sets[x]) + len(sets[y]) - both):
+                if plan.reached(sets[x], sets[y]):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], names=["a", "b"])
 
@@ -195,7 +199,8 @@ def _across(members: DataFrame, plan: NearDup, best: int | None) -> DataFrame:
 
     A bucket's largest component is not compared with itself; the others form blocks of about ``block`` members, and
     each block meets each block of the bucket in a task of its own, so no task grows with a bucket. A pair is given by the
-    first band only that it has in common. ``best`` keeps the most similar partners of each member, None keeps all.
+    first band only that it has in common. ``best`` keeps the most similar partners of each member; None keeps
+    all, verified in the task itself on the members' ``text``, so that only links leave it however many pairs are close.
     """
     bounds = least_matches(plan)
     shares = members.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -205,10 +210,11 @@ def _across(members: DataFrame, plan: NearDup, best: int | None) -> DataFrame:
     rows = members.join(sizes.select("key", "main", parts("all").alias("blocks"), F.greatest(
         F.lit(1), F.ceil((F.col("all") - F.col("most")) / plan.block)).cast("long").alias("other_blocks")), "key")
     spread = F.abs(F.xxhash64("rep", "key"))
-    right = rows.select("key", "band", F.lit(False).alias("left"), "rep", "component", "sig", (spread % F.col("blocks")).alias("right_block"),
+    text = ["text"] if best is None else []
+    right = rows.select(*text, "key", "band", F.lit(False).alias("left"), "rep", "component", "sig", (spread % F.col("blocks")).alias("right_block"),
                         F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_blocks") - 1)).alias("left_block"))
     left = rows.where("component <> main").select(
-        "key", "band", F.lit(True).alias("left"), "rep", "component", "sig",
+        *text, "key", "band", F.lit(True).alias("left"), "rep", "component", "sig",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("right_block"), (spread % F.col("other_blocks")).alias("left_block"))
 
     def run(table: pa.Table) -> pa.Table:
@@ -216,11 +222,14 @@ def _across(members: DataFrame, plan: NearDup, best: int | None) -> DataFrame:
         sig, side = _matrix(table.column("sig"), plan.size), table.column("left").to_numpy()
         lefts, rights, out, band = np.flatnonzero(side), np.flatnonzero(~side), [], table.column("band")[0].as_py()
         banded = sig.reshape(-1, plan.bands, plan.rows)
+        sets = shingle_sets(to_bytes(table.column("text").combine_chunks()), plan.shingle) if best is None else []
         for i in lefts:
             other = rights[comp[rights] != comp[i]]
             keep = other[survives(np.broadcast_to(sig[i], (len(other), plan.size)), sig[other], bounds)]
             keep = keep[(banded[keep] == banded[i]).all(axis=2).argmax(axis=1) == band]
-            if best is not None and len(keep) > best:
+            if best is None:
+                keep = keep[[plan.reached(sets[i], sets[j]) for j in keep]] if len(keep) else keep
+            elif len(keep) > best:
                 keep = keep[np.argsort(-(sig[keep] == sig[i]).sum(axis=1), kind="stable")[:best]]
             out.append(np.stack([np.minimum(rep[keep], rep[i]), np.maximum(rep[keep], rep[i])]))
         pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), dtype=np.int64)
@@ -257,6 +266,10 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
         members = stored(inside.join(mixed, "key").join(signatures, "rep"))
         if members.isEmpty():
             break
+        if best is None:
+            links = links.union(stored(_across(members.join(texts, "rep"), plan, None).distinct()))
+            reach = stored(components(links.union(same)))
+            break
         more = stored(_across(members, plan, best).distinct().join(tried, ["a", "b"], "left_anti"))
         links, tried = links.union(stored(_verified(more, texts, plan))), tried.union(more)
         reach = stored(components(links.union(same)))
