@@ -12,7 +12,7 @@ from loamline.operators.quality import validate_rules
 from loamline.session import cut_lineage
 
 
-def apply_versioned(attempts: DataFrame, record: str, order: str, expected: str, owner: str, max_rounds: int = 10_000) -> DataFrame:
+def apply_versioned(attempts: DataFrame, record: str, order: str, expected: str, owner: str) -> DataFrame:
     """Accept or reject every write attempt under optimistic locking.
 
     An attempt is applied when ``expected`` equals the record's current version; a create expects 0. The
@@ -28,7 +28,7 @@ def apply_versioned(attempts: DataFrame, record: str, order: str, expected: str,
     mine = known.where(F.col(owner).eqNullSafe(F.col("_owner")) & F.col("_owner").isNotNull())
     numbers = cut_lineage(mine.select(record, F.col(expected).alias("_k"), F.col(order).alias("_at")))
     accepted = cut_lineage(numbers.groupBy(record, "_k").agg(F.min("_at").alias("_at")))
-    for _ in range(max_rounds):
+    while True:
         bounds = accepted.select(record, (F.col("_k") + 1).alias("_k"), F.col("_at").alias("_after"))
         moved = numbers.join(bounds, [record, "_k"], "left").where(
             (F.col("_k") == 0) | (F.col("_at") > F.col("_after"))).groupBy(record, "_k").agg(F.min("_at").alias("_at"))
@@ -36,8 +36,6 @@ def apply_versioned(attempts: DataFrame, record: str, order: str, expected: str,
         if moved.exceptAll(accepted).isEmpty() and accepted.exceptAll(moved).isEmpty():
             break
         accepted = moved
-    else:
-        raise RuntimeError("Versions did not settle")
     hits = accepted.select(record, F.col("_k").alias(expected), F.col("_at").alias(order), F.lit(True).alias("_applied"))
     out = known.join(hits, [record, expected, order], "left")
     status = (
@@ -60,7 +58,8 @@ GENESIS = "0" * 64
 
 
 def record_hash(payload: Sequence[str], previous: str) -> Column:
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in payload], F.col(previous)), 256)
+    """Digest of the JSON array of the fields and the previous hash, so that no separator can be mistaken for content."""
+    return F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in (*payload, previous)])), 256)
 
 
 def verify_chain(df: DataFrame, ledger: str, seq: str, payload: Sequence[str], previous: str, digest: str,

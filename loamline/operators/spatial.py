@@ -217,7 +217,7 @@ def world_pixel(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
     return x, y
 
 
-def merge_clusters(bins: DataFrame, zoom: int, spacing: float, rounds: int = 50) -> DataFrame:
+def merge_clusters(bins: DataFrame, zoom: int, spacing: float) -> DataFrame:
     """Merge centroids closer than the spacing until none are: connected groups take the smallest label,
     then member-weighted centroids are formed and compared again.
 
@@ -226,7 +226,7 @@ def merge_clusters(bins: DataFrame, zoom: int, spacing: float, rounds: int = 50)
     """
     groups = bins.select(F.monotonically_increasing_id().alias("id"), "members", "lon", "lat")
     groups = cut_lineage(groups)
-    for _ in range(rounds):
+    while True:
         x, y = world_pixel(F.col("lon"), F.col("lat"), zoom)
         placed = groups.withColumns({"x": x, "y": y})
         placed = placed.withColumns({"gx": F.floor(F.col("x") / spacing), "gy": F.floor(F.col("y") / spacing)})
@@ -252,4 +252,3 @@ def merge_clusters(bins: DataFrame, zoom: int, spacing: float, rounds: int = 50)
         groups = cut_lineage(groups.join(labels, "id").groupBy("label").agg(
             F.sum("members").alias("members"), (F.sum(F.col("lon") * F.col("members")) / F.sum("members")).alias("lon"),
             (F.sum(F.col("lat") * F.col("members")) / F.sum("members")).alias("lat")).withColumnRenamed("label", "id"))
-    raise RuntimeError("Clusters did not settle")

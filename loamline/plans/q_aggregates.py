@@ -207,12 +207,15 @@ def _(t):
     return out.select("sig1", "n", "tp", "tn", "fp", "fn", *r6("accuracy", "balanced_accuracy", "precision1", "precision0", "macro_f1"))
 
 
+MONTHS = [f"m{m}" for m in range(1, 13)]
+
+
 @query("a19_pivot_items", "month", """
-    select cast(province as bigint) as province, cast(year_ce as bigint) as year_ce, round(max(case when month = 1 then tonnes end), 6) as m1, round(max(case when month = 6 then tonnes end), 6) as m6, round(max(case when month = 12 then tonnes end), 6) as m12 from month group by all""")
+    select cast(province as bigint) as province, cast(year_ce as bigint) as year_ce, round(max(case when month = 1 then tonnes end), 6) as m1, round(max(case when month = 2 then tonnes end), 6) as m2, round(max(case when month = 3 then tonnes end), 6) as m3, round(max(case when month = 4 then tonnes end), 6) as m4, round(max(case when month = 5 then tonnes end), 6) as m5, round(max(case when month = 6 then tonnes end), 6) as m6, round(max(case when month = 7 then tonnes end), 6) as m7, round(max(case when month = 8 then tonnes end), 6) as m8, round(max(case when month = 9 then tonnes end), 6) as m9, round(max(case when month = 10 then tonnes end), 6) as m10, round(max(case when month = 11 then tonnes end), 6) as m11, round(max(case when month = 12 then tonnes end), 6) as m12 from month group by all""")
 def _(t):
     rows = t.month.select("province", "year_ce", F.concat(F.lit("m"), "month").alias("item"), "tonnes")
-    out = A.pivot_items(rows, ["province", "year_ce"], "item", "tonnes", ["m1", "m6", "m12"])
-    return out.select(*ints("province", "year_ce"), *r6("m1", "m6", "m12"))
+    out = A.pivot_items(rows, ["province", "year_ce"], "item", "tonnes", MONTHS)
+    return out.select(*ints("province", "year_ce"), *r6(*MONTHS))
 
 
 @query("a20_unpivot_metrics", "", """

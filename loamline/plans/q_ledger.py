@@ -24,7 +24,7 @@ def attempts(t):
     c as (select record_id, arg_min(owner, seq) as owner, min(seq) as created from a where expected = 0 group by record_id),
     m as (select a.record_id, a.seq, a.expected from a join c on c.record_id = a.record_id and c.owner = a.owner),
     w as (select record_id, 0 as k, created as at from c union all select w.record_id, w.k + 1, (select min(seq) from m where m.record_id = w.record_id and m.expected = w.k + 1 and m.seq > w.at) from w
-        where w.k < 40 and (select min(seq) from m where m.record_id = w.record_id and m.expected = w.k + 1 and m.seq > w.at) is not null)
+        where (select min(seq) from m where m.record_id = w.record_id and m.expected = w.k + 1 and m.seq > w.at) is not null)
     select a.record_id, cast(a.seq as bigint) as seq, cast(a.expected as bigint) as expected, a.owner, case when c.record_id is null or a.seq < c.created then 'not_found' when a.owner <> c.owner then 'owner_changed' when w.at is not null then 'applied' else 'version_conflict' end as status
     from a left join c on c.record_id = a.record_id left join w on w.record_id = a.record_id and w.at = a.seq and w.k = a.expected""")
 def _(t):
@@ -39,39 +39,34 @@ def _(t):
     return both.select("record_id", *ints("version"), "v", "kind")
 
 
-SEGMENT = 16
-
-
 def chained(t):
-    """Build sound chains, then change some payloads and drop some rows. A chain is sequential, so a record's
-    log is cut into ledgers of at most sixteen rows before it is hashed."""
-    cut = t.log.withColumn("segment", F.floor(F.col("version") / SEGMENT))
-    steps = cut.groupBy("record_id", "segment").agg(
-        F.array_sort(F.collect_list(F.struct((F.col("version") % SEGMENT).alias("n"), F.concat_ws(":", "owner", "v").alias("payload")))).alias("r"))
+    """Build one sound chain per record, then change some payloads and drop some rows."""
+    steps = t.log.groupBy("record_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("version").alias("n"), F.concat_ws(":", "owner", "v").alias("payload")))).alias("r"))
     zero = F.array(F.struct(F.lit(0).cast("long").alias("seq"), F.lit("").alias("payload"), F.lit("").alias("prev_hash"), F.lit(L.GENESIS).alias("hash")))
 
     def extend(acc, row):
         before = F.element_at(acc, -1)["hash"]
         return F.concat(acc, F.array(F.struct((row["n"] + 1).cast("long").alias("seq"), row["payload"].alias("payload"), before.alias("prev_hash"),
-                                              F.sha2(F.concat_ws("|", row["payload"], before), 256).alias("hash"))))
+                                              F.sha2(F.to_json(F.array(row["payload"], before)), 256).alias("hash"))))
 
-    rows = steps.select("record_id", "segment", F.explode(F.slice(F.aggregate("r", zero, extend), 2, F.size("r"))).alias("x")).select(
-        "record_id", F.concat_ws("-", "record_id", "segment").alias("ledger"), "segment", "x.*")
+    rows = steps.select("record_id", F.explode(F.slice(F.aggregate("r", zero, extend), 2, F.size("r"))).alias("x")).select(
+        "record_id", F.col("record_id").cast("string").alias("ledger"), "x.*")
     changed = F.when(F.length("payload") % 7 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))
     return rows.where(~((F.col("record_id") % 10 == 0) & (F.col("seq") == 3))).withColumn("payload", changed)
 
 
 @query("l03_hash_chain", "log", """
-    with r as (select record_id, version // 16 as segment, version % 16 + 1 as seq, owner || ':' || v as payload from log),
-    k as (select *, max(seq) over (partition by record_id, segment) as last from r where not (record_id % 10 = 0 and seq = 3))
-    select k.record_id, cast(k.segment as bigint) as segment, cast(k.seq as bigint) as seq, case when k.seq > 1 and p.seq is null then 'sequence' when length(k.payload) % 7 = 0 then 'hash' when k.seq = k.last and k.record_id % 6 = 0 then 'head' end as problem
-    from k left join k p on p.record_id = k.record_id and p.segment = k.segment and p.seq = k.seq - 1""")
+    with r as (select record_id, version + 1 as seq, owner || ':' || v as payload from log),
+    k as (select *, max(seq) over (partition by record_id) as last from r where not (record_id % 10 = 0 and seq = 3))
+    select k.record_id, cast(k.seq as bigint) as seq, case when k.seq > 1 and p.seq is null then 'sequence' when length(k.payload) % 7 = 0 then 'hash' when k.seq = k.last and k.record_id % 6 = 0 then 'head' end as problem
+    from k left join k p on p.record_id = k.record_id and p.seq = k.seq - 1""")
 def _(t):
     rows = chained(t)
     last = rows.groupBy("ledger").agg(F.max_by("hash", "seq").alias("head"), F.first("record_id").alias("record_id"))
     heads = last.withColumn("head", F.when(F.col("record_id") % 6 == 0, L.GENESIS).otherwise(F.col("head")))
     out = L.verify_chain(rows, "ledger", "seq", ["payload"], "prev_hash", "hash", heads)
-    return out.select("record_id", "segment", "seq", "problem")
+    return out.select("record_id", "seq", "problem")
 
 
 @query("l04_source_registration", "", """

@@ -27,7 +27,6 @@ VIEWS = {
         select c_nationkey as province, year(o_orderdate) as year_ce, sum(o_totalprice) / 1000 as production,
                count(*) as area, sum(o_totalprice) / count(*) as yield_v
         from [orders] join [customer] on o_custkey = c_custkey
-        where o_orderdate < timestamp '2001-01-01 00:00:00'
         group by c_nationkey, year(o_orderdate)""",
     "month": """
         select c_nationkey as province, year(o_orderdate) as year_ce, month(o_orderdate) as month,

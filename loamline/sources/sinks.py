@@ -29,7 +29,7 @@ def merge_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], ord
 
 
 def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], partition: str,
-                 order: Sequence[str] = (), touched_limit: int = 10_000) -> None:
+                 order: Sequence[str] = ()) -> None:
     """Upsert into a partitioned parquet table, rewriting only the partitions the updates touch.
 
     The merged partitions are staged in the shared folder first, so an interrupted run never leaves a
@@ -37,14 +37,10 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: Seque
     """
     if partition not in keys:
         raise ValueError("The partition column must be part of the key")
-    touched = updates.select(partition).distinct()
-    # A pruned scan needs literal partition values; beyond the limit the join prunes at run time.
-    values = [r[0] for r in touched.limit(touched_limit + 1).collect()]
+    # The join prunes partitions at run time; a null partition value matches itself.
+    touched = updates.select(F.col(partition).alias("_touched")).distinct()
     current = spark.read.parquet(path)
-    if len(values) <= touched_limit:
-        current = current.where(F.col(partition).isin(values))
-    else:
-        current = current.join(touched, partition, "left_semi")
+    current = current.join(touched, F.col(partition).eqNullSafe(F.col("_touched")), "left_semi")
     staged = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
     merge_upsert(current, updates, keys, order).write.parquet(staged)
     (spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
