@@ -125,10 +125,11 @@ def test_versioned_updates_match_a_sequential_run(spark):
 
 def test_chain_reports_each_kind(spark):
     import hashlib
+    import json
 
     rows, before = [], L.GENESIS
     for i in range(1, 6):
-        digest = hashlib.sha256(f"p{i}|{before}".encode()).hexdigest()
+        digest = hashlib.sha256(json.dumps([f"p{i}", before], separators=(",", ":")).encode()).hexdigest()
         rows.append(["x", i, f"p{i}", before, digest])
         before = digest
     rows[1][2] = "changed"
