@@ -194,13 +194,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, plan: NearDup) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, plan: NearDup, best: int | None) -> DataFrame:
+def _across(members: DataFrame, plan: NearDup, best: int | None, sift: bool = False) -> DataFrame:
     """Surviving pairs between the components of a bucket; ``members``: band, key, rep, component, sig, of mixed buckets.
 
     A bucket's largest component is not compared with itself; the others form blocks of about ``block`` members, and
     each block meets each block of the bucket in a task of its own, so no task grows with a bucket. A pair is given by the
     first band only that it has in common. ``best`` keeps the most similar partners of each member; None keeps
     all, verified in the task itself on the members' ``text``, so that only links leave it however many pairs are close.
+    ``sift`` reads no texts and gives, instead of pairs, the members (key, rep) that have a surviving partner.
     """
     bounds = least_matches(plan)
     shares = members.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -210,7 +211,8 @@ def _across(members: DataFrame, plan: NearDup, best: int | None) -> DataFrame:
     rows = members.join(sizes.select("key", "main", parts("all").alias("blocks"), F.greatest(
         F.lit(1), F.ceil((F.col("all") - F.col("most")) / plan.block)).cast("long").alias("other_blocks")), "key")
     spread = F.abs(F.xxhash64("rep", "key"))
-    text = ["text"] if best is None else []
+    exact = best is None and not sift
+    text = ["text"] if exact else []
     right = rows.select(*text, "key", "band", F.lit(False).alias("left"), "rep", "component", "sig", (spread % F.col("blocks")).alias("right_block"),
                         F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_blocks") - 1)).alias("left_block"))
     left = rows.where("component <> main").select(
@@ -221,21 +223,30 @@ def _across(members: DataFrame, plan: NearDup, best: int | None) -> DataFrame:
         rep, comp = table.column("rep").to_numpy(), table.column("component").to_numpy()
         sig, side = _matrix(table.column("sig"), plan.size), table.column("left").to_numpy()
         lefts, rights, out, band = np.flatnonzero(side), np.flatnonzero(~side), [], table.column("band")[0].as_py()
+        near = np.zeros(len(rep), dtype=bool)
         banded = sig.reshape(-1, plan.bands, plan.rows)
-        sets = shingle_sets(to_bytes(table.column("text").combine_chunks()), plan.shingle) if best is None else []
+        sets = shingle_sets(to_bytes(table.column("text").combine_chunks()), plan.shingle) if exact else []
         for i in lefts:
             other = rights[comp[rights] != comp[i]]
             keep = other[survives(np.broadcast_to(sig[i], (len(other), plan.size)), sig[other], bounds)]
             keep = keep[(banded[keep] == banded[i]).all(axis=2).argmax(axis=1) == band]
-            if best is None:
+            if exact:
                 keep = keep[[plan.reached(sets[i], sets[j]) for j in keep]] if len(keep) else keep
-            elif len(keep) > best:
+            elif best is not None and len(keep) > best:
                 keep = keep[np.argsort(-(sig[keep] == sig[i]).sum(axis=1), kind="stable")[:best]]
-            out.append(np.stack([np.minimum(rep[keep], rep[i]), np.maximum(rep[keep], rep[i])]))
+            if sift:
+                near[keep] = True
+                near[i] |= len(keep) > 0
+            else:
+                out.append(np.stack([np.minimum(rep[keep], rep[i]), np.maximum(rep[keep], rep[i])]))
+        if sift:
+            found = np.unique(rep[near])
+            return pa.table({"key": np.full(len(found), table.column("key")[0].as_py(), dtype=np.int64), "rep": found.astype(np.int64)})
         pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), dtype=np.int64)
         return pa.table({"a": pairs[0].astype(np.int64), "b": pairs[1].astype(np.int64)})
 
-    return left.unionByName(right).groupBy("key", "left_block", "right_block").applyInArrow(run, "a long, b long")
+    return left.unionByName(right).groupBy("key", "left_block", "right_block").applyInArrow(
+        run, "key long, rep long" if sift else "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
@@ -252,7 +263,7 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
     buckets = stored(chosen.select("rep", F.posexplode("bands").alias("band", "key")))
     lead = buckets.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).where("lead < top")
     shared = stored(buckets.join(lead, "key").select("band", "key", "rep", "lead"))
-    signatures = chosen.select("rep", "sig")
+    signatures = stored(chosen.select("rep", "sig").join(shared.select("rep").distinct(), "rep", "left_semi"))
     pairs = shared.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     texts = stored(_texts(docs, shared))
     tried = stored(_pruned(pairs, signatures, plan))
@@ -267,7 +278,8 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
         if members.isEmpty():
             break
         if best is None:
-            links = links.union(stored(_across(members.join(texts, "rep"), plan, None).distinct()))
+            close = members.join(_across(members, plan, None, sift=True).distinct(), ["key", "rep"], "left_semi")
+            links = links.union(stored(_across(stored(close).join(texts, "rep"), plan, None).distinct()))
             reach = stored(components(links.union(same)))
             break
         more = stored(_across(members, plan, best).distinct().join(tried, ["a", "b"], "left_anti"))
