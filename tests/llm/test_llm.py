@@ -154,3 +154,24 @@ def test_language_and_class_model_learn(spark):
     held = [r for r in scored if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
     assert all(r["n_tokens"] == 61 for r in scored)
+
+
+def test_sifted_members_keep_all_links_of_the_exact_round(spark):
+    plan = minhash.NearDup(shingle=2, block=7)
+    hasher = minhash.Hasher(plan)
+    base = [f"w{i}" for i in range(60)]
+    texts = {}
+    for i in range(24):
+        words = list(base)
+        words[2 * i] = f"x{i}"
+        texts[i] = " ".join(words)
+    for i in range(24, 30):
+        texts[i] = " ".join(f"far{i}_{j}" for j in range(40))
+    rows = [(0, 5, i, i // 3, hasher.minima(minhash.shingle_sets([t.encode()], 2)[0]).tobytes(), t) for i, t in texts.items()]
+    members = spark.createDataFrame(rows, "band int, key long, rep long, component long, sig binary, text string")
+    every = {tuple(r) for r in minhash._across(members, plan, None).collect()}
+    close = minhash._across(members.drop("text"), plan, None, sift=True).distinct()
+    near = {r.rep for r in close.collect()}
+    assert every and all(a in near and b in near for a, b in every) and max(near) < 24
+    sifted = members.join(close, ["key", "rep"], "left_semi")
+    assert {tuple(r) for r in minhash._across(sifted, plan, None).collect()} == every
