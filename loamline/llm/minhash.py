@@ -41,8 +41,11 @@ class NearDup:
 
     def reached(self, x: np.ndarray, y: np.ndarray) -> bool:
         """Whether two full shingle sets are similar enough."""
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return self.denominator * both >= self.numerator * (len(x) + len(y) - both)
+        return bool(self.enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+
+    def enough(self, both, x, y):
+        """Whether sets of the sizes x and y that share ``both`` shingles are similar enough; also for arrays."""
+        return self.denominator * both >= self.numerator * (x + y - both)
 
     @property
     def size(self) -> int:
@@ -152,6 +155,24 @@ def survives(left: np.ndarray, right: np.ndarray, bounds: list[tuple[int, int]])
     return alive
 
 
+class SetTable:
+    """Full shingle sets of one task, numbered so that one set meets many in a single pass over their numbers."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        values, numbers = np.unique(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]), return_inverse=True)
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.numbers, self.marks = numbers.astype(np.int32), np.zeros(len(values), dtype=np.int8)
+
+    def shared(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Number of shingles that set i shares with each of the sets ``others``, none of which is empty."""
+        own = self.numbers[self.first[i]:self.first[i + 1]]
+        self.marks[own] = 1
+        both = np.array([self.marks[self.numbers[self.first[j]:self.first[j + 1]]].sum(dtype=np.int64) for j in others], dtype=np.int64)
+        self.marks[own] = 0
+        return both
+
+
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, size)
 
@@ -225,13 +246,13 @@ def _across(members: DataFrame, plan: NearDup, best: int | None, sift: bool = Fa
         lefts, rights, out, band = np.flatnonzero(side), np.flatnonzero(~side), [], table.column("band")[0].as_py()
         near = np.zeros(len(rep), dtype=bool)
         banded = sig.reshape(-1, plan.bands, plan.rows)
-        sets = shingle_sets(to_bytes(table.column("text").combine_chunks()), plan.shingle) if exact else []
+        sets = SetTable(shingle_sets(to_bytes(table.column("text").combine_chunks()), plan.shingle)) if exact else None
         for i in lefts:
             other = rights[comp[rights] != comp[i]]
             keep = other[survives(np.broadcast_to(sig[i], (len(other), plan.size)), sig[other], bounds)]
             keep = keep[(banded[keep] == banded[i]).all(axis=2).argmax(axis=1) == band]
             if exact:
-                keep = keep[[plan.reached(sets[i], sets[j]) for j in keep]] if len(keep) else keep
+                keep = keep[plan.enough(sets.shared(i, keep), sets.sizes[i], sets.sizes[keep])]
             elif best is not None and len(keep) > best:
                 keep = keep[np.argsort(-(sig[keep] == sig[i]).sum(axis=1), kind="stable")[:best]]
             if sift:
