@@ -71,9 +71,14 @@ def with_windows(df: DataFrame, words_column: str, width: int = 3, out: str = "n
     return df.withColumn(out, F.coalesce(covered, F.lit(0)).cast("long")).drop("_h", "_p", "_at")
 
 
-def measured(df: DataFrame, rules: list[Rule], rows: int = 2000, fraction: float = 0.2, seed: int = 3) -> list[Measured]:
-    """Each rule on a sample of at most ``rows`` rows. The sample decides the order of the rules alone, never a verdict."""
-    sample = df.sample(fraction=fraction, seed=seed).limit(rows).persist()
+def sampled(df: DataFrame, rows: int = 2000, seed: int = 3) -> DataFrame:
+    """At most ``rows`` rows from all over ``df``. The share follows from the count, so few rows more are shuffled."""
+    return df.sample(fraction=min(1.0, 2 * rows / max(1, df.count())), seed=seed).limit(rows)
+
+
+def measured(sample: DataFrame, rules: list[Rule]) -> list[Measured]:
+    """Each rule on ``sample``, which decides the order of the rules alone, never a verdict."""
+    sample = sample.persist()
     try:
         n = max(1, sample.count())
         found = []
@@ -130,6 +135,5 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     Null and empty texts have zero features and are rejected as short. Very long texts are read whole, repeated rows are
     judged one by one, an empty table stays empty.
     """
-    made = features(docs)
-    order = ordered(measured(made, rules or prose_rules()))
-    return cascade(made, order).withColumn("kept", F.col("rejected_by").isNull())
+    order = ordered(measured(features(sampled(docs)), rules or prose_rules()))
+    return cascade(features(docs), order).withColumn("kept", F.col("rejected_by").isNull())
