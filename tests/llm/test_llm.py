@@ -175,3 +175,19 @@ def test_sifted_members_keep_all_links_of_the_exact_round(spark):
     assert every and all(a in near and b in near for a, b in every) and max(near) < 24
     sifted = members.join(close, ["key", "rep"], "left_semi")
     assert {tuple(r) for r in minhash._across(sifted, plan, None).collect()} == every
+
+
+def test_shared_shingles_equal_set_intersections():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 40, n).astype(np.uint64)) for n in (1, 5, 30, 60, 60)] + [np.zeros(0, dtype=np.uint64)]
+    table = minhash.SetTable(sets)
+    for i in range(len(sets)):
+        assert table.shared(i, np.arange(5)).tolist() == [len(set(sets[i]) & set(s)) for s in sets[:5]]
+    assert len(minhash.SetTable([]).sizes) == 0
+
+
+def test_quality_sample_is_bounded(spark):
+    rows = docs(spark, [(i, prose(i, 5), "a", "en") for i in range(60)])
+    assert quality.sampled(rows, rows=10).count() <= 10
+    assert quality.sampled(rows, rows=100).count() == 60
+    assert quality.sampled(rows.where("false")).count() == 0
