@@ -1,13 +1,13 @@
-"""Passages that repeat across documents, by a sparse suffix array.
+"""Passages that repeat across documents, by sparse suffixes.
 
 Suffixes are kept only at content-selected positions: the smallest word 4-gram of every window of ``window`` word
-positions, so equal passages keep equal suffixes. Two passages of ``least`` equal words share a kept suffix of which at
-least ``anchor`` = least - window + 1 words lie inside the passage. Suffixes whose first ``anchor`` words occur in one
-document only are dropped. The others are sorted by what follows and, apart from that, by what precedes, are compared with their neighbours
-of another document in both orders and extended to both sides.
+positions, so equal passages keep equal suffixes. A passage of ``least`` words has its smallest suffix among its first
+``window`` positions, so at least ``anchor`` = least - window + 1 words of that suffix lie inside it. Suffixes whose first
+``anchor`` words occur in one document only are dropped, and with them every passage of ``least`` words that they stand for.
 
-No extension needs to leave the ``least`` words around its suffix: a longer passage has a kept suffix in each of its
-windows, and the found spans are merged.
+The passages that are left are settled exactly: they are grouped by the hash of all their words, which tells for each
+one whether another document has it and which document is the smallest. Touching passages make up a span. No document
+is compared with another, so it does not matter how many hold a passage or how rows are dealt to tasks.
 """
 
 from __future__ import annotations
@@ -26,25 +26,19 @@ from loamline.llm.words import Words, chunks, grams, signed, to_bytes
 class Sparse:
     least: int = 50
     window: int = 16
-    rows_per_task: int = 60_000
 
     @property
     def anchor(self) -> int:
         return self.least - self.window + 1
 
-    @property
-    def side(self) -> int:
-        """Words that a match may need on one side beyond the anchor."""
-        return self.window - 1
-
 
-def chosen(words: Words, plan: Sparse) -> tuple[np.ndarray, np.ndarray]:
-    """Kept positions (among all words of the chunk) and the hash of the anchor words there."""
+def smallest(words: Words, plan: Sparse) -> tuple[np.ndarray, np.ndarray]:
+    """First words (among all words of the chunk) of the passages of ``least`` words, and the kept position of each."""
     h, w = words.hashes, plan.window
     order = grams(h, 4)
     span = len(h) - plan.least + 1
     if span <= 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     bits = np.uint64(max(24, int(len(h)).bit_length()))
     low = order >> bits << bits | np.arange(len(order), dtype=np.uint64)
     reach = 1
@@ -53,9 +47,14 @@ def chosen(words: Words, plan: Sparse) -> tuple[np.ndarray, np.ndarray]:
         low = np.minimum(low[:-step], low[step:])
         reach += step
     owner = words.owners()
-    inside = owner[:span] == owner[plan.least - 1:]
-    at = np.unique(low[:span][inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    return at, grams(h, plan.anchor)[at]
+    start = np.flatnonzero(owner[:span] == owner[plan.least - 1:])
+    return start, (low[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
+def chosen(words: Words, plan: Sparse) -> tuple[np.ndarray, np.ndarray]:
+    """Kept positions (among all words of the chunk) and the hash of the anchor words there."""
+    at = np.unique(smallest(words, plan)[1])
+    return at, grams(words.hashes, plan.anchor)[at] if len(at) else np.zeros(0, dtype=np.uint64)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -80,129 +79,70 @@ def anchors(keyed: DataFrame, plan: Sparse) -> DataFrame:
     return keyed.mapInArrow(run, "key long, doc long, th long, pos int")
 
 
-def _contexts(texts: DataFrame, plan: Sparse) -> DataFrame:
-    """Words around each suffix as 32-bit hashes: ``after`` the anchor words, and ``before`` it with the nearest first;
-    0 stands beyond the ends of the text. ``texts``: doc, th, text, at (the text's suffixes: pos, key)."""
-    side = plan.side
+def _passages(texts: DataFrame, plan: Sparse) -> DataFrame:
+    """Rows (passage, doc, th, start): hash and first word of each passage of ``least`` words whose kept position is among
+    the text's. ``texts``: doc, th, text, at (positions)."""
 
     def run(batches):
         for batch in batches:
             doc, th, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), to_bytes(batch.column(2))
-            at = batch.column(3)
-            bounds = at.offsets.to_numpy().astype(np.int64)
-            flat = at.values
-            pos, key = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy()
+            bounds, pos = batch.column(3).offsets.to_numpy().astype(np.int64), batch.column(3).values.to_numpy().astype(np.int64)
             for begin, end in chunks(texts):
                 words = Words(texts[begin:end], lower=False)
-                short = (words.hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-                for low in range(begin, end):
-                    lo, hi = bounds[low], bounds[low + 1]
-                    first, last = words.first[low - begin], words.first[low - begin + 1]
-                    own = np.concatenate([np.zeros(side, np.uint32), short[first:last], np.zeros(side, np.uint32)])
-                    p = pos[lo:hi]
-                    after = own[p[:, None] + (side + plan.anchor) + np.arange(side)]
-                    before = own[p[:, None] + (side - 1) - np.arange(side)]
-                    both = np.concatenate([after, before], axis=1).astype(">u4")
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(key[lo:hi]), pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * side), len(p), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary()),
-                        pa.array(np.full(len(p), doc[low])), pa.array(np.full(len(p), th[low])), pa.array(p.astype(np.int32))],
-                        names=["key", "context", "doc", "th", "pos"])
-
-    return texts.select("doc", "th", "text", "at").mapInArrow(run, "key long, context binary, doc long, th long, pos int")
-
+                start, low = smallest(words, plan)
+                wanted = np.zeros(len(words.hashes), dtype=bool)
+                wanted[np.repeat(words.first[:-1], np.diff(bounds[begin:end + 1])) + pos[bounds[begin]:bounds[end]]] = True
+                start = start[wanted[low]]
+                own = np.searchsorted(words.first, start, side="right") - 1
+                yield pa.RecordBatch.from_arrays([
+                    signed(grams(words.hashes, plan.least)[start]), pa.array(doc[begin:end][own]), pa.array(th[begin:end][own]),
+                    pa.array((start - words.first[own]).astype(np.int32))], names=["passage", "doc", "th", "start"])
 
-FOUND = "key long, doc long, th long, pos int, first int, last int, edge boolean, context binary"
-
-
-def _compare(rows: DataFrame, plan: Sparse) -> DataFrame:
-    """Compare neighbours among sorted rows of each partition. Gives the matched rows, with the first and last word of
-    the match, and the partition's first and last row as edges."""
-    side, anchor = plan.side, plan.anchor
-
-    def run(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        key, doc, th, pos = (table.column(c).to_numpy() for c in ("key", "doc", "th", "pos"))
-        context = table.column("context").to_pylist()
-        ctx = np.frombuffer(b"".join(context), dtype=">u4").astype(np.uint32).reshape(-1, 2 * side)
-        after, before, n = ctx[:, :side], ctx[:, side:], len(key)
-        first, last, hit = pos.copy(), pos + anchor, np.zeros(n, dtype=bool)
-
-        def same(x, y):
-            return np.logical_and.accumulate((x == y) & (x != 0), axis=1).sum(axis=1)
-
-        for major, minor in ((after, before), (before, after)):
-            order = np.lexsort([doc, *minor.T[::-1], *major.T[::-1], key])
-            d, k = doc[order], key[order]
-            turn = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (k[1:] != k[:-1])])
-            run_of = np.repeat(np.arange(len(turn)), np.diff(np.r_[turn, n]))
-            for other in (np.r_[turn[1:], n][run_of], turn[run_of] - 1):
-                ok = np.flatnonzero((other >= 0) & (other < n))
-                ok = ok[k[other[ok]] == k[ok]]
-                x, y = order[ok], order[other[ok]]
-                right, left = same(after[x], after[y]), same(before[x], before[y])
-                long = right + left >= side
-                x, right, left = x[long], right[long], left[long]
-                hit[x] = True
-                first[x] = np.minimum(first[x], pos[x] - left)
-                last[x] = np.maximum(last[x], pos[x] + anchor + right)
-        ends = np.unique([0, n - 1])
-        at = np.flatnonzero(hit)
-        both = np.concatenate([at, ends])
-        yield pa.RecordBatch.from_arrays([
-            pa.array(key[both]), pa.array(doc[both]), pa.array(th[both]), pa.array(pos[both]), pa.array(first[both].astype(np.int32)),
-            pa.array(last[both].astype(np.int32)), pa.array(np.arange(len(both)) >= len(at)),
-            pa.array([None] * len(at) + [context[i] for i in ends], pa.binary())], names=[x.split()[0] for x in FOUND.split(", ")])
-
-    return rows.select("key", "context", "doc", "th", "pos").mapInArrow(run, FOUND)
+    return texts.select("doc", "th", "text", "at").mapInArrow(run, "passage long, doc long, th long, start int")
 
 
 def matches(docs: DataFrame, plan: Sparse = Sparse()) -> DataFrame:
-    """Rows (key, doc, th, pos, first, last): suffixes that match another document over ``least`` words or more, with
-    the words of the match from first up to last."""
+    """Rows (doc, th, start, lead): passages of ``least`` words from word ``start`` on that more than one document has,
+    with the smallest document that has them."""
     keyed = _keyed(small_batches(docs).where("text is not null"))
     repeated = anchors(keyed, plan).groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
     kept = anchors(keyed, plan).join(repeated, "key", "left_semi")
-    at = kept.groupBy("doc", "th").agg(F.collect_set(F.struct("pos", "key")).alias("at"))
-    rows = stored(_contexts(keyed.join(at, ["doc", "th"]), plan))
-    tasks = max(1, -(-rows.count() // plan.rows_per_task))
-    # Ranges over the sorted suffixes cut a frequent passage wherever its contexts or documents differ.
-    order = ["key", "context", "doc", "th", "pos"]
-    found = stored(_compare(rows.repartitionByRange(tasks, *order), plan))
-    # The last suffix of a range and the first of the next are neighbours too: two rows from each task.
-    seam = _compare(found.where("edge").select(*order).repartition(1), plan)
-    return found.union(seam).where("not edge").select("key", "doc", "th", "pos", "first", "last")
-
+    at = kept.groupBy("doc", "th").agg(F.collect_set("pos").alias("at"))
+    rows = stored(_passages(keyed.join(at, ["doc", "th"]), plan))
+    shared = rows.groupBy("passage").agg(F.min("doc").alias("lead"), F.max("doc").alias("_hi")).where("lead < _hi").select("passage", "lead")
+    return rows.join(shared, "passage").select("doc", "th", "start", "lead")
 
-SPAN = T.StructType([T.StructField(n, T.LongType()) for n in ("start_word", "end_word", "later", "first_doc_id")])
 
+def _spans(found: DataFrame, plan: Sparse) -> DataFrame:
+    """Rows (doc, th, start_word, end_word, later, lead): the passages ``found`` of each text, merged where they touch. later
+    counts the words in passages that an earlier document has; lead is the smallest document of any passage."""
+    least = plan.least
 
-@F.udf(T.ArrayType(SPAN))
-def _merged(items):
-    """Spans of one text, merged where they touch; later counts its words of which an earlier document has a copy."""
-    out: list[list[int]] = []
-    for first, last, lead, later in sorted((i["first"], i["last"], i["lead"], i["later"]) for i in items):
-        if not out or first > out[-1][1]:
-            out.append([first, last, 0, lead, -1])
-        span = out[-1]
-        span[1], span[3] = max(span[1], last), min(span[3], lead)
-        if later:
-            span[2] += max(0, last - max(first, span[4]))
-            span[4] = max(span[4], last)
-    return [tuple(s[:4]) for s in out]
-
-
-def _spans(docs: DataFrame, plan: Sparse) -> DataFrame:
-    found = stored(matches(docs, plan))
-    lead = found.groupBy("key").agg(F.min("doc").alias("lead"))
-    return found.join(lead, "key").withColumn("later", F.col("lead") < F.col("doc"))
+    def run(batches):
+        for batch in batches:
+            doc, th, every = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            bounds, flat = every.offsets.to_numpy(), every.values
+            starts, leads = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy()
+            for i in range(batch.num_rows):
+                # Rows that agree in doc_id and text give each passage once more.
+                start, first = np.unique(starts[bounds[i]:bounds[i + 1]], return_index=True)
+                lead = leads[bounds[i]:bounds[i + 1]][first]
+                begin = np.flatnonzero(np.r_[True, np.diff(start) > least])
+                early = start[lead < doc[i]]
+                words = np.minimum(np.diff(np.r_[early, early[-1:] + least]), least)
+                later = np.bincount(np.searchsorted(start[begin], early, side="right") - 1, weights=words, minlength=len(begin))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(begin), doc[i])), pa.array(np.full(len(begin), th[i])), pa.array(start[begin]),
+                    pa.array(start[np.r_[begin[1:], len(start)] - 1] + least), pa.array(later.astype(np.int64)),
+                    pa.array(np.minimum.reduceat(lead, begin))], names=["doc", "th", "start_word", "end_word", "later", "lead"])
+
+    every = found.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "lead")).alias("every"))
+    return every.mapInArrow(run, "doc long, th long, start_word long, end_word long, later long, lead long")
 
 
 def repeated_spans(docs: DataFrame, plan: Sparse = Sparse()) -> DataFrame:
     """Per maximal repeated span of a document: doc_id, start_word, end_word (exclusive), n_words, n_later (words that a
-    smaller doc_id has too), first_doc_id (smallest document with one of the span's suffixes).
+    smaller doc_id has too, in ``least`` words in a row), first_doc_id (smallest document with ``least`` words of the span).
 
     A passage counts if two documents with different doc_id share at least ``least`` words in a row, case and all.
     Repeats inside one document do not count. Null and short texts give no row; rows that agree in doc_id and text count
@@ -210,19 +150,19 @@ def repeated_spans(docs: DataFrame, plan: Sparse = Sparse()) -> DataFrame:
     """
     null = F.lit(-(1 << 63))
     named = lambda c: F.when(F.col(c) != null, F.col(c)).alias(c)
-    return _spans(docs, plan).groupBy("doc", "th").agg(F.collect_set(F.struct("first", "last", "lead", "later")).alias("all")).select(
-        "doc", F.explode(_merged("all")).alias("s")).select("doc", "s.*").withColumnRenamed("doc", "doc_id").select(
-        named("doc_id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"),
-        F.col("later").alias("n_later"), named("first_doc_id"))
+    return _spans(matches(docs, plan), plan).select(
+        named("doc").alias("doc_id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"),
+        F.col("later").alias("n_later"), named("lead").alias("first_doc_id"))
 
 
 def drop_repeats(docs: DataFrame, plan: Sparse = Sparse()) -> DataFrame:
-    """``docs`` with every repeated passage cut from all documents but the smallest doc_id that has it.
+    """``docs`` with every passage of ``least`` words cut from all documents but the smallest doc_id that has it.
 
     The cut takes the passage's words and the white space behind them. A text of which nothing is left goes; other rows
     and all columns stay. A null text stays null.
     """
-    cuts = _spans(docs, plan).where("later").groupBy("doc", "th").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))
+    spans = _spans(matches(docs, plan).where("lead < doc"), plan)
+    cuts = spans.groupBy("doc", "th").agg(F.collect_list(F.struct(F.col("start_word").alias("first"), F.col("end_word").alias("last"))).alias("cuts"))
     keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long"), "_th": F.xxhash64("text")})
     joined = keyed.join(cuts.withColumnsRenamed({"doc": "_doc", "th": "_th", "cuts": "_cuts"}), ["_doc", "_th"], "left")
     cut = joined.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(_without("text", "_cuts")))

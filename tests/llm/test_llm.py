@@ -191,3 +191,14 @@ def test_quality_sample_is_bounded(spark):
     assert quality.sampled(rows, rows=10).count() <= 10
     assert quality.sampled(rows, rows=100).count() == 60
     assert quality.sampled(rows.where("false")).count() == 0
+
+
+def test_passages_keep_words_that_no_earlier_document_has(spark):
+    shared, own = prose(70, 60).split(), [prose(80 + i, 40).split() for i in range(6)]
+    # Document 1 has the middle only; what 5 and 9 have in common around it is first in document 5.
+    texts = {1: own[0] + shared[4:56] + own[1], 5: own[2] + shared + own[3], 9: own[4] + shared + own[5]}
+    rows = docs(spark, [(i, " ".join(w), "a", "en") for i, w in texts.items()])
+    got = {r["doc_id"]: (r["n_words"], r["n_later"], r["first_doc_id"]) for r in suffixes.repeated_spans(rows).collect()}
+    assert got == {1: (52, 0, 1), 5: (60, 52, 1), 9: (60, 60, 1)}
+    cut = {r["doc_id"]: r["text"].split() for r in suffixes.drop_repeats(rows).collect()}
+    assert cut == {1: texts[1], 5: own[2] + shared[:4] + shared[56:] + own[3], 9: own[4] + own[5]}
