@@ -109,7 +109,8 @@ def matches(docs: DataFrame, plan: Sparse = Sparse()) -> DataFrame:
     kept = anchors(keyed, plan).join(repeated, "key", "left_semi")
     at = kept.groupBy("doc", "th").agg(F.collect_set("pos").alias("at"))
     rows = stored(_passages(keyed.join(at, ["doc", "th"]), plan))
-    shared = rows.groupBy("passage").agg(F.min("doc").alias("lead"), F.max("doc").alias("_hi")).where("lead < _hi").select("passage", "lead")
+    # Written, so that the join reads both sides from plain shuffles and can split a passage that very many documents have.
+    shared = stored(rows.groupBy("passage").agg(F.min("doc").alias("lead"), F.max("doc").alias("_hi")).where("lead < _hi").select("passage", "lead"))
     return rows.join(shared, "passage").select("doc", "th", "start", "lead")
 
 
