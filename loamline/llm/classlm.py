@@ -1,9 +1,10 @@
 """Brown class n-grams: exchange clustering, class transitions and word emissions.
 
-The probability of a text is the product over its tokens of P(class | class before) * P(word | class). The most
-frequent words get their classes from exchange clustering on the counts of all bigrams; every other word, seen or not,
-belongs to the class of its shape (last byte and whether it has bytes beyond ASCII), so counts of all words still
-decide how likely they are.
+The probability of a text is the product over its tokens of P(class | class before) * P(word | class). Every word of the
+training texts gets its class from exchange clustering on the counts of all bigrams: the driver clusters the most
+frequent words one by one, which gives the classes a shape, and sweeps on Spark then move all words, each against the
+matrix of class bigrams. Only words that training never saw go by their shape (last byte and whether it has bytes beyond
+ASCII); words seen once tell how likely these are.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ SHAPES = 10
 
 @dataclass(frozen=True)
 class ClassModel:
-    """``clustered``: words in exchange clustering, whose bigrams are at most its square. ``classes``: their classes.
-    ``near``: word counts that every task holds; those of rarer words are joined. ``add``: smoothing of emissions,
-    ``back``: weight of the class unigram in transitions."""
+    """``clustered``: words that the driver clusters to begin with. ``classes``: classes of all words. ``sweeps``: sweeps at
+    most, on the driver and on Spark. ``near``: words whose counts and classes every task holds; those of rarer words are
+    joined. ``add``: smoothing of unseen words, ``back``: weight of the class unigram in transitions."""
 
     clustered: int = 2048
     classes: int = 64
@@ -161,16 +162,18 @@ def exchange(table: np.ndarray, movable: int, classes: int, sweeps: int) -> np.n
 
 @dataclass(frozen=True)
 class Fitted:
-    """``known``: sorted hashes of the words in ``near``, with their counts ``near_n`` and classes ``near_class``. ``step``: log10 of
-    the transitions, the last class being the end. ``mass`` and ``kinds``: tokens and distinct words per class."""
+    """``known``: sorted hashes of the words in ``near``, with their counts ``near_n`` and classes ``near_class``. ``rare``: rows
+    (word, class, n) of all other words. ``step``: log10 of the transitions, the last class being the end. ``mass``: tokens
+    per class; ``once``: words seen once per shape."""
 
     known: np.ndarray
     near_n: np.ndarray
     near_class: np.ndarray
+    rare: DataFrame
     classes: int
     step: np.ndarray
     mass: np.ndarray
-    kinds: np.ndarray
+    once: np.ndarray
     tokens: int
     vocabulary: int
     texts: int
@@ -190,11 +193,179 @@ def least_count(counts: DataFrame, most: int) -> int:
     return least
 
 
+END = -(1 << 62)
+PAIRS = "word long, side int, other long, at int, n long"
+
+
+def neighbours(docs: DataFrame, known: np.ndarray) -> DataFrame:
+    """Rows (word, side, other, at, n): how often ``other`` stands behind (side 0) or before (side 1) the word. ``at``: its place
+    in ``known``, len(known) for the end of a text, -1 for rarer words; ``other`` is 0 unless ``at`` is -1."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        for batch in batches:
+            texts = to_bytes(batch.column(0))
+            for begin, end in chunks(texts, 2 << 20):
+                words = Words(texts[begin:end], lower=True)
+                if not len(words.hashes):
+                    continue
+                own, ids = np.unique(words.hashes, return_inverse=True)
+                size = len(own) + 1
+                row = np.full(len(ids) + len(words.first) - 1, size - 1)
+                row[np.arange(len(ids)) + words.owners()] = ids
+                pair, n = np.unique(np.concatenate([[size - 1], row[:-1]]) * size + row, return_counts=True)
+                at = np.append(_ids(own, shared.value), len(shared.value)).astype(np.int32)
+                word = np.append(own.view(np.int64), END)
+                for side, (x, y) in enumerate(((pair // size, pair % size), (pair % size, pair // size))):
+                    real = x < size - 1
+                    x, y, k = x[real], y[real], n[real]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(word[x]), pa.array(np.full(len(x), side, np.int32)), pa.array(np.where(at[y] < 0, word[y], 0)),
+                        pa.array(at[y]), pa.array(k.astype(np.int64))], names=[c.split()[0] for c in PAIRS.split(", ")])
+
+    return docs.select("text").mapInArrow(run, PAIRS).groupBy("word", "side", "other", "at").agg(F.sum("n").alias("n"))
+
+
+def _near_cells(near: DataFrame, near_class: np.ndarray, total: int) -> DataFrame:
+    """Rows (word, cells, ns): the counts of ``near`` (word, at: side * (words + 1) + place, n) added up by side * total + class."""
+    shared = near.sparkSession.sparkContext.broadcast(np.append(near_class, total - 1))
+
+    def run(batches):
+        of = shared.value
+        for batch in batches:
+            at, n = batch.column(1), batch.column(2)
+            bounds, flat, k = at.offsets.to_numpy().astype(np.int64), at.values.to_numpy(), n.values.to_numpy()
+            flat, k, bounds = flat[bounds[0]:bounds[-1]], k[bounds[0]:bounds[-1]], bounds - bounds[0]
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            cell = flat // len(of) * total + of[flat % len(of)]
+            key, place = np.unique(owner * (2 * total) + cell, return_inverse=True)
+            cuts = np.searchsorted(key, np.arange(batch.num_rows + 1) * (2 * total)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.ListArray.from_arrays(cuts, pa.array((key % (2 * total)).astype(np.int32))),
+                pa.ListArray.from_arrays(cuts, pa.array(np.bincount(place, weights=k).astype(np.int64)))], names=["word", "cells", "ns"])
+
+    return near.select("word", "ats", "ks").mapInArrow(run, "word long, cells array<int>, ns array<long>")
+
+
+def _entries(batch: pa.RecordBatch, known: np.ndarray, near_class: np.ndarray):
+    """Of rows (word, class, n, cells, ns): words, their classes, and owner, cell and count of each entry."""
+    word, kind = batch.column(0).to_numpy(), batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    bounds = batch.column(3).offsets.to_numpy().astype(np.int64)
+    cell = batch.column(3).values.to_numpy()[bounds[0]:bounds[-1]].astype(np.int64)
+    n = batch.column(4).values.to_numpy()[bounds[0]:bounds[-1]].astype(np.float64)
+    at = _ids(word.view(np.uint64), known)
+    kind = np.where(at >= 0, near_class[np.maximum(at, 0)], kind) if len(known) else kind
+    return word, kind, np.repeat(np.arange(len(word)), np.diff(bounds)), cell, n
+
+
+def _matrix(counts: DataFrame, known: np.ndarray, near_class: np.ndarray, total: int) -> np.ndarray:
+    """Class bigrams of ``counts`` under the classes by which its cells were made."""
+    shared = counts.sparkSession.sparkContext.broadcast((known, near_class))
+
+    def run(batches):
+        both = np.zeros(total * total, dtype=np.int64)
+        for batch in batches:
+            _, kind, owner, cell, n = _entries(batch, *shared.value)
+            side, other, own = cell // total, cell % total, kind[owner]
+            # What stands before a word is counted where it is a word itself; only the end has no row of its own.
+            ahead, start = side == 0, (side == 1) & (other == total - 1)
+            both += np.bincount(own[ahead] * total + other[ahead], weights=n[ahead], minlength=total * total).astype(np.int64)
+            both += np.bincount((total - 1) * total + own[start], weights=n[start], minlength=total * total).astype(np.int64)
+        at = np.flatnonzero(both)
+        yield _cells(at, both[at])
+
+    cells = counts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    both = np.zeros(total * total)
+    both[cells.column("pair").to_numpy()] = cells.column("n").to_numpy()
+    return both.reshape(total, total)
+
+
+def _moved(counts: DataFrame, known: np.ndarray, near_class: np.ndarray, both: np.ndarray, classes: int) -> DataFrame:
+    """Rows (word, class, n): the class that gives the bigrams of each word the highest likelihood, all else as it stands."""
+    shared, total = counts.sparkSession.sparkContext.broadcast((known, near_class)), len(both)
+    # Row side * total + other: the bigrams of each class with ``other`` behind it or before it.
+    table = np.concatenate([both.T, both])
+    sums = np.stack([both.sum(axis=1), both.sum(axis=0)])
+
+    def change(have, n, own):
+        """Gain of adding n to each class; the word's own class gets back what it has of it."""
+        gain = _xlogx(have + n[:, None]) - _xlogx(have)
+        at = np.flatnonzero(own < classes)
+        held = have[at, own[at]]
+        gain[at, own[at]] = _xlogx(held) - _xlogx(held - n[at])
+        return gain
+
+    def run(batches):
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 256):
+                batch = whole.slice(begin, 256)
+                word, kind, owner, cell, n = _entries(batch, *shared.value)
+                value = np.zeros((len(word), classes))
+                for low in range(0, len(cell), 1 << 14):
+                    own = owner[low:low + (1 << 14)]
+                    gain = change(table[cell[low:low + (1 << 14)], :classes], n[low:low + (1 << 14)], kind[own])
+                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    value[own[first]] += np.add.reduceat(gain, first, axis=0)
+                for side in (0, 1):
+                    size = np.bincount(owner, weights=n * (cell // total == side), minlength=len(word))
+                    value -= change(np.broadcast_to(sums[side, :classes], value.shape), size, kind)
+                new, inside = value.argmax(axis=1), kind < classes
+                rows = np.arange(len(word))
+                stay = inside & (value[rows, new] <= value[rows, np.minimum(kind, classes - 1)] + 1e-9)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0), pa.array(np.where(stay, kind, new).astype(np.int32)), batch.column(2)], names=["word", "class", "n"])
+
+    return counts.mapInArrow(run, "word long, class int, n long")
+
+
+def _likelihood(both: np.ndarray) -> float:
+    return float(_xlogx(both).sum() - _xlogx(both.sum(axis=0)).sum() - _xlogx(both.sum(axis=1)).sum())
+
+
+def exchange_all(docs: DataFrame, known: np.ndarray, near_class: np.ndarray, rare: DataFrame, classes: int, sweeps: int):
+    """Sweeps over all words. ``near_class`` and ``rare`` (word, class, n) hold the classes to begin with, where those from
+    ``classes`` on are shapes that no word keeps. Gives both anew, and the matrix of class bigrams."""
+    total = classes + SHAPES + 1
+    pairs = stored(neighbours(docs, known))
+    near = stored(pairs.where("at >= 0").groupBy("word").agg(
+        F.collect_list(F.struct((F.col("side") * F.lit(len(known) + 1) + F.col("at")).alias("at"), "n")).alias("x")).select(
+        "word", F.col("x.at").alias("ats"), F.col("x.n").alias("ks")))
+    far = pairs.where("at < 0")
+    best = None
+    for sweep in range(sweeps + 1):
+        joined = far.join(rare.select(F.col("word").alias("other"), "class"), "other").groupBy(
+            "word", (F.col("side") * total + F.col("class")).alias("cell")).agg(F.sum("n").alias("n"))
+        none = F.lit(None)
+        parts = _near_cells(near, near_class, total).select("word", none.cast("int").alias("class"), none.cast("long").alias("n"), "cells", "ns").union(
+            joined.select("word", none.cast("int"), none.cast("long"), F.array("cell"), F.array("n"))).union(
+            rare.select("word", "class", "n", F.array().cast("array<int>"), F.array().cast("array<long>")))
+        counts = stored(parts.groupBy("word").agg(
+            F.max("class").alias("class"), F.max("n").alias("n"), F.flatten(F.collect_list("cells")).alias("cells"),
+            F.flatten(F.collect_list("ns")).alias("ns")))
+        both = _matrix(counts, known, near_class, total)
+        value = _likelihood(both)
+        # The first sweep gives every word a class. Words move at the same time, so a later sweep may lose: it is taken back.
+        if sweep > 1 and value <= best[0]:
+            break
+        if sweep:
+            gained = best and value - best[0]
+            best = (value, near_class, rare, both)
+            if gained is not None and gained < 1e-3 * abs(value):
+                break
+        if sweep < sweeps:
+            moved = stored(_moved(counts, known, near_class, both, classes))
+            held = moved.where("n is null").select("word", "class").toArrow()
+            near_class = near_class.copy()
+            near_class[_ids(held.column("word").to_numpy().view(np.uint64), known)] = held.column("class").to_numpy()
+            rare = moved.where("n is not null")
+    return best[1:]
+
+
 def fit(docs: DataFrame, counts: DataFrame, plan: ClassModel) -> Fitted:
-    """Fit on ``docs`` (text) and its word counts. The driver holds the counts of ``near`` words, of the bigrams of
-    ``clustered`` words and per class, none of which grows beyond the plan's sizes."""
-    texts = docs.count()
-    top = counts.where(F.col("n") >= least_count(counts, plan.near)).toArrow()
+    """Fit on ``docs`` (text) and its word counts. The driver holds the counts and classes of ``near`` words, the bigrams of
+    ``clustered`` words and those of classes, none of which grows beyond the plan's sizes."""
+    texts, least = docs.count(), least_count(counts, plan.near)
+    top = counts.where(F.col("n") >= least).toArrow()
     word, n, shape = (top.column(c).to_numpy() for c in ("word", "n", "shape"))
     first = np.lexsort([word, -n])
     word, n, shape = word[first].view(np.uint64), n[first], shape[first].astype(np.int64)
@@ -208,77 +379,85 @@ def fit(docs: DataFrame, counts: DataFrame, plan: ClassModel) -> Fitted:
     by_rank = np.concatenate([order.argsort(), np.arange(len(known), size)])
     classes = min(plan.classes, max(1, len(known)))
     moved = exchange(table[np.ix_(by_rank, by_rank)], len(known), classes, plan.sweeps)
-    of = np.zeros(size, dtype=np.int64)
-    of[by_rank] = moved
     total = classes + SHAPES + 1
-    both = np.zeros((total, total))
-    np.add.at(both, (of[:, None], of[None, :]), table)
-    uni = both.sum(axis=0) + 1
-    step = np.log10((both + plan.back * uni / uni.sum()) / (both.sum(axis=1, keepdims=True) + plan.back))
-    mass, kinds = np.zeros(total), np.zeros(total)
-    sums = {r["shape"]: (r["n"], r["k"]) for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()}
-    for s, (m, k) in sums.items():
-        mass[classes + s], kinds[classes + s] = m, k
-    first_n, first_shape = n[:plan.clustered][order], shape[:plan.clustered][order]
-    np.subtract.at(mass, classes + first_shape, first_n)
-    np.subtract.at(kinds, classes + first_shape, 1)
-    np.add.at(mass, of[:len(known)], first_n)
-    np.add.at(kinds, of[:len(known)], 1)
     sort = np.argsort(word)
-    near_class = np.concatenate([moved[:len(known)], classes + shape[plan.clustered:]])[sort] if len(word) else np.zeros(0, dtype=np.int64)
-    tokens = int(sum(m for m, _ in sums.values())) + texts
-    return Fitted(word[sort], n[sort].astype(np.int64), near_class.astype(np.int16), classes, step, mass, kinds, tokens,
-                  int(sum(k for _, k in sums.values())) + (texts > 0), texts)
+    near_class = np.concatenate([moved[:len(known)], classes + shape[plan.clustered:]])[sort]
+    word, n = word[sort], n[sort].astype(np.int64)
+    rare = counts.where(F.col("n") < least).select("word", (F.col("shape") + classes).alias("class"), "n")
+    near_class, rare, both = exchange_all(docs, word, near_class.astype(np.int64), rare, classes, plan.sweeps)
+    sums = {r["shape"]: (r["n"], r["k"], r["once"]) for r in counts.groupBy("shape").agg(
+        F.sum("n").alias("n"), F.count("*").alias("k"), F.count_if(F.col("n") == 1).alias("once")).collect()}
+    once, mass = np.zeros(SHAPES), np.bincount(near_class, weights=n, minlength=total)
+    for s, (_, _, k) in sums.items():
+        once[s] = k
+    for r in rare.groupBy("class").agg(F.sum("n").alias("n")).collect():
+        mass[r["class"]] += r["n"]
+    tokens = int(sum(m for m, _, _ in sums.values())) + texts
+    uni = both.sum(axis=0) + 1
+    uni[classes:-1] = 0
+    step = (both + plan.back * uni / uni.sum()) / (both.sum(axis=1, keepdims=True) + plan.back)
+    # Words that training never saw come as often as words seen once did.
+    unseen = (once + 1) / (tokens + once.sum() + SHAPES + 1)
+    step *= 1 - unseen.sum()
+    step[:, classes:-1] = unseen
+    return Fitted(word, n, near_class.astype(np.int16), rare, classes, np.log10(step), mass, once, tokens,
+                  int(sum(k for _, k, _ in sums.values())) + (texts > 0), texts)
 
 
 def emission(n, kind, model: Fitted, plan: ClassModel):
-    """log10 P(word | class). Clustered words are all known; a class of rarer words keeps room for one unseen word."""
-    rare = kind >= model.classes
-    return np.log10((n + plan.add * rare) / np.maximum(model.mass[kind] + plan.add * (model.kinds[kind] + 1) * rare, 1e-300))
+    """log10 P(word | class). Seen words are all in classes; a shape counts the words seen once and has room for one unseen word."""
+    once = model.once[np.clip(kind - model.classes, 0, SHAPES - 1)]
+    unseen = plan.add / (once + plan.add * (once + 1))
+    return np.log10(np.where(kind >= model.classes, unseen, n / np.maximum(model.mass[kind], 1e-300)))
 
 
-SCORED = "row long, doc_id long, held_out boolean, word long, shape int, n long, n_tokens long, n_known long, base_score double, score double"
+SCORED = ("row long, doc_id long, held_out boolean, before long, before_kind int, word long, kind int, n_tokens long, n_known long, "
+          "base_score double, score double")
 
 
 def _near_scores(rows: DataFrame, model: Fitted, plan: ClassModel) -> DataFrame:
-    """Per text one row of everything but its rare words (word: a value of its own), and one per distinct rare word."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    """Per text one row of everything but its rare words, and one per step from or to a rare word. Kinds are classes, or
+    -1 - shape for a rare word; other words than rare ones are a value of the text's own."""
+    fixed = (model.known, model.near_n, model.near_class.astype(np.int64), model.step, emission(model.near_n, model.near_class.astype(np.int64), model, plan),
+             model.tokens, model.vocabulary, model.texts)
+    shared = rows.sparkSession.sparkContext.broadcast(fixed)
 
     def run(batches):
-        m = shared.value
-        floor = np.log10(m.tokens + m.vocabulary + 1)
-        near_emit = emission(m.near_n, m.near_class.astype(np.int64), m, plan)
-        near_base = np.log10(m.near_n + 1) - floor
-        end_base = np.log10((m.texts if m.vocabulary else 0) + 1) - floor
+        known_words, near_n, near_class, step, near_emit, tokens, vocabulary, n_texts = shared.value
+        floor = np.log10(tokens + vocabulary + 1)
+        near_base = np.log10(near_n + 1) - floor
+        end_base = np.log10((n_texts if vocabulary else 0) + 1) - floor
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), to_bytes(batch.column(1))
             for begin, end in chunks(texts):
                 words = Words(texts[begin:end], lower=True)
                 own_columns = [batch.column(i).slice(begin, end - begin) for i in (2, 3)]
-                count, owner, n = end - begin, words.owners(), words.counts
-                at = _ids(words.hashes, m.known)
+                count, owner, n, own_ids = end - begin, words.owners(), words.counts, ids[begin:end]
+                at = _ids(words.hashes, known_words)
                 near = at >= 0
                 shape = shapes(words) if len(at) else at
-                kind = np.where(near, m.near_class[np.maximum(at, 0)], m.classes + shape) if len(m.known) else m.classes + shape
-                row = np.full(len(kind) + count, len(m.step) - 1)
-                row[np.arange(len(kind)) + owner] = kind
-                steps = m.step[np.concatenate([[len(m.step) - 1], row[:-1]]), row] if len(row) else np.zeros(0)
+                kind = np.where(near, near_class[np.maximum(at, 0)], -1 - shape) if len(known_words) else -1 - shape
                 text_of = np.repeat(np.arange(count), n + 1)
+                row, name = np.full(len(kind) + count, len(step) - 1), own_ids[text_of].copy()
+                place = np.arange(len(kind)) + owner
+                row[place] = kind
+                name[place] = np.where(near, own_ids[owner], words.hashes.view(np.int64))
+                past, past_name = np.concatenate([[len(step) - 1], row[:-1]]), np.concatenate([own_ids[:1], name[:-1]])
+                past_name = np.where(past >= 0, own_ids[text_of], past_name)
+                plain = (row >= 0) & (past >= 0)
                 total = lambda who, what: np.bincount(who, weights=what, minlength=count)
                 own = owner[near]
                 base = total(own, near_base[at[near]]) + end_base
-                score = total(text_of, steps) + total(own, near_emit[at[near]])
-                known = np.bincount(own, minlength=count) + (1 if m.texts else 0)
-                far = np.flatnonzero(~near)
-                pairs, first, times = np.unique(np.stack([owner[far], words.hashes[far].view(np.int64)]), axis=1, return_index=True, return_counts=True) \
-                    if len(far) else (np.zeros((2, 0), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-                null = [None] * len(times)
+                score = total(text_of[plain], step[past[plain], row[plain]]) + total(own, near_emit[at[near]])
+                known = np.bincount(own, minlength=count) + (1 if n_texts else 0)
+                far = np.flatnonzero(~plain)
+                null = [None] * len(far)
+                own_row = own_ids[text_of[far]]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([ids[begin:end], ids[begin:end][pairs[0]]])),
-                    *[pa.concat_arrays([x, pa.nulls(len(times), x.type)]) for x in own_columns],
-                    pa.array(np.concatenate([ids[begin:end], pairs[1]])),
-                    pa.array([None] * count + shape[far][first].tolist(), pa.int32()),
-                    pa.array(np.concatenate([np.zeros(count, dtype=np.int64), times.astype(np.int64)])),
+                    pa.array(np.concatenate([own_ids, own_row])),
+                    *[pa.concat_arrays([x, pa.nulls(len(far), x.type)]) for x in own_columns],
+                    pa.array(np.concatenate([own_ids, past_name[far]])), pa.array([None] * count + past[far].tolist(), pa.int32()),
+                    pa.array(np.concatenate([own_ids, name[far]])), pa.array([None] * count + row[far].tolist(), pa.int32()),
                     pa.array((n + 1).tolist() + null, pa.int64()), pa.array(known.tolist() + null, pa.int64()),
                     pa.array(base.tolist() + null, pa.float64()), pa.array(score.tolist() + null, pa.float64())],
                     names=[x.split()[0] for x in SCORED.split(", ")])
@@ -286,6 +465,28 @@ def _near_scores(rows: DataFrame, model: Fitted, plan: ClassModel) -> DataFrame:
     return rows.mapInArrow(run, SCORED)
 
 
+def _step_scores(steps: DataFrame, model: Fitted, plan: ClassModel) -> DataFrame:
+    """``steps`` with the scores of those from class ``a`` to ``b``; n is the count of a rare word, null for another."""
+    floor, classes = float(np.log10(model.tokens + model.vocabulary + 1)), model.classes
+    step, mass = model.step, np.maximum(model.mass, 1e-300)
+    unseen = emission(np.zeros(SHAPES), classes + np.arange(SHAPES), model, plan)
+
+    def run(batches):
+        for batch in batches:
+            here = batch.column(7).is_valid().to_numpy(zero_copy_only=False)
+            a, b = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (7, 8))
+            rare = batch.column(9).is_valid().to_numpy(zero_copy_only=False)
+            n = batch.column(9).fill_null(0).to_numpy(zero_copy_only=False)
+            old = [batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6)]
+            emit = np.where(n > 0, np.log10(np.maximum(n, 1) / mass[b]), unseen[np.clip(b - classes, 0, SHAPES - 1)])
+            yield pa.RecordBatch.from_arrays([
+                *[batch.column(i) for i in (0, 1, 2)], pa.array(old[0]), pa.array(old[1] + (rare & (n > 0))),
+                pa.array(old[2] + np.where(rare, np.log10(n + 1) - floor, 0)), pa.array(old[3] + np.where(here, step[a, b], 0) + np.where(rare, emit, 0))],
+                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return steps.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+
+
 def score_texts(docs: DataFrame, training: Column, plan: ClassModel = ClassModel()) -> DataFrame:
     """``docs`` (doc_id, text) as doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity.
 
@@ -298,15 +499,13 @@ def score_texts(docs: DataFrame, training: Column, plan: ClassModel = ClassModel
     model = fit(learned, counts, plan)
     base = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("_t")).withColumn("_row", F.monotonically_increasing_id())
     parts = _near_scores(base.select("_row", "text", F.col("doc_id").cast("long"), (~F.col("_t")).alias("held_out")), model, plan)
-    rare = counts.select("word", F.col("n").alias("c"))
-    floor = float(np.log10(model.tokens + model.vocabulary + 1))
-    mass = F.array(*[F.lit(float(model.mass[model.classes + s] + plan.add * (model.kinds[model.classes + s] + 1))) for s in range(SHAPES)])
-    c, n = F.coalesce("c", F.lit(0)), F.col("n")
-    rare_word = F.col("shape").isNotNull()
-    joined = parts.join(rare, "word", "left").select("row", "doc_id", "held_out", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.when(
-        rare_word, F.when(c > 0, n).otherwise(0)).otherwise(F.col("n_known")).alias("n_known"), F.when(
-        rare_word, n * (F.log10(c + 1) - floor)).otherwise(F.col("base_score")).alias("base_score"), F.when(
-        rare_word, n * F.log10((c + plan.add) / F.get(mass, F.col("shape")))).otherwise(F.col("score")).alias("score"))
+    behind = model.rare.select("word", F.col("class").alias("c"), "n")
+    ahead = model.rare.select(F.col("word").alias("before"), F.col("class").alias("before_c"))
+    kind = lambda k, c: F.when(F.col(k) < 0, F.coalesce(c, model.classes - 1 - F.col(k))).otherwise(F.col(k)).cast("int")
+    steps = parts.join(ahead, "before", "left").join(behind, "word", "left").select(
+        "row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", kind("before_kind", "before_c").alias("a"),
+        kind("kind", "c").alias("b"), F.when(F.col("kind") < 0, F.coalesce("n", F.lit(0))).alias("n"))
+    joined = _step_scores(steps, model, plan)
     scored = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[
         F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")])
     return scored.select(

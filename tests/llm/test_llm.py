@@ -223,3 +223,20 @@ def test_passages_around_a_hot_anchor_against_brute_force(spark):
         (i, k) for i in texts for k in cover(i, lambda w, _: low[w] < high[w])}
     cut = {r["doc_id"]: r["text"].split() for r in suffixes.drop_repeats(rows).collect()}
     assert cut == {i: [w for k, w in enumerate(texts[i]) if k not in cover(i, lambda w, own: low[w] < own)] for i in texts}
+
+
+def test_words_beyond_the_first_clustered_get_classes(spark):
+    # Two vocabularies that never meet; the driver clusters 20 words of 240, and tasks hold no more than 60 by themselves.
+    vocabulary = [[f"{w}{side}x" for w in dict.fromkeys(prose(95 + side, 140).split())][:120] for side in (0, 1)]
+    rows = [(i, " ".join(random.Random(i).choices(vocabulary[i % 2], k=80)), "a", "en") for i in range(200)]
+    plan = classlm.ClassModel(clustered=20, classes=2, near=60)
+    table = docs(spark, rows)
+    counts = classlm.word_counts(table)
+    model = classlm.fit(table, counts, plan)
+    side = {int(h): i for i in (0, 1) for h in classlm.Words([" ".join(vocabulary[i]).encode()], lower=True).hashes.view(np.int64)}
+    of = {int(h): int(c) for h, c in zip(model.known.view(np.int64), model.near_class)} | {r["word"]: r["class"] for r in model.rare.collect()}
+    assert of.keys() == side.keys() and 0 < len(model.known) <= 60
+    assert len({(side[w], of[w]) for w in of}) == 2 and set(of.values()) == {0, 1}
+    scored = classlm.score_texts(table, F.col("doc_id") < 150, plan).collect()
+    held = [r for r in scored if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) and all(r["n_tokens"] == 81 for r in scored)
