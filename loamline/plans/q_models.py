@@ -247,7 +247,7 @@ def _(t):
 def _(t):
     rows = direction_panel(t)
     out = M.permutation_importance(rows.where("year_ce <= 1998"), rows.where("year_ce > 1998"), "logistic", ["lag", "lag_production", "area"],
-                                   {"yield": ["lag"], "weather": ["lag_production", "area"]}, "province", "label", ["province", "year_ce"], 2)
+                                   {"yield": ["lag"], "weather": ["lag_production", "area"]}, "province", "label", ["province", "year_ce"])
     return out.select("group", *r6("drop_mean", "drop_sd"), "repeats")
 
 

@@ -179,7 +179,7 @@ def _(t):
     from s left join c on c.province = s.province and c.day between a and b group by s.province, y, a, b""")
 def _(t):
     found = W.dry_triggers(t.daily_full, ["province"], "day", "rain_mm", 40, 15, 170, 31)
-    searches = t.daily_full.where(F.year("day") < 2002).select("province", F.year("day").alias("year")).distinct().select(
+    searches = t.daily_full.select("province", F.year("day").alias("year")).distinct().select(
         "province", "year", F.make_date("year", F.lit(2), F.lit(1)).alias("start"), F.make_date("year", F.lit(7), F.lit(31)).alias("end"))
     out = W.trigger_search(found, searches, ["province"], "day")
     listed = F.array_join(F.transform("triggers", lambda d: d.cast("string")), ",")

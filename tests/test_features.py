@@ -1,6 +1,7 @@
 """Cohort windows, triggers, seasons and leakage checks on small daily series."""
 
 import datetime as dt
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from loamline.operators import aggregates as A
 from loamline.operators import features as B
 from loamline.operators import models as M
 from loamline.operators import windows as W
+from loamline.plans.catalog import REGISTRY
 
 DAY0 = dt.date(2024, 1, 1)
 
@@ -181,3 +183,14 @@ def test_heldout_target_does_not_move_predictions(spark):
         _, out = M.nested_validate(frame, configs, ["e"], "y", "t", [2007], 2)
         got.append(sorted((r["policy"], r["e"], round(r["predicted"], 6)) for r in out.collect()))
     assert got[0] == got[1] and len(got[0]) == 9
+
+
+def test_trigger_search_takes_every_year(spark):
+    rows = [(1, dt.date(y, 1, 1) + dt.timedelta(days=i), 0.0) for y in (2001, 2002, 2003) for i in range(365)]
+    t = SimpleNamespace(daily_full=spark.createDataFrame(rows, "province long, day date, rain_mm double"))
+    assert {r["year"] for r in REGISTRY["e11_trigger_search"].build(t).collect()} == {2001, 2002, 2003}
+
+
+def test_permutation_importance_repeats_as_the_operator_does(spark):
+    got = REGISTRY["m18_permutation_importance"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["group"] for r in got} == {"yield", "weather"} and {r["repeats"] for r in got} == {5}
