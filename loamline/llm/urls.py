@@ -13,11 +13,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Templates:
-    """``depth``: segments a template tells apart; deeper ones share a last wildcard. ``z``: standard errors by which a branch
-    that stays literal differs. ``prior``: smoothing weight on both sides. ``block``: smoothed share of blocked labels from
-    which a template is rejected."""
+    """``z``: standard errors by which a branch that stays literal differs. ``prior``: smoothing weight on both sides.
+    ``block``: smoothed share of blocked labels from which a template is rejected."""
 
-    depth: int = 6
     z: float = 2.6
     prior: float = 1.0
     block: float = 0.9
@@ -64,14 +62,13 @@ def longest(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Colu
     return text, verdict
 
 
-def shape(path: Column, plan: Templates) -> Column:
+def shape(path: Column) -> Column:
     """Segments of a path with the variable ones generalised: digits, long hexadecimal runs and segments mixing many digits
-    become wildcards that keep a file ending; segments beyond the depth share one wildcard."""
+    become wildcards that keep a file ending."""
     segment = lambda s: F.when(s.rlike(r"^[0-9]+(\.[a-z0-9]{1,5})?$") | s.rlike(r"^[0-9a-fA-F-]{8,}$") | s.rlike(r"[0-9].*[0-9].*[0-9].*[0-9]"),
                                F.lit("*")).otherwise(s)
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    made = F.transform(F.slice(parts, 1, plan.depth), segment)
-    return F.when(F.size(parts) > plan.depth, F.concat(made, F.array(F.lit("**")))).otherwise(made)
+    return F.transform(parts, segment)
 
 
 def templates(pages: DataFrame, plan: Templates = Templates()) -> DataFrame:
@@ -111,7 +108,7 @@ def judge(pages: DataFrame, rules: list[Rule], plan: Templates = Templates()) ->
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "template", "purity", "verdict")]
     split = pages.select(*keep, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, label = longest(rules, F.col("host"), F.col("path"))
-    made = split.withColumns({"rule": rule, "_label": label, "_shape": shape(F.col("path"), plan)})
+    made = split.withColumns({"rule": rule, "_label": label, "_shape": shape(F.col("path"))})
     found = templates(made.select("host", F.col("_shape").alias("shape"), F.col("_label").alias("label")), plan)
     known = found.select(F.col("host").alias("_host"), F.col("shape").alias("_known"), "template", "purity")
     joined = made.join(known, (F.col("host") == F.col("_host")) & (F.col("_shape") == F.col("_known")), "left")

@@ -240,3 +240,11 @@ def test_words_beyond_the_first_clustered_get_classes(spark):
     scored = classlm.score_texts(table, F.col("doc_id") < 150, plan).collect()
     held = [r for r in scored if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) and all(r["n_tokens"] == 81 for r in scored)
+
+
+def test_urls_tell_apart_branches_below_the_sixth_segment(spark):
+    rules = [urls.Rule.parse("block", "net/a/b/c/d/e/f/bad/")]
+    pages = [(i, f"http://a.net/a/b/c/d/e/f/{'bad' if i % 2 else 'good'}/{i}") for i in range(60)]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), rules).collect()}
+    assert got[1]["template"].endswith("/bad/*") and got[0]["template"] != got[1]["template"]
+    assert got[1]["purity"] > 0.9 and got[0]["purity"] == 0.5 and got[0]["verdict"] == "allow"
