@@ -17,7 +17,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     go, and so do texts none of whose n-grams any language has."""
     model = langid.learn(docs.select("text", "lang"))
     found = langid.predict(docs, model)
-    return found.where("lang_pred <> 'und' and score > 0").select(*docs.columns)
+    return found.where("lang_pred <> 'und' and lang_share > 0").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -126,18 +126,18 @@ def hits(gram: np.ndarray, owner: np.ndarray, texts: int, model: Model, plan: Fi
 
 
 def predict(docs: DataFrame, model: Model, plan: Filters = Filters()) -> DataFrame:
-    """All columns of ``docs`` but its own lang_pred and score, with lang_pred and score (0 to 1).
+    """All columns of ``docs`` but its own lang_pred, score and lang_share, with lang_pred, score and lang_share (0 to 1).
 
-    lang_pred is the language with the largest share of corrected hits, equal ones by name; score is that share scaled
+    lang_share is the winner's share of corrected hits, above 0 for a tie too, whose score is 0. lang_pred is the language with the largest share of corrected hits, equal ones by name; score is that share scaled
     by the lead over the runner-up. A null text, one without a letter, and any text if no language was learned give
     `und` and 0; a text without any hit gives the most frequent language and 0.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_share")]
     at = keep.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def decide(texts: list[bytes | None]) -> tuple[list[str], list[float]]:
-        m, langs, scores = shared.value, [], []
+    def decide(texts: list[bytes | None]) -> tuple[list[str], list[float], list[float]]:
+        m, langs, scores, shares = shared.value, [], [], []
         plain = [t or b"" for t in texts]
         for begin, end in chunks(plain):
             total, found = hits(*letters(plain[begin:end]), end - begin, m, plan) if m.languages else (np.zeros(end - begin), None)
@@ -145,22 +145,25 @@ def predict(docs: DataFrame, model: Model, plan: Filters = Filters()) -> DataFra
                 if not m.languages or not any(c.isalpha() for c in plain[begin + i].decode("utf-8", "replace")):
                     langs.append("und")
                     scores.append(0.0)
+                    shares.append(0.0)
                     continue
                 right = np.maximum(0, (found[i] - total[i] * m.false) / np.maximum(1e-9, 1 - m.false)) / max(1.0, total[i])
                 best = int(right.argmax())
                 second = float(np.delete(right, best).max(initial=0.0))
                 langs.append(m.languages[best] if right[best] > 0 else m.common)
                 scores.append(float(min(1.0, right[best]) * (right[best] - second) / right[best]) if right[best] > 0 else 0.0)
-        return langs, scores
+                shares.append(float(min(1.0, right[best])))
+        return langs, scores, shares
 
     def run(batches):
         for batch in batches:
             texts = batch.column(at).cast(pa.binary()).to_pylist()
-            langs, scores = decide(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             names=[*keep, "lang_pred", "score"])
+            langs, scores, shares = decide(texts)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())],
+                                             names=[*keep, "lang_pred", "score", "lang_share"])
 
-    out = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+                        T.StructField("lang_share", T.DoubleType())])
     return small_batches(docs).select(*keep).mapInArrow(run, out)
 
 

@@ -248,3 +248,11 @@ def test_urls_tell_apart_branches_below_the_sixth_segment(spark):
     got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), rules).collect()}
     assert got[1]["template"].endswith("/bad/*") and got[0]["template"] != got[1]["template"]
     assert got[1]["purity"] > 0.9 and got[0]["purity"] == 0.5 and got[0]["verdict"] == "allow"
+
+
+def test_language_id_keeps_texts_that_two_languages_share(spark):
+    import corpus_pipeline
+
+    rows = [(i, "shared words only", "a", "en" if i % 2 else "de") for i in range(20)] + [(20, "12 34", "a", "en"), (21, "qqqqqq", "a", None)]
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs(spark, rows), "").collect()}
+    assert kept == set(range(20))
