@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamline.llm import classlm, langid, minhash, mixing, packing, quality, sharding, suffixes, urls, vectors
+from loamline.llm import classlm, langid, minhash, mixing, packing, quality, ranking, sharding, suffixes, tokens, urls, variants, vectors
 
 RULES = [urls.Rule.parse(v, t) for v, t in (
     ("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))]
@@ -68,6 +68,23 @@ def op10_sainte_lague_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs, mixing.cycle_weights).select("doc_id", "size", "source_size", "target", "taken", "shard_words")
 
 
+def op11_length_strata(spark: SparkSession, folder: str) -> DataFrame:
+    found = ranking.search(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark").select("item_id", "text"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def op12_whole_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = tokens.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.count_tokens(_table(spark, folder, "documents").select("doc_id", "text"), vocabulary).select(
+        "doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op13_spelling_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.group_variants(_table(spark, folder, "documents").select("doc_id", "text"), slip=31)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,8 +93,10 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_cascade, op2_vector_range_join, op3_best_fit_packing, op4_class_lm, op5_minhash, op6_suffix_array,
-    op7_language_filters, op8_url_templates, op9_feistel_shards, op10_sainte_lague_mix, pipeline)}
+    op7_language_filters, op8_url_templates, op9_feistel_shards, op10_sainte_lague_mix,
+    op11_length_strata, op12_whole_tokens, op13_spelling_chunks, pipeline)}
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 _COMPONENTS = """
@@ -138,4 +157,38 @@ cut as (select doc_id, i, case when i - lag(i) over (partition by doc_id order b
 grp as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as g from cut)
 select doc_id, min(i)::bigint as start_word, (max(i) + 50)::bigint as end_word, (max(i) + 50 - min(i))::bigint as n_words
 from grp group by doc_id, g""",
+    "op11_length_strata": rf"""
+with d as (select row_number() over () as r, doc_id,
+             regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+c as (select count(*)::bigint as n_docs, sum(len(w))::bigint as n_terms from d where len(w) > 0),
+p as (select r, t, count(*)::bigint as tf from (select r, unnest(w) as t from d) group by r, t),
+f as (select t, count(*)::bigint as df from p group by t),
+g as (select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)))::bigint as weight from f, c),
+l as (select r, doc_id, 10 + (90 * len(w)::bigint * n_docs) // n_terms as m from d, c where len(w) > 0),
+q as (select distinct item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+s as (select item_id, l.r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+      from q join p using (t) join g using (t) join l on l.r = p.r group by item_id, l.r, doc_id),
+k as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from s where score > 0)
+select item_id, rank::int as rank, doc_id, score from k where rank <= 10""",
+    "op13_spelling_chunks": rf"""
+with recursive crc as (select list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda x, y:
+    case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)) as step),
+runs as (select doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[a-z\x{{C0}}-\x{{FF}}]+')) as run from documents where text is not null),
+u as (select doc_id, run, count(*) as k from runs where length(run) >= 7 group by doc_id, run),
+b as (select run, k, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as x from u),
+h as (select run, k, xor(list_reduce([4294967295] || list_transform(range(1, len(x), 2), lambda i: ('0x' || x[i:i+1])::bigint),
+        lambda a, c: xor(step[(xor(a, c) & 255) + 1], a >> 8)), 4294967295) as h from b, crc),
+v as (select case when h % 31 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, k from h),
+w as (select word, sum(k)::bigint as n from v where length(word) >= 7 group by word having sum(k) >= 2),
+cut as (select word, n, i, left(word, i::int - 1) || substr(word, i::int + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from w)),
+near as (select x.word, x.n, y.word as other, y.n as m from cut x join cut y on x.i = y.i and x.rest = y.rest and x.word <> y.word
+         union select cut.word, cut.n, w.word, w.n from cut join w on cut.rest = w.word
+         union select w.word, w.n, cut.word, cut.n from cut join w on cut.rest = w.word),
+best as (select word, n, other, m, count(*) over (partition by word) as n_near,
+           row_number() over (partition by word order by m desc, other) as r from near),
+k as (select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when m >= 10 * w.n then other end as form,
+        case when m >= 10 * w.n then m end as form_n from w left join best on best.word = w.word and r = 1),
+way(word, here) as (select word, word from k union all select way.word, k.form from way join k on k.word = way.here where k.form is not null)
+select k.word, form, here as root, n, n_near, form_n
+from k join (select way.word, here from way join k on k.word = way.here where k.form is null) e on e.word = k.word""",
 }
