@@ -114,13 +114,13 @@ def robust_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     tall = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
                                               for c in columns])).alias("m")).select(*by, "m.*").where("value is not null")
     keys = [*by, "feature"]
+    # Equal readings are one row from here on; the deviations are taken from these rows.
+    counted = cut_lineage(tall.groupBy(*keys, "value").agg(F.count("*").alias("rows")))
     # One row per feature, used three times below: written once instead of computed three times.
-    quartiles = cut_lineage(grouped_quantiles(tall, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}))
-    centred = tall.join(quartiles.select(*keys, "median"), keys).withColumn("dev", F.abs(F.col("value") - F.col("median")))
-    mad = grouped_quantiles(centred, keys, "dev", {"mad": 0.5}).drop("n")
-    span = tall.groupBy(*keys).agg((F.min("value") < F.max("value")).alias("_varies"))
-    return quartiles.join(mad, keys).join(span, keys).withColumn(
-        "usable", (F.col("mad") > 0) & F.col("_varies")).drop("_varies")
+    quartiles = cut_lineage(grouped_quantiles(counted, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75, "_low": 0.0, "_high": 1.0}, "rows"))
+    centred = counted.join(quartiles.select(*keys, "median"), keys).withColumn("dev", F.abs(F.col("value") - F.col("median")))
+    mad = grouped_quantiles(centred, keys, "dev", {"mad": 0.5}, "rows").drop("n")
+    return quartiles.join(mad, keys).withColumn("usable", (F.col("mad") > 0) & (F.col("_low") < F.col("_high"))).drop("_low", "_high")
 
 
 def daily_sensor(df: DataFrame, by: Sequence[str], ts: str, tie: str, value: str, flags: Sequence[str] = (),

@@ -401,9 +401,9 @@ def pre_anchor_windows(daily: DataFrame, anchors: DataFrame, by: Sequence[str],
 def interval_features(seasons: DataFrame, intervals: DataFrame, entity: Sequence[str], keys: Sequence[str], age: int, value: str,
                       start: str, end: str, min_coverage: float = 50.0) -> DataFrame:
     """Overlap-weighted interval values over the pre-bloom and fruit windows of all cohorts."""
-    density = J.interval_density(intervals, entity, start, end, value).select(
-        *entity, "day", F.col("n").alias("_n"), F.col("v").alias("_v"))
     cells = stage_cells(seasons, keys, [age], {"pre_bloom": (-90, 0), "fruit": (0, None)})
+    density = J.interval_density(cells, intervals, entity, start, end, value).select(
+        *entity, "day", F.col("n").alias("_n"), F.col("v").alias("_v"))
     joined = cells.join(density, [*entity, "day"], "left")
     w = F.col("weight")
     out = joined.groupBy(*keys, "stage").agg(

@@ -145,16 +145,36 @@ def vintage_asof(origins: DataFrame, forecasts: DataFrame, by: Sequence[str], or
     return left.join(best, [*by, "_o"], "left").drop("_o")
 
 
-def interval_density(intervals: DataFrame, by: Sequence[str], start: str, end: str, value: str) -> DataFrame:
-    """(by, day, n, v): how many known intervals cover each day and the sum of their values.
+def dyadic_blocks(df: DataFrame, first: Column, beyond: Column) -> DataFrame:
+    """Each row once per aligned block of [first, beyond): ``_l``, ``_k`` stand for the days _k * 2**_l to (_k + 1) * 2**_l - 1.
 
-    Intervals are short, so they are counted on the days they cover and added up per day before the shuffle; sums never
-    take a value off again, which would lose small values next to large ones. NaN counts as unknown.
+    A span of n days falls into at most 2 * log2(n) such blocks, none overlapping another. At each level the span
+    shrinks to whole blocks; the outermost ones that have no partner inside the span belong to it.
     """
+    spans = df.withColumns({"_a": first.cast("long"), "_b": beyond.cast("long")}).where("_a < _b")
+    sides = spans.withColumn("_i", F.expr("explode(sequence(0, 2 * cast(floor(log2(cast(_b - _a as double))) as int) + 3))"))
+    level = sides.withColumn("_l", F.expr("shiftright(_i, 1)")).withColumns({
+        "_low": F.expr("shiftright(_a + shiftleft(1L, _l) - 1L, _l)"), "_high": F.expr("shiftright(_b, _l)")}).where("_low < _high")
+    block = F.expr("case when _i & 1 = 0 then case when _low & 1L = 1L then _low end when _high & 1L = 1L then _high - 1L end")
+    return level.withColumn("_k", block).where("_k is not null").drop("_a", "_b", "_i", "_low", "_high")
+
+
+def interval_density(days: DataFrame, intervals: DataFrame, by: Sequence[str], start: str, end: str, value: str) -> DataFrame:
+    """(by, day, n, v) for the distinct (by, day) of ``days``: how many known intervals cover the day and the sum of their
+    values. Days that no interval covers are left out.
+
+    Intervals, ends inclusive, are cut into aligned blocks and added up per block; a day reads the blocks that hold it,
+    one per level. Rows grow with the logarithm of an interval's length, not with its days. Sums never take a value off
+    again, which would lose small values next to large ones. NaN counts as unknown.
+    """
+    by = list(by)
     v = F.col(value).cast("double")
-    known = intervals.where(v.isNotNull() & ~F.isnan(v) & (F.col(end) >= F.col(start)))
-    covered = known.select(*by, F.explode(F.sequence(F.col(start), F.col(end))).alias("day"), v.alias("v"))
-    return covered.groupBy(*by, "day").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+    known = intervals.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"), F.unix_date(start).alias("_s"), F.unix_date(end).alias("_e"))
+    blocks = dyadic_blocks(known, F.col("_s"), F.col("_e") + 1).groupBy(*by, "_l", "_k").agg(F.count("*").alias("_n"), F.sum("_v").alias("_v"))
+    # 22 levels hold every date of a four-digit year.
+    path = days.select(*by, "day").distinct().withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(21)))).withColumn(
+        "_k", F.expr("shiftright(cast(unix_date(day) as bigint), _l)"))
+    return path.join(blocks, [*by, "_l", "_k"]).groupBy(*by, "day").agg(F.sum("_n").alias("n"), F.sum("_v").alias("v"))
 
 
 def interval_exposure(windows: DataFrame, intervals: DataFrame, by: Sequence[str], window_id: Sequence[str],
@@ -162,15 +182,15 @@ def interval_exposure(windows: DataFrame, intervals: DataFrame, by: Sequence[str
                       min_coverage: float = 50.0) -> DataFrame:
     """Overlap-weighted mean of interval values per window [start, stop), and the coverage percent.
 
-    Interval ends are inclusive days. Intervals are first reduced to one row per (entity, day), so the
-    join with the window days is one to many whatever the number of intervals.
+    Interval ends are inclusive days. The density is looked up for the days of the windows only, each once however many
+    windows share it, so the join with the window days is one to many whatever the number of intervals.
     """
     by = list(by)
-    daily = interval_density(intervals, by, interval_start, interval_end, value).select(
-        *by, F.col("day").alias("_day"), F.col("n").alias("_n"), F.col("v").alias("_v"))
     days = windows.select(*by, *window_id, F.datediff(stop, start).alias("_len"),
-                          F.explode(F.sequence(F.col(start), F.date_sub(stop, 1))).alias("_day"))
-    joined = days.join(daily, [*by, "_day"], "left")
+                          F.explode(F.sequence(F.col(start), F.date_sub(stop, 1))).alias("day"))
+    daily = interval_density(days, intervals, by, interval_start, interval_end, value).select(
+        *by, "day", F.col("n").alias("_n"), F.col("v").alias("_v"))
+    joined = days.join(daily, [*by, "day"], "left")
     out = joined.groupBy(*by, *window_id).agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("overlap_days"), F.sum("_v").alias("_sum"), F.first("_len").alias("_len"))
     coverage = 100.0 * F.col("overlap_days") / F.col("_len")

@@ -4,8 +4,9 @@ all versions of a record."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.operators.quality import validate_rules
@@ -18,24 +19,32 @@ def apply_versioned(attempts: DataFrame, record: str, order: str, expected: str,
     An attempt is applied when ``expected`` equals the record's current version; a create expects 0. The
     owner of the create may not change. Adds ``status``: applied, version_conflict, owner_changed, not_found.
 
-    The attempt accepted for version k is the first one expecting k after the attempt accepted for k - 1.
-    Starting from the first attempt of every version, each round moves the accepted attempts behind their
-    predecessors, for all records and versions at once, until nothing moves.
+    The attempt accepted for version k is the first one expecting k after the attempt accepted for k - 1, so each attempt
+    points to one successor, and the accepted ones are the chain that starts at the create. Pointers are doubled: after
+    round i the first 2**i links of every chain are known, so the rounds grow with the logarithm of the longest chain.
+    A round writes the links it has found and the pointers of records whose chain goes on, of attempts that another
+    one points to.
     """
     creates = attempts.where(F.col(expected) == 0).groupBy(record).agg(
         F.min_by(owner, order).alias("_owner"), F.min(order).alias("_created"))
     known = attempts.join(creates, record, "left")
     mine = known.where(F.col(owner).eqNullSafe(F.col("_owner")) & F.col("_owner").isNotNull())
-    numbers = cut_lineage(mine.select(record, F.col(expected).alias("_k"), F.col(order).alias("_at")))
-    accepted = cut_lineage(numbers.groupBy(record, "_k").agg(F.min("_at").alias("_at")))
-    while True:
-        bounds = accepted.select(record, (F.col("_k") + 1).alias("_k"), F.col("_at").alias("_after"))
-        moved = numbers.join(bounds, [record, "_k"], "left").where(
-            (F.col("_k") == 0) | (F.col("_at") > F.col("_after"))).groupBy(record, "_k").agg(F.min("_at").alias("_at"))
-        moved = cut_lineage(moved)
-        if moved.exceptAll(accepted).isEmpty() and accepted.exceptAll(moved).isEmpty():
-            break
-        accepted = moved
+    numbers = mine.groupBy(record, F.col(expected).cast("long").alias("_k"), F.col(order).alias("_at")).agg(F.lit(1).alias("_one")).drop("_one")
+    pointers = _successors(numbers, record)
+    reached = [cut_lineage(creates.select(record, F.lit(0).cast("long").alias("_k"), F.col("_created").alias("_at")))]
+    aimed = pointers.select(record, (F.col("_k") + 1).alias("_k"), F.col("_to").alias("_at")).distinct()
+    pointers = cut_lineage(pointers.join(aimed.unionByName(reached[0]), [record, "_k", "_at"], "left_semi"))
+    step = 1
+    while not pointers.isEmpty():
+        here = reduce(DataFrame.unionByName, reached)
+        ahead = pointers.withColumn("_next", F.col("_k") + step)
+        reached.append(cut_lineage(here.join(ahead, [record, "_k", "_at"]).select(record, F.col("_next").alias("_k"), F.col("_to").alias("_at"))))
+        beyond = pointers.select(record, F.col("_k").alias("_next"), F.col("_at").alias("_to"), F.col("_to").alias("_further"))
+        double = ahead.join(beyond, [record, "_next", "_to"]).select(record, "_k", "_at", F.col("_further").alias("_to"))
+        going = double.join(reached[0], [record, "_k", "_at"], "left_semi").select(record).distinct()
+        pointers = cut_lineage(double.join(going, record, "left_semi"))
+        step *= 2
+    accepted = reduce(DataFrame.unionByName, reached)
     hits = accepted.select(record, F.col("_k").alias(expected), F.col("_at").alias(order), F.lit(True).alias("_applied"))
     out = known.join(hits, [record, expected, order], "left")
     status = (
@@ -44,6 +53,16 @@ def apply_versioned(attempts: DataFrame, record: str, order: str, expected: str,
     return out.withColumn("status", status).select(*attempts.columns, "status")
 
 
+def _successors(numbers: DataFrame, record: str) -> DataFrame:
+    """(record, _k, _at, _to): the time of the first attempt that expects _k + 1 after this one. Attempts of one record that
+    expect one version are walked backwards in time, with those that ask for a successor in front of equal times."""
+    ask = numbers.select(record, (F.col("_k") + 1).alias("_k"), "_at", F.lit(0).alias("_side"))
+    both = ask.unionByName(numbers.select(record, "_k", "_at", F.lit(1).alias("_side")))
+    later = Window.partitionBy(record, "_k").orderBy(F.desc("_at"), "_side").rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("_to", F.last(F.when(F.col("_side") == 1, F.col("_at")), ignorenulls=True).over(later))
+    return found.where("_side = 0 and _to is not null").select(record, (F.col("_k") - 1).alias("_k"), "_at", "_to")
+
+
 def snapshot_and_history(log: DataFrame, record: str, version: str) -> tuple[DataFrame, DataFrame]:
     """(current row per record, all earlier versions)."""
     rest = [c for c in log.columns if c != record]

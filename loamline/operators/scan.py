@@ -16,6 +16,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamline.session import cut_lineage
+
 SLICE = "_slice"
 
 
@@ -160,68 +162,85 @@ def done(df: DataFrame) -> DataFrame:
     return df.drop(SLICE)
 
 
-def grouped_quantiles(df: DataFrame, by: Sequence[str], column: str, probs: dict[str, float],
-                      accuracy: int = 100_000) -> DataFrame:
-    """Exact linear-interpolation quantiles per group without holding a group in one task.
+# Doubles have 64 bits; the rounds of the selection settle so many of them together.
+RADIX = (22, 43, 64)
+
+
+def order_bits(df: DataFrame, v: Column, out: str) -> DataFrame:
+    """``df`` with ``out``, a long that orders like the double ``v``: its sign, exponent and fraction bits. NaN comes after
+    infinity; both zeros are 0. Built in steps, so that no step is evaluated more than once."""
+    tiny = 2.0**-1022
+    df = df.withColumn("_v", v).withColumn("_size", F.abs("_v"))
+    df = df.withColumn("_e", F.least(F.greatest(F.floor(F.log2("_size")), F.lit(-1022)), F.lit(1023)).cast("int"))
+    df = df.withColumn("_m", F.col("_size") / F.pow(F.lit(2.0), F.col("_e").cast("double")))
+    # The logarithm may be off by one next to a power of two.
+    off = F.when(F.col("_m") >= 2.0, 1).when(F.col("_m") < 1.0, -1).otherwise(0)
+    df = df.withColumns({"_off": off, "_f": F.when(F.col("_m") >= 2.0, F.col("_m") / 2).when(F.col("_m") < 1.0, F.col("_m") * 2).otherwise(F.col("_m")) - 1.0})
+    normal = (F.col("_e") + F.col("_off") + 1023).cast("long") * F.lit(1 << 52) + (F.col("_f") * float(1 << 52)).cast("long")
+    bits = (F.when(F.col("_size") == 0.0, F.lit(0)).when(F.isnan("_v"), F.lit((2047 << 52) + 1)).when(F.col("_size") == float("inf"), F.lit(2047 << 52))
+            .when(F.col("_size") < tiny, (F.col("_size") / tiny * float(1 << 52)).cast("long")).otherwise(normal))
+    df = df.withColumn("_size", bits.cast("long"))
+    return df.withColumn(out, F.when(F.col("_v") < 0, -F.col("_size")).otherwise(F.col("_size"))).drop("_v", "_size", "_e", "_m", "_off", "_f")
+
+
+def bits_order(bits: Column) -> Column:
+    """The double of ``order_bits``."""
+    size = F.abs(bits)
+    exponent = F.shiftright(size, 52).cast("int")
+    fraction = size.bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / float(1 << 52)
+    value = F.when(exponent == 0, fraction * F.lit(2.0**-1022)).otherwise(
+        (fraction + 1.0) * F.pow(F.lit(2.0), F.least(exponent - 1023, F.lit(1023)).cast("double")))
+    value = F.when(size == 2047 << 52, F.lit(float("inf"))).when(size > 2047 << 52, F.lit(float("nan"))).otherwise(value)
+    return F.when(bits < 0, -value).otherwise(value)
 
-    A mergeable sketch brackets each wanted rank; only the distinct values inside the bracket are
-    ranked, the rest is counted. Every row takes part in the result.
+
+def _holding(found: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The histogram bins that hold their rank, which is counted from the start of the bin from here on."""
+    start = F.col("_end") - F.col("_c")
+    return found.where((F.col("_rank") >= start) & (F.col("_rank") < F.col("_end"))).select(
+        *by, "_n", "i", "j", (F.col("_rank") - start).alias("_rank"), "_at")
+
+
+def grouped_quantiles(df: DataFrame, by: Sequence[str], column: str, probs: dict[str, float],
+                      weight: str | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles per group without holding a group in one task: (by, n, names of ``probs``).
+
+    Radix selection for all groups and quantiles at once: a histogram over the first bits of the values tells which bin
+    holds each wanted rank, the next round looks at the next bits of the values in these bins only, and after three rounds
+    a bin is one value. Equal values are counted before they are shuffled, and dealt by group and value, so a group of any
+    size is spread over all tasks; each round sends on histogram rows only. ``weight`` counts a row so many times. Null
+    values are left out; groups whose key holds a null too.
     """
     by = list(by)
-    values = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_v"))
-    names = list(probs)
-    margin = 2.0 / accuracy
-    ends = F.array(*[F.lit(max(0.0, p - margin)) for p in probs.values()],
-                   *[F.lit(min(1.0, p + margin)) for p in probs.values()])
-    sketch = values.groupBy(*by).agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx("_v", ends, F.lit(accuracy)).alias("_ends"),
-    ).select(*by, "_n", F.slice("_ends", 1, len(probs)).alias("_lo"), F.slice("_ends", len(probs) + 1, len(probs)).alias("_hi"))
-    # Compress equal values before anything is ranked.
-    counted = values.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
-    joined = counted.join(sketch, by, "inner") if by else counted.crossJoin(F.broadcast(sketch))
-    pieces = []
-    for i, _ in enumerate(names):
-        low, high = F.col("_lo")[i], F.col("_hi")[i]
-        pieces += [
-            F.sum(F.when(F.col("_v") < low, F.col("_c")).otherwise(0)).alias(f"_b{i}"),
-            F.max(F.when(F.col("_v") < low, F.col("_v"))).alias(f"_l{i}"),
-            F.min(F.when(F.col("_v") > high, F.col("_v"))).alias(f"_h{i}"),
-        ]
-    counts = joined.groupBy(*by).agg(F.first("_n").alias("_n"), *pieces)
-    inside = joined.select(
-        *by, "_v", "_c",
-        F.explode(F.array(*[
-            F.when((F.col("_v") >= F.col("_lo")[i]) & (F.col("_v") <= F.col("_hi")[i]), F.lit(i))
-            for i in range(len(names))
-        ])).alias("_i"),
-    ).where(F.col("_i").isNotNull())
-    ranked = inside.withColumn(
-        "_end",
-        F.sum("_c").over(Window.partitionBy(*by, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)),
-    )
-    ranked = ranked.join(counts, by, "inner") if by else ranked.crossJoin(F.broadcast(counts))
-    pick = []
-    for i, p in enumerate(probs.values()):
-        rank = F.lit(p) * (F.col("_n") - 1)
-        base = F.col(f"_b{i}")
-        start, end = base + F.col("_end") - F.col("_c"), base + F.col("_end")
-        mine = F.col("_i") == i
-        for j in (0, 1):
-            # Order statistic number floor(rank) + j, counted from zero.
-            k = F.floor(rank) + j
-            pick.append(F.max(F.when(mine & (k >= start) & (k < end), F.col("_v"))).alias(f"_s{i}_{j}"))
-        pick.append(F.max(F.when(mine, end)).alias(f"_e{i}"))
-    # The counts travel along, so they are not joined a second time.
-    carried = ["_n", *[f"_{k}{i}" for i in range(len(names)) for k in "blh"]]
-    got = ranked.groupBy(*by).agg(*[F.first(c).alias(c) for c in carried], *pick)
+    v = F.col(column).cast("double")
+    times = F.sum(weight) if weight else F.count("*")
+    plain = df.where(v.isNotNull()).select(*by, v.alias("_value"), *([weight] if weight else []))
+    # Written once and read by each round: the distinct values of a group with their counts.
+    counted = cut_lineage(order_bits(plain, F.col("_value"), "_bits").groupBy(*by, "_bits").agg(times.alias("_c")))
+    prefix = lambda settled: F.shiftright("_bits", 64 - settled) if settled < 64 else F.col("_bits")
+    # The first histogram also gives the ranks; every later one is taken per rank, in the bin that holds it.
+    first = counted.groupBy(*by, prefix(RADIX[0]).alias("_at")).agg(F.sum("_c").alias("_c"))
+    order = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    first = first.withColumns({"_end": F.sum("_c").over(order), "_n": F.sum("_c").over(Window.partitionBy(*by))})
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(p).alias("p")) for i, p in enumerate(probs.values()) for j in (0, 1)])
+    # The rank after the last one is never weighed in; the last one stands for it.
+    rank = F.least(F.floor(F.col("w.p") * (F.col("_n") - 1)) + F.col("w.j"), F.col("_n") - 1)
+    state = first.withColumn("w", F.explode(wanted)).withColumns({"i": F.col("w.i"), "j": F.col("w.j"), "_rank": rank})
+    for before, settled in zip(RADIX, RADIX[1:]):
+        state = _holding(state, by)
+        rows = counted.withColumn("_at", prefix(before)).join(state, [*by, "_at"])
+        keys = [*by, "_n", "i", "j", "_rank"]
+        found = rows.groupBy(*keys, prefix(settled).alias("_at")).agg(F.sum("_c").alias("_c"))
+        order = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        state = found.withColumn("_end", F.sum("_c").over(order))
+    state = _holding(state, by)
+    low = [F.max(F.when((F.col("i") == i) & (F.col("j") == 0), F.col("_v"))).alias(f"_l{i}") for i in range(len(probs))]
+    high = [F.max(F.when((F.col("i") == i) & (F.col("j") == 1), F.col("_v"))).alias(f"_h{i}") for i in range(len(probs))]
+    got = state.withColumn("_v", bits_order(F.col("_at"))).groupBy(*by, "_n").agg(*low, *high)
     out = []
     for i, (name, p) in enumerate(probs.items()):
         rank = F.lit(p) * (F.col("_n") - 1)
-        k = F.floor(rank)
-        # A rank just outside the bracket is the nearest value beyond it.
-        edge = [F.when(k + j < F.col(f"_b{i}"), F.col(f"_l{i}")).when(k + j >= F.col(f"_e{i}"), F.col(f"_h{i}"))
-                .otherwise(F.col(f"_s{i}_{j}")) for j in (0, 1)]
-        fraction = rank - k
-        out.append(F.when(fraction == 0, edge[0]).otherwise(edge[0] + fraction * (edge[1] - edge[0])).alias(name))
+        fraction = rank - F.floor(rank)
+        a, b = F.col(f"_l{i}"), F.col(f"_h{i}")
+        out.append(F.when(fraction == 0, a).otherwise(a + fraction * (b - a)).alias(name))
     return got.select(*by, F.col("_n").alias("n"), *out)

@@ -108,7 +108,7 @@ def test_exact_quantiles_match_percentile_on_skewed_groups(spark):
         (F.pow(F.col("id") * 7919 % 10007, F.lit(2)) / 13).alias("v"))
     probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.9, "e": 1.0}
     # A coarse sketch forces the bracket to do its work.
-    got = {r["k"]: r for r in grouped_quantiles(rows, ["k"], "v", probs, accuracy=100).collect()}
+    got = {r["k"]: r for r in grouped_quantiles(rows, ["k"], "v", probs).collect()}
     want = rows.groupBy("k").agg(*[F.percentile("v", p).alias(n) for n, p in probs.items()]).collect()
     for r in want:
         for n in probs:
