@@ -135,9 +135,9 @@ def first_where(df: DataFrame, s: Series, flag: Column, value: Column, name: str
     return _attach(df, s, edges).withColumn(name, hit["v"]).drop("_scan_hit", "_scan_after")
 
 
-def running_count(df: DataFrame, s: Series, flag: Column, name: str) -> DataFrame:
-    """Number of rows up to and including this one where ``flag`` holds."""
-    df = s.cut(df).withColumn("_scan_one", F.when(flag, 1).otherwise(0))
+def running_sum(df: DataFrame, s: Series, value: Column, name: str) -> DataFrame:
+    """Sum of the whole numbers ``value`` up to and including this row; null counts as zero."""
+    df = s.cut(df).withColumn("_scan_one", F.coalesce(value, F.lit(0)))
     before = s.slices().rowsBetween(Window.unboundedPreceding, -1)
     edges = _folded(
         df, s, {"_scan_sum": F.sum("_scan_one")}, {"_scan_base": F.coalesce(F.sum("_scan_sum").over(before), F.lit(0))}
@@ -150,6 +150,11 @@ def running_count(df: DataFrame, s: Series, flag: Column, name: str) -> DataFram
     )
 
 
+def running_count(df: DataFrame, s: Series, flag: Column, name: str) -> DataFrame:
+    """Number of rows up to and including this one where ``flag`` holds."""
+    return running_sum(df, s, F.when(flag, 1).otherwise(0), name)
+
+
 def last_position(df: DataFrame, s: Series, name: str) -> DataFrame:
     """The order value of the last row of the entity, on every row."""
     df = s.cut(df)

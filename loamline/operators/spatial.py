@@ -1,80 +1,156 @@
 """Point, polygon, cell and cluster operators without a geometry library.
 
 Polygons are rows with ``rings``: array<array<struct<x, y>>>, the outer ring first, then holes. A
-multipolygon is several rows with the same id. Candidates come from an equality join on grid cells;
-the exact test runs in one expression per candidate.
+multipolygon is several rows with the same id. Edges are dealt to grid cells, so an outline of any size
+is spread over tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions.climate import haversine_km
 from loamline.functions.text import district_key
 from loamline.session import cut_lineage
 
-EDGE_TOLERANCE = 1e-10
+EDGE_TOLERANCE = 1e-11
+# An edge belongs to a cell that it comes this near to, which is far more than the tolerance and rounding together.
+MARGIN = 1e-9
+# Where the reference point of a cell lies in it: the fractions of two square roots, so that no line through round
+# coordinates meets it.
+REF_X, REF_Y = 2**0.5 - 1, 3**0.5 - 1
 
 
-def _edges(ring: Column) -> Column:
-    """Pairs of consecutive corners, closing the ring."""
-    rotated = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    return F.arrays_zip(ring.alias("a"), rotated.alias("b"))
+def _edges(polygons: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """One row per edge: ``keep``, _ring (0 is the outer one), ax, ay, bx, by. Rings are closed; corners that repeat the one
+    before make no edge."""
+    ring = polygons.select(*keep, F.posexplode("rings").alias("_ring", "_r"))
+    ends = F.concat(F.slice("_r", 2, F.size("_r")), F.slice("_r", 1, 1))
+    edge = ring.where(F.size("_r") > 1).select(*keep, "_ring", F.explode(F.arrays_zip(F.col("_r").alias("a"), ends.alias("b"))).alias("_e"))
+    return edge.select(*keep, "_ring", F.col("_e.a.x").alias("ax"), F.col("_e.a.y").alias("ay"), F.col("_e.b.x").alias("bx"), F.col("_e.b.y").alias("by")).where(
+        (F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by")))
 
 
-def on_boundary(x: Column, y: Column, ring: Column) -> Column:
-    def touches(e):
-        a, b = e["a"], e["b"]
-        cross = (x - a["x"]) * (b["y"] - a["y"]) - (y - a["y"]) * (b["x"] - a["x"])
-        return (
-            (F.abs(cross) < EDGE_TOLERANCE)
-            & x.between(F.least(a["x"], b["x"]) - EDGE_TOLERANCE, F.greatest(a["x"], b["x"]) + EDGE_TOLERANCE)
-            & y.between(F.least(a["y"], b["y"]) - EDGE_TOLERANCE, F.greatest(a["y"], b["y"]) + EDGE_TOLERANCE))
+def _cell(c: Column, width: float) -> Column:
+    return F.floor(c / F.lit(width))
 
-    return F.exists(_edges(ring), touches)
 
+def _edge_cells(edges: DataFrame, width: float) -> DataFrame:
+    """Each edge once per cell that it comes near: column by column, the rows that its part in the column spans."""
+    low, high = F.least("ax", "bx"), F.greatest("ax", "bx")
+    cols = edges.withColumn("_cx", F.explode(F.sequence(_cell(low - MARGIN, width), _cell(high + MARGIN, width))))
+    slope = (F.col("by") - F.col("ay")) / F.nullif(F.col("bx") - F.col("ax"), F.lit(0.0))
+    upright = F.col("ax") == F.col("bx")
+    inside = lambda x: F.least(F.greatest(F.col("ay") + (x - F.col("ax")) * slope, F.least("ay", "by")), F.greatest("ay", "by"))
+    left = F.when(upright, F.col("ay")).otherwise(inside(F.greatest(low, F.col("_cx") * F.lit(width) - MARGIN)))
+    right = F.when(upright, F.col("by")).otherwise(inside(F.least(high, (F.col("_cx") + 1) * F.lit(width) + MARGIN)))
+    return cols.withColumns({"_y0": F.least(left, right), "_y1": F.greatest(left, right)}).withColumn(
+        "_cy", F.explode(F.sequence(_cell(F.col("_y0") - MARGIN, width), _cell(F.col("_y1") + MARGIN, width)))).drop("_y0", "_y1")
 
-def crossings_odd(x: Column, y: Column, ring: Column) -> Column:
-    def crossed(e):
-        a, b = e["a"], e["b"]
-        return ((a["y"] > y) != (b["y"] > y)) & (
-            x < (b["x"] - a["x"]) * (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"])
 
-    return F.size(F.filter(_edges(ring), lambda e: F.coalesce(crossed(e), F.lit(False)))) % 2 == 1
+def _row_crossings(edges: DataFrame, width: float, at: float) -> DataFrame:
+    """Where each edge crosses the scan line of each grid row: _cy and _x. The line of row cy is at (cy + at) * width; an
+    edge counts its lower end and not its upper one, so that a corner is crossed once."""
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    first = F.ceil(low / F.lit(width) - at) - 1
+    rows = edges.where("ay <> by").withColumn("_cy", F.explode(F.sequence(first, F.ceil(high / F.lit(width) - at))))
+    line = (F.col("_cy") + at) * F.lit(width)
+    return rows.where((F.col("ay") > line) != (F.col("by") > line)).withColumn(
+        "_x", F.col("ax") + (line - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay")))
 
 
-def point_in_rings(x: Column, y: Column, rings: Column) -> Column:
-    """Even-odd test: the outer boundary counts as inside, a hole's interior does not."""
-    outer = rings[0]
-    inside = on_boundary(x, y, outer) | crossings_odd(x, y, outer)
-    holes = F.slice(rings, 2, F.size(rings))
-    in_hole = F.exists(holes, lambda h: crossings_odd(x, y, h) & ~on_boundary(x, y, h))
-    return inside & ~in_hole
+def _side(ax, ay, bx, by, x, y) -> Column:
+    return (bx - ax) * (y - ay) - (by - ay) * (x - ax) > 0
 
 
-def _with_cells(polygons: DataFrame, step: float) -> DataFrame:
-    outer = F.col("rings")[0]
-    bounds = {
-        n: f(F.transform(outer, lambda p: p[a])) for n, f, a in (
-            ("_x0", F.array_min, "x"), ("_x1", F.array_max, "x"), ("_y0", F.array_min, "y"), ("_y1", F.array_max, "y"))}
-    return (
-        polygons.withColumns(bounds)
-        .withColumn("_cx", F.explode(F.sequence(F.floor(F.col("_x0") / step), F.floor(F.col("_x1") / step))))
-        .withColumn("_cy", F.explode(F.sequence(F.floor(F.col("_y0") / step), F.floor(F.col("_y1") / step)))))
+def _crosses(px, py, rx, ry, ax, ay, bx, by) -> Column:
+    """Does the way from p to r cross the edge from a to b? A corner on the way falls on one side for both of its edges."""
+    return (_side(px, py, rx, ry, ax, ay) != _side(px, py, rx, ry, bx, by)) & (_side(ax, ay, bx, by, px, py) != _side(ax, ay, bx, by, rx, ry))
 
 
-def point_in_polygon_join(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str = "lat",
-                          step: float = 0.25, on: Sequence[str] = ()) -> DataFrame:
-    """Every (point, polygon) pair where the polygon holds the point; ``on`` adds equality keys."""
-    x, y = F.col(lon), F.col(lat)
-    cells = points.withColumn("_cx", F.floor(x / step)).withColumn("_cy", F.floor(y / step))
-    near = cells.join(_with_cells(polygons, step), [*on, "_cx", "_cy"])
-    hit = near.where(x.between(F.col("_x0"), F.col("_x1")) & y.between(F.col("_y0"), F.col("_y1"))
-                     & point_in_rings(x, y, F.col("rings")))
-    return hit.drop("_cx", "_cy", "_x0", "_x1", "_y0", "_y1", "rings")
+def _touches(x, y, e) -> Column:
+    cross = (x - e["ax"]) * (e["by"] - e["ay"]) - (y - e["ay"]) * (e["bx"] - e["ax"])
+    return ((F.abs(cross) < EDGE_TOLERANCE)
+            & x.between(F.least(e["ax"], e["bx"]) - EDGE_TOLERANCE, F.greatest(e["ax"], e["bx"]) + EDGE_TOLERANCE)
+            & y.between(F.least(e["ay"], e["by"]) - EDGE_TOLERANCE, F.greatest(e["ay"], e["by"]) + EDGE_TOLERANCE))
+
+
+def _inside_cell(x, y, rx, ry) -> Column:
+    """Even-odd test of a point against the edges in its cell: ``_es`` (bounded), ``_in``: rings that hold the cell's
+    reference point. The outer boundary counts as inside, a hole's interior does not."""
+    def odd(ring):
+        crossed = F.size(F.filter("_es", lambda e: (e["_ring"] == ring) & _crosses(x, y, rx, ry, e["ax"], e["ay"], e["bx"], e["by"])))
+        return (crossed % 2 == 1) != F.array_contains("_in", ring)
+
+    on = lambda ring: F.exists("_es", lambda e: (e["_ring"] == ring) & _touches(x, y, e))
+    holes = F.filter(F.array_union(F.transform("_es", lambda e: e["_ring"]), F.col("_in")), lambda r: r > 0)
+    return (odd(F.lit(0)) | on(F.lit(0))) & ~F.exists(holes, lambda h: odd(h) & ~on(h))
+
+
+def point_in_polygon_join(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str = "lat", step: float = 0.25,
+                          on: Sequence[str] = (), dense: int = 32, depth: int = 12) -> DataFrame:
+    """Every (point, polygon) pair where the polygon holds the point; ``on`` adds equality keys.
+
+    Edges, not rings, are dealt to the cells of a quadtree. The scan line of each grid row tells which cells have their
+    reference point inside a ring; a point crosses only those edges of its own cell that lie between it and that
+    reference point. A cell in which a polygon has more than ``dense`` edges is cut into four, whose reference points are
+    reached from the old one in the same way, until it is sparse or ``depth`` cuts deep. So no row holds a ring, and a
+    pair costs the edges of one cell. Cells without points are dropped at each level.
+
+    Points with null coordinates are in no polygon; a polygon row without corners holds none.
+    """
+    on, key = list(on), [*on, "_cx", "_cy"]
+    shapes = cut_lineage(polygons.withColumn("_pid", F.monotonically_increasing_id()))
+    edges = _edges(shapes, [*on, "_pid"])
+    width, x, y = step, F.col(lon), F.col(lat)
+    located = points.where(x.isNotNull() & y.isNotNull()).withColumns({"_cx": _cell(x, width), "_cy": _cell(y, width)})
+    taken = located.select(*key).distinct()
+    near = cut_lineage(_edge_cells(edges, width).join(taken, key, "left_semi"))
+    runs = _row_crossings(edges, width, REF_Y).select(*on, "_pid", "_ring", "_cy", "_x")
+    order = Window.partitionBy(*on, "_pid", "_ring", "_cy").orderBy("_x")
+    runs = runs.withColumns({"_to": F.lead("_x").over(order), "_n": F.row_number().over(order)}).where("_n % 2 = 1")
+    first, last = (F.ceil(F.col(c) / F.lit(width) - REF_X) for c in ("_x", "_to"))
+    held = runs.where(last > first).withColumn("_cx", F.explode(F.sequence(first, last - 1))).select(*key, "_pid", "_ring")
+    held = cut_lineage(held.join(taken, key, "left_semi"))
+    hits = []
+    edge = F.struct("_ring", "ax", "ay", "bx", "by")
+    for level in range(depth + 1):
+        rx, ry = (F.col("_cx") + REF_X) * F.lit(width), (F.col("_cy") + REF_Y) * F.lit(width)
+        crowded = near.groupBy(*key, "_pid").agg(F.count("*").alias("_k")).where(F.col("_k") > dense).drop("_k")
+        crowded = cut_lineage(crowded) if level < depth else crowded.where("false")
+        whole = [*key, "_pid"]
+        leaves = near.join(crowded, whole, "left_anti").select(*whole, edge.alias("_e"), F.lit(None).cast("int").alias("_r")).unionByName(
+            held.join(crowded, whole, "left_anti").select(*whole, F.lit(None).cast(near.select(edge.alias("_e")).schema["_e"].dataType).alias("_e"), F.col("_ring").alias("_r")))
+        leaves = leaves.groupBy(*whole).agg(F.collect_list("_e").alias("_es"), F.collect_set("_r").alias("_in"))
+        hits.append(located.join(leaves, key).where(_inside_cell(x, y, rx, ry)).drop("_cx", "_cy", "_es", "_in"))
+        if level == depth or crowded.isEmpty():
+            break
+        half = width / 2
+        child = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+        sub = lambda df: df.join(crowded, whole, "left_semi").withColumn("_c", child).withColumns(
+            {"_nx": 2 * F.col("_cx") + F.col("_c.i"), "_ny": 2 * F.col("_cy") + F.col("_c.j")})
+        located = located.join(crowded.select(*key).distinct(), key, "left_semi").withColumns({"_cx": _cell(x, half), "_cy": _cell(y, half)})
+        taken = located.select(*key).distinct()
+        parts = sub(near)
+        flip = _crosses((F.col("_nx") + REF_X) * F.lit(half), (F.col("_ny") + REF_Y) * F.lit(half), rx, ry, *map(F.col, ("ax", "ay", "bx", "by")))
+        names = [*on, "_pid", "_ring", "_nx", "_ny"]
+        turns = parts.select(*names, flip.cast("int").alias("_t")).unionByName(sub(held).select(*names, F.lit(1).alias("_t")))
+        turned = turns.groupBy(*names).agg((F.sum("_t") % 2).alias("_t")).where("_t = 1").drop("_t")
+        moved = {"_nx": "_cx", "_ny": "_cy"}
+        held = cut_lineage(turned.withColumnsRenamed(moved).join(taken, key, "left_semi"))
+        cx, cy, reach = (F.col("_nx") + 0.5) * F.lit(half), (F.col("_ny") + 0.5) * F.lit(half), half / 2 + MARGIN
+        dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+        off = F.abs(dx * (cy - F.col("ay")) - dy * (cx - F.col("ax")))
+        meets = (F.least("ax", "bx") <= cx + reach) & (F.greatest("ax", "bx") >= cx - reach) & (F.least("ay", "by") <= cy + reach) & (
+            F.greatest("ay", "by") >= cy - reach) & (off <= (F.abs(dx) + F.abs(dy)) * reach * (1 + 1e-9))
+        near = cut_lineage(parts.where(meets).drop("_c", "_cx", "_cy").withColumnsRenamed(moved).join(taken, key, "left_semi"))
+        width = half
+    found = reduce(DataFrame.unionByName, hits)
+    return found.join(shapes.drop("rings", *on), "_pid").drop("_pid")
 
 
 def attribute_at_point(points: DataFrame, polygons: DataFrame, point_id: str, unit: Sequence[str],
@@ -150,12 +226,33 @@ def representative_weights(assigned: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def rasterise(polygons: DataFrame, polygon_id: str, step: float) -> DataFrame:
-    """Cells of a square grid whose centre lies in the polygon: (id, cx, cy, other columns)."""
-    cells = _with_cells(polygons, step).withColumns(
-        {"_x": (F.col("_cx") + 0.5) * step, "_y": (F.col("_cy") + 0.5) * step})
-    inside = cells.where(point_in_rings(F.col("_x"), F.col("_y"), F.col("rings")))
-    keep = [c for c in polygons.columns if c not in ("rings",)]
-    return inside.select(*keep, F.col("_cx").alias("cx"), F.col("_cy").alias("cy")).distinct()
+    """Cells of a square grid whose centre lies in the polygon: (id, cx, cy, other columns), each once.
+
+    One scan line runs through the cell centres of a row. The places where a ring crosses it, in order, open and close the
+    ring; a cell is inside from an opening of the outer ring to its closing, but for what holes cover. Rows grow with the
+    crossings and with the cells of the result, not with cells times corners. Centres on the outer boundary are inside,
+    those on a hole's boundary too.
+    """
+    keep = [c for c in polygons.columns if c != "rings"]
+    shapes = cut_lineage(polygons.withColumn("_pid", F.monotonically_increasing_id()))
+    edges = _edges(shapes, ["_pid"])
+    tol = EDGE_TOLERANCE
+    crossings = _row_crossings(edges, step, 0.5).select("_pid", "_ring", "_cy", "_x")
+    order = Window.partitionBy("_pid", "_ring", "_cy").orderBy("_x")
+    runs = crossings.withColumns({"_to": F.lead("_x").over(order), "_n": F.row_number().over(order)}).where("_n % 2 = 1").drop("_n")
+    # An edge that lies on the scan line is boundary as well.
+    flat = edges.where(F.abs(F.col("ay") - F.col("by")) < tol).withColumn("_cy", F.round(F.col("ay") / step - 0.5).cast("long")).where(
+        F.abs(F.col("ay") - (F.col("_cy") + 0.5) * F.lit(step)) < tol)
+    flat = flat.select("_pid", "_ring", "_cy", F.least("ax", "bx").alias("_x"), F.greatest("ax", "bx").alias("_to"))
+    outer = runs.unionByName(flat).where("_ring = 0")
+    spread = lambda df, a, b: df.withColumns({"_a": a, "_b": b}).where("_a <= _b").select(
+        "_pid", "_cy", F.explode(F.sequence("_a", "_b")).alias("_cx"))
+    place = lambda c, e: F.col(c) / F.lit(step) - 0.5 + e / step
+    cells = spread(outer, F.ceil(place("_x", -tol)), F.floor(place("_to", tol))).distinct()
+    holes = spread(runs.where("_ring > 0"), F.floor(place("_x", tol)) + 1, F.ceil(place("_to", -tol)) - 1)
+    bare = holes.join(flat.where("_ring > 0").transform(lambda d: spread(d, F.ceil(place("_x", -tol)), F.floor(place("_to", tol)))), ["_pid", "_cy", "_cx"], "left_anti")
+    inside = cells.join(bare, ["_pid", "_cy", "_cx"], "left_anti")
+    return inside.join(shapes.select("_pid", *keep), "_pid").select(*keep, F.col("_cx").alias("cx"), F.col("_cy").alias("cy")).distinct()
 
 
 def cell_area(cy: Column, step: float) -> Column:

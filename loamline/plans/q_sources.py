@@ -45,10 +45,46 @@ def _(t):
     docs = t.pts.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))))
     docs.write.text(path)
     schema = StructType([StructField("province", StringType())])
-    out = R.read_features(t.spark, path, schema, multi_line=False)
+    out = R.read_features(t.spark, path, schema)
     return out.select("id", F.col("point.lon").alias("lon"), F.col("point.lat").alias("lat"), "province", "id_count")
 
 
+def outlines(t, path: str) -> None:
+    """Collections of up to 40 features each: a point, a square with a square hole, or two squares, by point_id."""
+    def square(x, y, size):
+        corner = lambda dx, dy: F.array(F.col("lon") + x + dx * size, F.col("lat") + y + dy * size)
+        return F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))
+
+    shapes = [("Point", F.array("lon", "lat")), ("Polygon", F.array(square(-0.1, -0.1, 0.3), square(0.0, 0.0, 0.05))),
+              ("MultiPolygon", F.array(F.array(square(0.0, 0.0, 0.02)), F.array(square(0.1, 0.0, 0.25))))]
+    place = F.col("point_id") % 3
+    # Strings with braces and quotes in them, which are no structure.
+    named = F.struct(F.col("province").cast("string").alias("province"), F.concat(F.lit('a}{"\\'), F.col("point_id")).alias("note"))
+    rows = t.pts.select("point_id", *[F.when(place == i, F.to_json(F.struct(
+        F.lit("Feature").alias("type"), F.col("point_id").cast("string").alias("id"), named.alias("properties"),
+        F.struct(F.lit(kind).alias("type"), at.alias("coordinates")).alias("geometry")))).alias(kind) for i, (kind, at) in enumerate(shapes)])
+    text = F.coalesce(*[F.col(kind) for kind, _ in shapes])
+    docs = rows.groupBy(F.floor(F.col("point_id") / 40).alias("d")).agg(F.array_join(F.array_sort(F.collect_list(text)), ", ").alias("features"))
+    docs.select(F.concat(F.lit('{"type": "FeatureCollection", "crs": {"type": "name"}, "features": ['), "features", F.lit("]}"))).write.text(path)
+
+
+@query("s02_polygon_documents", "pts", """
+    select cast(point_id as varchar) as id, case point_id % 3 when 0 then 'Point' when 1 then 'Polygon' else 'MultiPolygon' end as kind, cast(province as varchar) as province,
+        'a}{"\\' || point_id as note, case when point_id % 3 = 0 then lon end as lon, cast(case point_id % 3 when 0 then 0 when 1 then 1 else 2 end as int) as parts,
+        cast(case point_id % 3 when 0 then 0 when 1 then 8 else 8 end as bigint) as corners, round(cast(case point_id % 3 when 0 then 0 when 1 then 0.3 * 0.3 - 0.05 * 0.05 else 0.02 * 0.02 + 0.25 * 0.25 end as double), 6) as area from pts""")
+def _(t):
+    path = scratch(t)
+    outlines(t, path)
+    found = R.read_features(t.spark, path, StructType([StructField("province", StringType()), StructField("note", StringType())]))
+    rings = R.polygon_rows(found).select("id", F.posexplode("rings").alias("ring", "r"))
+    nxt = F.concat(F.slice("r", 2, F.size("r")), F.slice("r", 1, 1))
+    twice = F.aggregate(F.arrays_zip(F.col("r").alias("a"), nxt.alias("b")), F.lit(0.0), lambda s, e: s + (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]))
+    sizes = rings.groupBy("id").agg(F.sum(F.size("r")).alias("corners"), F.sum(F.when(F.col("ring") == 0, 1).otherwise(-1) * F.abs(twice) / 2).alias("area"))
+    return found.join(sizes, "id", "left").select(
+        "id", "kind", "province", "note", F.col("point.lon").alias("lon"), F.coalesce(F.size("parts"), F.lit(0)).alias("parts"),
+        F.coalesce("corners", F.lit(0)).alias("corners"), F.round(F.coalesce("area", F.lit(0.0)), 6).alias("area"))
+
+
 @query("s03_nested_daily_json", "daily", """
     with y as (select distinct province, year(day) as y from daily),
     g as (select province, cast(unnest(generate_series(make_date(cast(y as int), 1, 1), make_date(cast(y as int), 12, 31), interval 1 day)) as date) as day from y)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loamline.operators import aggregates as A
 from loamline.operators import spatial as S
 from loamline.operators.windows import topk
+from loamline.plans.q_sources import outlines, scratch
 from loamline.plans.q_windows import ints
 from loamline.plans.registry import query
+from loamline.sources import readers as R
 
 # (id, district, code, rings): a square with a hole, a concave shape, and a square that overlaps both.
 POLYGONS = [
@@ -55,6 +58,21 @@ def _(t):
     return out.select("point_id", "match_status", "mapped_district", "mapped_code")
 
 
+@query("j16_polygons_from_documents", "pts", """
+    with b as (select point_id as id, x, y, size, hole from (
+        select point_id, lon - 0.1 as x, lat - 0.1 as y, 0.3 as size, 0.05 as hole from pts where point_id % 3 = 1
+        union all select point_id, lon, lat, 0.02, 0 from pts where point_id % 3 = 2 union all select point_id, lon + 0.1, lat, 0.25, 0 from pts where point_id % 3 = 2))
+    select cast(id as varchar) as id, cast(count(*) as bigint) as points, cast(sum(point_id) as bigint) as ids from b join pts
+        on lon between x and x + size and lat between y and y + size and not (hole > 0 and lon > x + 0.1 and lon < x + 0.1 + hole and lat > y + 0.1 and lat < y + 0.1 + hole) group by id""")
+def _(t):
+    path = scratch(t)
+    outlines(t, path)
+    shapes = R.polygon_rows(R.read_features(t.spark, path, StructType([])))
+    # Points off the grid of the corners, so that none lies on a side but for rounding.
+    hits = S.point_in_polygon_join(t.pts.select("point_id", "lon", "lat"), shapes.select("id", "rings"))
+    return hits.groupBy("id").agg(F.count("*").alias("points"), F.sum("point_id").alias("ids"))
+
+
 KM = """2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(r.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(r.lat)) * pow(sin(radians(r.lon - p.lon) / 2), 2))))"""
 
 

@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from loamline.functions.text import compact, squeeze, to_number, unicode_text
+from loamline.operators.scan import SLICE, Series, running_sum
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -17,26 +18,85 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str) -> Data
                           enforceSchema=False, mode="FAILFAST", escape='"')
 
 
-GEOMETRY = StructType([StructField("type", StringType()), StructField("coordinates", ArrayType(DoubleType()))])
+def _outside_strings(piece: Column, opened: Column) -> Column:
+    """``piece`` without its strings; ``opened`` tells whether it starts inside one."""
+    whole = F.concat(F.when(opened, F.lit('"')).otherwise(F.lit("")), piece)
+    return F.regexp_replace(whole, '"[^"]*("|$)', "")
 
 
-def read_features(spark: SparkSession, path: str, properties: StructType, id_field: str = "id",
-                  multi_line: bool = True) -> DataFrame:
-    """GeoJSON point collections, one row per feature. ``id_count`` above 1 marks a repeated id.
+def feature_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text): the members of the objects in the JSON documents at ``path`` that are objects themselves or stand in its
+    arrays: the features of a collection, and what else a document has at that depth.
 
-    ``multi_line=False`` reads one document per line, which lets Spark split large files.
+    The files are read by closing braces, so Spark deals blocks of one document, however long its lines are, to several
+    tasks. A running count of quotes tells which braces stand in strings, a running sum of the others gives each piece
+    its depth, and the pieces up to the next return to depth one make up one text. Only sums per block cross blocks, and
+    a text is as long as its feature. A document whose braces do not match stops the query.
     """
-    feature = StructType([StructField(id_field, StringType()), StructField("geometry", GEOMETRY),
-                          StructField("properties", properties)])
-    schema = StructType([StructField("features", ArrayType(feature))])
-    rows = spark.read.json(path, schema=schema, multiLine=multi_line, mode="FAILFAST").select(F.explode("features").alias("f"))
-    rows = rows.select(f"f.{id_field}", F.struct(F.get("f.geometry.coordinates", F.lit(0)).alias("lon"),
-                                                 F.get("f.geometry.coordinates", F.lit(1)).alias("lat")).alias("point"),
-                       "f.properties.*")
+    pieces = spark.read.text(path, lineSep="}").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias(SLICE), F.monotonically_increasing_id().alias("_at"), "value")
+    # No escape spans a closing brace, and none of them matters for the structure.
+    pieces = pieces.withColumn("_plain", F.regexp_replace("value", r"(?s)\\.", ""))
+    series = Series(("file",), "_at")
+    quotes = F.char_length("_plain") - F.char_length(F.replace("_plain", F.lit('"'), F.lit("")))
+    pieces = running_sum(pieces.withColumn("_quotes", quotes), series, F.col("_quotes"), "_seen")
+    closed = F.col("_seen") % 2 == 0
+    bare = _outside_strings(F.col("_plain"), (F.col("_seen") - F.col("_quotes")) % 2 == 1)
+    opens = F.char_length(bare) - F.char_length(F.replace(bare, F.lit("{"), F.lit("")))
+    pieces = pieces.withColumn("_step", opens - F.when(closed, 1).otherwise(0)).drop("_plain", "_quotes", "_seen")
+    pieces = running_sum(pieces, series, F.col("_step"), "_depth")
+    # The last piece of a file has no brace behind it, unless the file ends with one.
+    ends = F.col("_depth") <= 1
+    pieces = running_sum(pieces.withColumn("_end", ends.cast("int")), series, F.col("_end"), "_ended").withColumn("_group", F.col("_ended") - F.col("_end"))
+    rows = pieces.groupBy("file", "_group").agg(
+        F.array_sort(F.collect_list(F.struct(F.col(SLICE).alias("s"), "_at", "value", (F.col("_depth") - F.col("_step")).alias("before")))).alias("p"),
+        F.min("_depth").alias("_low"), F.max(F.struct(F.col(SLICE), F.col("_at"), F.col("_depth"))).alias("_last"))
+    text = F.concat(F.array_join(F.transform("p", lambda x: x["value"]), "}"), F.lit("}"))
+    # Up to the first brace outside strings; behind the opening of the document where the text begins with it.
+    start = r'^(?>[^"{]++|"(?>[^"\\]++|\\.)*+")*+'
+    body = F.regexp_replace(F.when(F.col("p")[0]["before"] == 0, F.regexp_replace(text, start + r"\{", "")).otherwise(text), start, "")
+    blank = F.trim(F.col("p")[0]["value"]).rlike(r"^\s*$")
+    broken = (F.col("_low") < -1) | ((F.col("_low") < 0) & ~blank) | (F.col("_last._depth") > 1)
+    kept = rows.withColumn("text", F.when(broken, F.raise_error(F.concat(F.lit("Braces do not match in "), F.col("file")))).otherwise(body).cast("string"))
+    return kept.where(F.col("text").startswith("{")).select("file", "text")
+
+
+def _corners(ring: Column) -> Column:
+    """Corners as x, y; a last corner that repeats the first is left out."""
+    corners = F.transform(ring, lambda c: F.struct(c[0].alias("x"), c[1].alias("y")))
+    return F.when((F.size(corners) > 1) & (F.element_at(corners, -1) == F.element_at(corners, 1)), F.slice(corners, 1, F.size(corners) - 1)).otherwise(corners)
+
+
+def read_features(spark: SparkSession, path: str, properties: StructType, id_field: str = "id") -> DataFrame:
+    """GeoJSON collections, one row per feature: id, kind, ``point`` (lon, lat), ``parts``, the properties, ``id_count``.
+
+    ``parts`` holds a Polygon as one part and a MultiPolygon as several; a part is its rings, the outer one first, then
+    holes, in the form that the spatial operators take (one row per part: ``polygon_rows``). Features without one of the
+    three geometries keep a null point and no parts. ``id_count`` above 1 marks a repeated id. Files may hold one
+    document or one per line, and collections of any length.
+    """
+    feature = StructType([
+        StructField("type", StringType()), StructField(id_field, StringType()), StructField("properties", properties),
+        StructField("geometry", StructType([StructField("type", StringType()), StructField("coordinates", StringType())]))])
+    rows = feature_texts(spark, path).select(F.from_json("text", feature, {"mode": "FAILFAST"}).alias("f")).where(
+        "f.type = 'Feature' or (f.type is null and f.geometry is not null)")
+    kind, at = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    ring = "array<array<double>>"
+    rows = rows.withColumns({
+        "_point": F.when(kind == "Point", F.from_json(at, "array<double>")),
+        "_parts": F.when(kind == "Polygon", F.array(F.from_json(at, f"array<{ring}>"))).when(kind == "MultiPolygon", F.from_json(at, f"array<array<{ring}>>"))})
+    rows = rows.select(
+        f"f.{id_field}", kind.alias("kind"), F.struct(F.get("_point", F.lit(0)).alias("lon"), F.get("_point", F.lit(1)).alias("lat")).alias("point"),
+        F.transform("_parts", lambda part: F.transform(part, _corners)).alias("parts"), "f.properties.*")
     counts = rows.groupBy(id_field).agg(F.count("*").alias("id_count"))
     return rows.join(counts, id_field)
 
 
+def polygon_rows(features: DataFrame) -> DataFrame:
+    """One row per part of each polygon feature, with its ``rings``."""
+    return features.select(*[c for c in features.columns if c not in ("kind", "point", "parts")], F.explode("parts").alias("rings"))
+
+
 def _param_map(payload: Column, path: str) -> Column:
     return F.from_json(F.get_json_object(payload, path), "map<string,map<string,double>>")
 
