@@ -306,13 +306,13 @@ def _(t):
 
 
 @query("b15_state_features", "ord year", """
-    with l as (select state, date_trunc('month', start_date) as m, max(start_date) as start_date from ord group by all), d as (select start_date, count(*) as n, min(state) as state from l group by start_date), f as (select province, year_ce, make_date(cast(year_ce as int), 3, 1) + cast(province as int) as issue, make_date(cast(year_ce as int), 3, 20) as cutoff from year),
-    m as (select f.*, (select max(start_date) from d where start_date < least(issue, cutoff)) as p from f), s as (select m.*, d.state, case when p is null then 'none' when d.n > 1 then 'ambiguous' when date_diff('day', p, least(issue, cutoff)) > 10 then 'stale' else 'ok' end as asof_status from m left join d on d.start_date = p)
+    with d as (select province, start_date, count(*) as n, min(state) as state from ord group by all), f as (select province, year_ce, make_date(cast(year_ce as int), 3, 1) + cast(province as int) as issue, make_date(cast(year_ce as int), 3, 20) as cutoff from year),
+    m as (select f.*, (select max(start_date) from d where d.province = f.province and start_date < least(issue, cutoff)) as p from f), s as (select m.*, d.state, case when p is null then 'none' when d.n > 1 then 'ambiguous' when date_diff('day', p, least(issue, cutoff)) > 5 then 'stale' else 'ok' end as asof_status from m left join d on d.start_date = p and d.province = m.province)
     select cast(province as bigint) as province, cast(year_ce as bigint) as year_ce, asof_status, case when asof_status = 'ok' then cast(p as varchar) end as document_day, case when asof_status = 'ok' then (state = '1-URGENT')::int::double end as urgent, case when asof_status = 'ok' then (state = '5-LOW')::int::double end as low from s""")
 def _(t):
-    docs = t.ord.groupBy("state", F.trunc("start_date", "month").alias("m")).agg(F.max("start_date").alias("start_date")).drop("m")
     folds = t.year.select("province", "year_ce", F.date_add(F.make_date("year_ce", F.lit(3), F.lit(1)), F.col("province").cast("int")).alias("issue"), F.make_date("year_ce", F.lit(3), F.lit(20)).alias("cutoff"))
-    out = B.state_features(folds, docs, "issue", "cutoff", "start_date", "state", ["1-URGENT", "5-LOW"], 10)
+    docs = t.ord.select(F.col("province").cast(folds.schema["province"].dataType).alias("province"), "start_date", "state")
+    out = B.state_features(folds, docs, "issue", "cutoff", "start_date", "state", ["1-URGENT", "5-LOW"], 5, ["province"])
     return out.select(*ints("province", "year_ce"), "asof_status", day("document_day"), F.col("state_1-URGENT").alias("urgent"), F.col("state_5-LOW").alias("low"))
 
 

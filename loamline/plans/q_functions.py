@@ -264,28 +264,27 @@ def _(t):
 
 
 @query("f20_stage_overlap", "ord month", """
-    with e as (select province, year(start_date) as y, max(start_date) as event_day from ord group by 1, 2),
+    with e as (select distinct province, start_date as event_day from ord),
     c as (select e.province, e.event_day, m.year_ce, m.month, age,
             unnest(generate_series(make_date(cast(m.year_ce as int), cast(m.month as int), 1), last_day(make_date(cast(m.year_ce as int), cast(m.month as int), 1)), interval 1 day)) as h
-        from e join month m on e.province = m.province and m.year_ce between e.y and e.y + 1
+        from e join month m on e.province = m.province and m.year_ce between year(e.event_day) and year(e.event_day) + 1
         cross join (values (120), (130), (140), (150)) a(age)),
-    s as (select *, date_diff('day', cast(h as date), event_day) + age as since from c)
-    select cast(province as bigint) as province, cast(event_day as varchar) as event_day, cast(year_ce as bigint) as year_ce,
-        cast(month as bigint) as month, cast(age as bigint) as age,
-        round(100.0 * count(*) filter (since < -90) / count(*), 4) as before_window,
-        round(100.0 * count(*) filter (since >= -90 and since < 0) / count(*), 4) as pre_bloom_90d,
-        round(100.0 * count(*) filter (since >= 0 and since < 30) / count(*), 4) as fruit_0_29d,
-        round(100.0 * count(*) filter (since >= 30 and since < 60) / count(*), 4) as fruit_30_59d,
-        round(100.0 * count(*) filter (since >= 60 and since < 90) / count(*), 4) as fruit_60_89d,
-        round(100.0 * count(*) filter (since >= 90 and since < age) / count(*), 4) as fruit_90_to_harvest,
-        round(100.0 * count(*) filter (since >= age) / count(*), 4) as on_or_after_harvest
-    from s group by all""")
+    s as (select *, date_diff('day', cast(h as date), event_day) + age as since from c),
+    p as (select province, year(event_day) as event_year, event_day, year_ce, month, age,
+        100.0 * count(*) filter (since < -90) / count(*) as before_window, 100.0 * count(*) filter (since >= -90 and since < 0) / count(*) as pre_bloom_90d,
+        100.0 * count(*) filter (since >= 0 and since < 30) / count(*) as fruit_0_29d, 100.0 * count(*) filter (since >= 30 and since < 60) / count(*) as fruit_30_59d,
+        100.0 * count(*) filter (since >= 60 and since < 90) / count(*) as fruit_60_89d, 100.0 * count(*) filter (since >= 90 and since < age) / count(*) as fruit_90_to_harvest,
+        100.0 * count(*) filter (since >= age) / count(*) as on_or_after_harvest from s group by all)
+    select cast(province as bigint) as province, cast(event_year as bigint) as event_year, cast(year_ce as bigint) as year_ce, cast(month as bigint) as month, cast(age as bigint) as age,
+        cast(count(*) as bigint) as events, round(avg(before_window), 6) as before_window, round(avg(pre_bloom_90d), 6) as pre_bloom_90d, round(avg(fruit_0_29d), 6) as fruit_0_29d,
+        round(avg(fruit_30_59d), 6) as fruit_30_59d, round(avg(fruit_60_89d), 6) as fruit_60_89d, round(avg(fruit_90_to_harvest), 6) as fruit_90_to_harvest, round(avg(on_or_after_harvest), 6) as on_or_after_harvest
+    from p group by all""")
 def _(t):
-    events = t.ord.groupBy("province", F.year("start_date").alias("y")).agg(F.max("start_date").alias("event_day"))
+    events = t.ord.select("province", F.col("start_date").alias("event_day")).distinct()
     out = J.stage_overlap(events, t.month, "province", "event_day", "year_ce", "month", [120, 130, 140, 150])
-    return out.select(
-        F.col("province").cast("long"), F.col("event_day").cast("string").alias("event_day"),
-        *[F.col(c).cast("long").alias(c) for c in ("year_ce", "month", "age")], *[rnd(c, 4).alias(c) for c in J.STAGE_NAMES])
+    keys = [F.col("province").cast("long").alias("province"), F.year("event_day").cast("long").alias("event_year"),
+            *[F.col(c).cast("long").alias(c) for c in ("year_ce", "month", "age")]]
+    return out.groupBy(*keys).agg(F.count("*").alias("events"), *[F.round(F.avg(c), 6).alias(c) for c in J.STAGE_NAMES])
 
 
 @query("f21_interactions", "year", """
