@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,10 +14,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Templates:
-    """``z``: standard errors by which a branch that stays literal differs. ``prior``: smoothing weight on both sides.
-    ``block``: smoothed share of blocked labels from which a template is rejected."""
+    """``z``: standard errors by which the labels of a branch differ from those of its siblings if it stays literal. ``few``:
+    labelled pages that a branch and its siblings each need to be compared. ``values``: distinct branches from which a level
+    without enough labels is variable. ``prior``: smoothing weight on both sides. ``block``: smoothed share of blocked labels
+    from which a template is rejected."""
 
     z: float = 2.6
+    few: int = 5
+    values: int = 8
     prior: float = 1.0
     block: float = 0.9
 
@@ -74,25 +79,43 @@ def shape(path: Column) -> Column:
 def templates(pages: DataFrame, plan: Templates = Templates()) -> DataFrame:
     """Rows (host, shape, template, labelled, blocked, purity) from ``pages`` (host, shape, label: block, allow or null).
 
-    Level by level, a branch of a host's tree stays literal if its share of blocked pages differs from that of its parent by
-    more than ``z`` standard errors, which a branch of few pages seldom does; all other branches of a parent merge into
-    a wildcard. A template's purity is its smoothed share of blocked labels. Everything after the first aggregation works
-    on distinct shapes, which generalising keeps few, not on pages; each level is written to the shared folder.
+    Level by level, the branches of a parent are compared by their labels alone: a branch whose share of blocked labels
+    differs from that of its siblings together by more than ``z`` standard errors of the difference stays literal; the
+    others are similar and merge into a wildcard, or stay one literal if it is the same segment on all of them. Where a
+    branch or its siblings have fewer than ``few`` labels, the number of distinct branches decides: ``values`` or more
+    make a variable segment, fewer stay literal. A template's purity is its smoothed share of blocked labels. Everything
+    after the first aggregation works on distinct shapes, which generalising keeps few, not on pages; each level is
+    written to the shared folder.
     """
     counted = pages.groupBy("host", "shape").agg(
-        F.count("*").alias("n"), F.count("label").alias("labelled"), F.count(F.when(F.col("label") == "block", 1)).alias("blocked"))
-    state = stored(counted.withColumn("template", F.lit("")))
-    for level in range(state.agg(F.max(F.size("shape"))).first()[0] or 0):
+        F.count("label").alias("labelled"), F.count(F.when(F.col("label") == "block", 1)).alias("blocked"))
+    state, ended, level = stored(counted.withColumn("template", F.lit(""))), [], 0
+    while not state.isEmpty():
         at = state.withColumn("_s", F.get("shape", F.lit(level)))
-        branch = at.where("_s is not null").groupBy("host", "template", "_s").agg(F.sum("n").alias("_n"), F.sum("blocked").alias("_b"))
-        parent = branch.groupBy("host", "template").agg(F.sum("_n").alias("_pn"), F.sum("_b").alias("_pb"))
-        share, pool = F.col("_b") / F.col("_n"), F.col("_pb") / F.col("_pn")
-        differs = F.abs(share - pool) > plan.z * F.sqrt(pool * (1 - pool) / F.col("_n"))
-        decided = branch.join(parent, ["host", "template"]).select(
+        branch = at.where("_s is not null").groupBy("host", "template", "_s").agg(F.sum("labelled").alias("_n"), F.sum("blocked").alias("_b"))
+        parent = branch.groupBy("host", "template").agg(F.sum("_n").alias("_pn"), F.sum("_b").alias("_pb"), F.count("*").alias("_k"))
+        joined = branch.join(parent, ["host", "template"])
+        rest, rest_blocked = F.col("_pn") - F.col("_n"), F.col("_pb") - F.col("_b")
+        pool = F.col("_pb") / F.nullif(F.col("_pn"), F.lit(0))
+        error = F.sqrt(pool * (1 - pool) * (1 / F.nullif(F.col("_n"), F.lit(0)) + 1 / F.nullif(rest, F.lit(0))))
+        apart = F.abs(F.col("_b") / F.nullif(F.col("_n"), F.lit(0)) - rest_blocked / F.nullif(rest, F.lit(0))) > plan.z * error
+        known = (F.col("_n") >= plan.few) & (rest >= plan.few)
+        literal = F.when(F.col("_k") == 1, True).when(known, apart).otherwise(F.col("_k") < plan.values)
+        decided = joined.select(
             F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("_s").alias("_q"),
-            F.when(differs, F.concat(F.lit("/"), "_s")).otherwise("/*").alias("_step"))
+            F.when(literal, F.concat(F.lit("/"), "_s")).otherwise("/*").alias("_step"))
+        level += 1
         state = stored(at.join(decided, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("_s") == F.col("_q")), "left").select(
-            "host", "shape", "n", "labelled", "blocked", F.concat("template", F.coalesce("_step", F.lit(""))).alias("template")))
+            "host", "shape", "labelled", "blocked", F.concat("template", F.coalesce("_step", F.lit(""))).alias("template")))
+        # A shape with a template to itself, whose branches can only be single from here on, ends at once, like one without
+        # further segments; so the levels are those on which shapes still meet, not the longest path.
+        alone = state.groupBy("host", "template").agg(F.count("*").alias("_k"), F.max(F.size("shape")).alias("_deep"))
+        met = state.join(alone.where((F.col("_k") > 1) & (F.col("_deep") > level)).select("host", "template"), ["host", "template"], "left_semi")
+        over = state.join(alone.where((F.col("_k") == 1) | (F.col("_deep") <= level)).select("host", "template"), ["host", "template"], "left_semi")
+        left = F.slice("shape", F.lit(level + 1), F.greatest(F.size("shape") - level, F.lit(0)))
+        ended.append(over.withColumn("template", F.concat("template", F.array_join(F.transform(left, lambda x: F.concat(F.lit("/"), x)), ""))).select(*state.columns))
+        state = stored(met.select(*state.columns))
+    state = reduce(DataFrame.unionByName, ended) if ended else state
     whole = state.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     purity = (F.col("blocked") + plan.prior) / (F.col("labelled") + 2 * plan.prior)
     return state.select("host", "shape", "template").join(whole, ["host", "template"]).withColumn("purity", purity)
