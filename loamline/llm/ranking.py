@@ -36,12 +36,13 @@ BREAK = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 class Search:
     """``k`` results an item. ``item_terms``: distinct (item, term) pairs that are asked together; more items are asked in
     further rounds over the documents. ``block``: documents of a block of the index at most. ``seeds``: blocks that give
-    an item its first threshold."""
+    an item its first threshold. ``task``: documents of a task that builds or searches the index, about."""
 
     k: int = 10
     item_terms: int = 1_000_000
     block: int = 4096
     seeds: int = 2
+    task: int = 8192
 
 
 def _parts(data: bytes) -> Iterator[bytes]:
@@ -105,12 +106,12 @@ def _vectors(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
 INDEX = "block long, m long, docs array<{}>, term array<int>, tf array<long>, start array<int>, posting array<int>"
 
 
-def build_index(vectors: DataFrame, plan: Search = Search()) -> DataFrame:
+def build_index(vectors: DataFrame, rows: int, plan: Search = Search()) -> DataFrame:
     """Blocks of the index from rows (doc_id, m, terms, tfs): block (its number), m, docs, and for each (term, tf), in this
     order, the documents posting[start[i]:start[i + 1]], as places in docs.
 
     Rows are dealt by ranges of m and a hash, so a length that very many documents have is dealt to several tasks, and
-    none is gathered as a group; a task cuts its sorted rows into blocks of one m.
+    none is gathered as a group; a task cuts its sorted rows into blocks of one m. ``rows``: the number of vectors.
     """
     kind = vectors.schema["doc_id"].dataType.simpleString()
 
@@ -145,7 +146,7 @@ def build_index(vectors: DataFrame, plan: Search = Search()) -> DataFrame:
         if n:
             yield block(m, held)
 
-    dealt = vectors.repartitionByRange("m", F.xxhash64("doc_id", "terms")).sortWithinPartitions("m")
+    dealt = vectors.repartitionByRange(max(1, -(-rows // plan.task)), "m", F.xxhash64("doc_id", "terms")).sortWithinPartitions("m")
     blocks = dealt.select("doc_id", "m", "terms", "tfs").mapInArrow(run, INDEX.format(kind).removeprefix("block long, "))
     return blocks.withColumn("block", F.monotonically_increasing_id())
 
@@ -273,7 +274,7 @@ def _round(docs: DataFrame, rows: list, kind: T.DataType, plan: Search) -> DataF
     if not n:
         return None
     normaliser = F.expr(f"10L + (90L * n * {n}L) div {length}L")
-    index = stored(build_index(vectors.where(F.size("terms") > 0).withColumn("m", normaliser), plan))
+    index = stored(build_index(vectors.where(F.size("terms") > 0).withColumn("m", normaliser), n, plan))
     df = np.zeros(len(words), dtype=np.int64)
     sizes = F.zip_with(F.slice("start", F.lit(1), F.size("term")), F.slice("start", F.lit(2), F.size("term")), lambda a, b: b - a)
     held = index.select(F.explode(F.arrays_zip("term", sizes.alias("n"))).alias("p")).groupBy("p.term").agg(F.sum("p.n").alias("df"))

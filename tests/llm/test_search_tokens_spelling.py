@@ -65,7 +65,7 @@ def test_search_splits_a_length_that_many_documents_have(spark, library):
     rows, _ = library
     vocabulary = {b"w3": 0, b"w4": 1}
     vectors = ranking._vectors(table(spark, rows), vocabulary).withColumn("m", F.lit(7))
-    blocks = ranking.build_index(vectors, ranking.Search(block=50)).select(F.size("docs").alias("n")).collect()
+    blocks = ranking.build_index(vectors, len(rows), ranking.Search(block=50)).select(F.size("docs").alias("n")).collect()
     assert sum(r.n for r in blocks) == len(rows) and max(r.n for r in blocks) <= 50
 
 
