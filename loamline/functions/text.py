@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -135,32 +136,34 @@ def plain_phases(text) -> Column:
     return F.regexp_replace(F.translate(F.lower(col(text)), "ñ\u2010\u2011\u2013", "n---"), "enso[ -]+neutral", "enso-neutral")
 
 
-def observed_state(text) -> Column:
-    """The phase named first in the first clause that observes and does not look ahead."""
-    clauses = F.split(plain_phases(text), r"[.;:,]\s+")
-    observed = F.filter(clauses, lambda c: _any_of(c, PHASES) & _any_of(c, OBSERVING) & ~_any_of(c, OUTLOOK))
-    clause = F.get(observed, F.lit(0))
-    places = [F.struct(F.instr(clause, plain).alias("at"), F.lit(name).alias("name")) for plain, name in PHASES.items()]
-    return F.get(F.array_sort(F.filter(F.array(*places), lambda p: p["at"] > 0)), F.lit(0))["name"]
+def observed_states(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
+    """(key, state) of the texts that have one: the phase named first in the first clause that observes and does not look
+    ahead. Clauses are rows, so every test is a plain expression. ``key`` is unique."""
+    clauses = df.select(*key, F.posexplode(F.split(plain_phases(text), r"[.;:,]\s+")).alias("_at", "_clause"))
+    observed = clauses.where(_any_of(F.col("_clause"), PHASES) & _any_of(F.col("_clause"), OBSERVING) & ~_any_of(F.col("_clause"), OUTLOOK))
+    places = [F.when(F.instr("_clause", plain) > 0, F.struct(F.instr("_clause", plain).alias("at"), F.lit(name).alias("name"))) for plain, name in PHASES.items()]
+    first = F.least(*[F.coalesce(p, F.struct(F.lit(1 << 30).alias("at"), F.lit("").alias("name"))) for p in places])
+    return observed.select(*key, "_at", first["name"].alias("_state")).groupBy(*key).agg(F.min_by("_state", "_at").alias("state"))
 
 
-def probability_mentions(text) -> Column:
-    """array<struct<low, high, approximate, evidence>>: the shares in sentences that speak of a chance.
+def probability_mentions(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
+    """(key, mentions: array<struct<low, high, approximate, evidence>>) of the texts that have any: the shares in sentences
+    that speak of a chance, in order, equal ones once.
 
     A share is the last word before a percent sign: a number, or two joined by a dash or `to`; a word for "about" before it,
-    or a tilde, marks it as approximate.
+    or a tilde, marks it as approximate. Sentences and shares are rows until the last step. ``key`` is unique.
     """
     ends = F.regexp_replace(col(text), r"([.!?])\s+([A-Z])", "$1\n$2")
-    sentences = F.filter(F.split(ends, "\n"), lambda s: _any_of(F.lower(s), ("chance", "probabilit")))
-
-    def share(before, sentence):
-        joined = F.regexp_replace(F.trim(before), r"\s*(?:\bto\b|-|–)\s*", "-")
-        words = F.split(joined, r"\s+")
-        bounds = F.split(F.ltrim(F.element_at(words, -1), F.lit("~(")), "-")
-        about = F.coalesce(F.lower(F.get(words, F.size(words) - 2)).isin(*ABOUT), F.lit(False)) | F.element_at(words, -1).contains("~")
-        return F.struct(F.get(bounds, F.lit(0)).try_cast("double").alias("low"), F.element_at(bounds, -1).try_cast("double").alias("high"),
-                        about.alias("approximate"), sentence.alias("evidence"))
-
-    found = F.flatten(F.transform(sentences, lambda s: F.transform(
-        F.slice(F.split(s, "%"), F.lit(1), F.size(F.split(s, "%")) - 1), lambda before: share(before, s))))
-    return F.array_distinct(F.filter(found, lambda m: m["low"].between(0, 100) & m["high"].between(m["low"], 100)))
+    sentences = df.select(*key, F.posexplode(F.split(ends, "\n")).alias("_at", "evidence"))
+    sentences = sentences.where(_any_of(F.lower("evidence"), ("chance", "probabilit")) & F.col("evidence").contains("%"))
+    parts = sentences.withColumn("_parts", F.split("evidence", "%")).select(
+        *key, "_at", "evidence", F.size("_parts").alias("_n"), F.posexplode("_parts").alias("_no", "_before")).where("_no < _n - 1")
+    words = F.split(F.regexp_replace(F.trim("_before"), r"\s*(?:\bto\b|-|–)\s*", "-"), r"\s+")
+    shares = parts.withColumn("_words", words).withColumn("_last", F.element_at("_words", -1))
+    shares = shares.withColumn("_bounds", F.split(F.ltrim("_last", F.lit("~(")), "-")).select(
+        *key, "_at", "_no", F.get("_bounds", F.lit(0)).try_cast("double").alias("low"), F.element_at("_bounds", -1).try_cast("double").alias("high"),
+        (F.coalesce(F.lower(F.get("_words", F.size("_words") - 2)).isin(*ABOUT), F.lit(False)) | F.col("_last").contains("~")).alias("approximate"), "evidence")
+    good = shares.where(F.col("low").between(0, 100) & F.col("high").between(F.col("low"), 100))
+    found = good.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_at", "_no", "low", "high", "approximate", "evidence"))).alias("_found"))
+    plain = F.transform("_found", lambda m: F.struct(*[m[c].alias(c) for c in ("low", "high", "approximate", "evidence")]))
+    return found.select(*key, F.array_distinct(plain).alias("mentions"))

@@ -10,6 +10,7 @@ from loamline.functions import dates as D
 from loamline.functions import text as X
 from loamline.operators import joins as J
 from loamline.plans.registry import query
+from loamline.session import cut_lineage
 
 
 def rnd(c, n: int = 6):
@@ -211,13 +212,13 @@ def _(t):
         F.lit(". Overall, the coupled system was consistent with "), phase,
         F.lit(" conditions. The outlook has a "), F.when(k % 5 == 0, "about ").otherwise(""), share,
         F.lit("% chance of a change. Skill was 30% last year."))
-    parsed = t.ord.select(k, text.alias("text"))
-    m = X.probability_mentions("text")
-    return parsed.select(
-        "doc_id", X.bulletin_issue_date("text").cast("string").alias("issued"), X.observed_state("text").alias("state"),
-        m.alias("m")).select(
-        "doc_id", "issued", "state", F.size("m").cast("long").alias("mentions"), F.col("m")[0]["low"].alias("low"),
-        F.col("m")[0]["high"].alias("high"), F.col("m")[0]["approximate"].alias("approximate"))
+    # The bulletins are made once and read by each extraction.
+    parsed = cut_lineage(t.ord.select(k, text.alias("text")))
+    m = F.col("mentions")
+    both = parsed.join(X.observed_states(parsed, ["doc_id"], "text"), "doc_id", "left").join(X.probability_mentions(parsed, ["doc_id"], "text"), "doc_id", "left")
+    return both.select(
+        "doc_id", X.bulletin_issue_date("text").cast("string").alias("issued"), "state", F.coalesce(F.size(m), F.lit(0)).cast("long").alias("mentions"),
+        m[0]["low"].alias("low"), m[0]["high"].alias("high"), m[0]["approximate"].alias("approximate"))
 
 
 @query("f17_direction_label", "year", """

@@ -23,9 +23,14 @@ def build_session(app: str = "loamline", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or one in the warehouse where that is not set."""
+    """The folder every executor can reach: spark.checkpoint.dir. Only a local session, whose executors are this machine, may
+    do without it and takes one in the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured.rstrip("/") if configured else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

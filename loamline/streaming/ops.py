@@ -136,9 +136,10 @@ def stream_enrich(stream: DataFrame, vintages: DataFrame, by: Sequence[str], ori
     run_to_end(stream, path, checkpoint, each=apply)
 
 
-def stream_status(stream: DataFrame, by: Sequence[str], ts: str, event: str, folder: str, checkpoint: str) -> str:
+def stream_status(stream: DataFrame, by: Sequence[str], ts: str, event: str, folder: str, checkpoint: str) -> str | None:
     """Latest row per device. Every batch writes a new version of the status table from the version before, so
-    a retried batch starts from the same input. Returns the path of the newest version."""
+    a retried batch starts from the same input. Returns the path of the newest version, of an earlier run where there is
+    nothing new to read, or null if there never was anything."""
     versions: dict[str, str] = {}
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -154,4 +155,11 @@ def stream_status(stream: DataFrame, by: Sequence[str], ts: str, event: str, fol
         versions["last"] = f"{folder}/v{batch_id}"
 
     run_to_end(stream, folder, checkpoint, each=apply)
-    return versions["last"]
+    if versions:
+        return versions["last"]
+    # Nothing new: the last version is that of the checkpoint's last committed batch.
+    spark = stream.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v*")
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
+    numbers = [int(f.getPath().getName()[1:]) for f in found]
+    return f"{folder}/v{max(numbers)}" if numbers else None
