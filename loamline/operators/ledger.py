@@ -3,11 +3,14 @@ all versions of a record."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from loamline.operators.quality import validate_rules
 from loamline.session import cut_lineage
@@ -81,6 +84,36 @@ def record_hash(payload: Sequence[str], previous: str) -> Column:
     return F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in (*payload, previous)])), 256)
 
 
+def build_chain(df: DataFrame, record: str, order: str, payload: Sequence[str], previous: str = "prev_hash", digest: str = "hash") -> DataFrame:
+    """``df`` with the hash of the row before in the record's chain (``GENESIS`` for the first) and its own ``record_hash``.
+
+    A chain is sequential by nature, so a record stays in one task; but rows are sorted on disk if need be and streamed
+    through it, with only the last hash in memory, however long the chain is. ``order`` is unique within a record; rows
+    of a null record make up one chain. Columns of the two names are replaced.
+    """
+    keep = [c for c in df.columns if c not in (previous, digest)]
+    body = F.to_json(F.array(*[F.col(c).cast("string") for c in payload]))
+    rows = df.select(*keep, F.struct(record).alias("_key"), body.alias("_body"))
+    rows = rows.repartition(F.col(record)).sortWithinPartitions(record, order).withColumn("_key", F.to_json("_key"))
+    schema = StructType([*df.select(*keep).schema.fields, StructField(previous, StringType()), StructField(digest, StringType())])
+
+    def run(batches):
+        key = last = None
+        for batch in batches:
+            before, own = [], []
+            for now, text in zip(batch.column("_key").to_pylist(), batch.column("_body").to_pylist()):
+                if now != key:
+                    key, last = now, GENESIS
+                before.append(last)
+                # The previous hash is the last element of the JSON array.
+                last = hashlib.sha256(f'{text[:-1]}{"," if len(text) > 2 else ""}"{last}"]'.encode()).hexdigest()
+                own.append(last)
+            columns = [batch.column(c) for c in keep] + [pa.array(before, pa.string()), pa.array(own, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, previous, digest])
+
+    return rows.mapInArrow(run, schema)
+
+
 def verify_chain(df: DataFrame, ledger: str, seq: str, payload: Sequence[str], previous: str, digest: str,
                  heads: DataFrame | None = None) -> DataFrame:
     """``problem`` per row: sequence (no predecessor), link (previous hash differs), hash (recomputed digest

@@ -41,17 +41,9 @@ def _(t):
 
 def chained(t):
     """Build one sound chain per record, then change some payloads and drop some rows."""
-    steps = t.log.groupBy("record_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("version").alias("n"), F.concat_ws(":", "owner", "v").alias("payload")))).alias("r"))
-    zero = F.array(F.struct(F.lit(0).cast("long").alias("seq"), F.lit("").alias("payload"), F.lit("").alias("prev_hash"), F.lit(L.GENESIS).alias("hash")))
-
-    def extend(acc, row):
-        before = F.element_at(acc, -1)["hash"]
-        return F.concat(acc, F.array(F.struct((row["n"] + 1).cast("long").alias("seq"), row["payload"].alias("payload"), before.alias("prev_hash"),
-                                              F.sha2(F.to_json(F.array(row["payload"], before)), 256).alias("hash"))))
-
-    rows = steps.select("record_id", F.explode(F.slice(F.aggregate("r", zero, extend), 2, F.size("r"))).alias("x")).select(
-        "record_id", F.col("record_id").cast("string").alias("ledger"), "x.*")
+    steps = t.log.select("record_id", F.col("record_id").cast("string").alias("ledger"), (F.col("version") + 1).cast("long").alias("seq"),
+                         F.concat_ws(":", "owner", "v").alias("payload"))
+    rows = L.build_chain(steps, "ledger", "seq", ["payload"])
     changed = F.when(F.length("payload") % 7 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))
     return rows.where(~((F.col("record_id") % 10 == 0) & (F.col("seq") == 3))).withColumn("payload", changed)
 

@@ -100,7 +100,13 @@ def _(t):
     return t.spark.read.parquet(target).select("device_id", F.col("part").cast("long").alias("part"), "soil")
 
 
-@query("t06_stream_enrich")
+@query("t06_stream_enrich", "vint", """
+    with o as (select distinct location, valid - interval 1 hour as origin from vint),
+    r as (select o.location, o.origin, v.issued, v.source, max(v.rain_mm) as rain, count(*) as k, count(distinct v.valid) as u from o join vint v on v.location = o.location
+        and v.valid > o.origin and v.valid <= o.origin + interval 3 hour and greatest(v.issued, v.received) between o.origin - interval 24 hour and o.origin group by all),
+    b as (select *, row_number() over (partition by location, origin order by issued desc, source) as rn from r where k = 3 and u = 3)
+    select o.location, strftime(o.origin, '%Y-%m-%d %H:%M:%S') as origin, strftime(b.issued, '%Y-%m-%d %H:%M:%S') as issued, b.source, b.rain as rain_max
+    from o left join b on b.location = o.location and b.origin = o.origin and b.rn = 1""")
 def _(t):
     origins = t.vint.select("location", (F.col("valid") - F.expr("interval 1 hour")).alias("origin")).distinct()
     path = folder(t)

@@ -141,3 +141,16 @@ def test_versioned_updates_take_log_rounds(spark, monkeypatch):
     assert got == versions(attempts)
     # Two tables a round, and the creates and first pointers before them.
     assert len(written) <= 2 + 2 * 12 and max(written) < len(attempts)
+
+
+def test_a_long_chain_is_built_as_a_stream(spark):
+    hot = spark.range(100_000).select(F.lit("hot").alias("r"), (F.col("id") + 1).alias("seq"), F.concat(F.lit('é"\\\n'), F.col("id") % 9).alias("p"), F.lit(None).cast("int").alias("q"))
+    rest = spark.range(40).select(F.concat(F.lit("r"), F.col("id") % 4).alias("r"), (F.floor(F.col("id") / 4) + 1).alias("seq"), F.lit("x").alias("p"), F.lit(3).alias("q"))
+    built = L.build_chain(hot.unionByName(rest).withColumn("hash", F.lit("old")), "r", "seq", ["p", "q"]).cache()
+    assert built.columns == ["r", "seq", "p", "q", "prev_hash", "hash"] and built.count() == 100_040
+    assert L.verify_chain(built, "r", "seq", ["p", "q"], "prev_hash", "hash").where("problem is not null").count() == 0
+    broken = built.withColumn("p", F.when((F.col("r") == "hot") & (F.col("seq") == 500), "y").otherwise(F.col("p"))).where("not (r = 'r1' and seq = 5)")
+    found = L.verify_chain(broken, "r", "seq", ["p", "q"], "prev_hash", "hash").where("problem is not null").select("r", "seq", "problem").collect()
+    assert sorted(map(tuple, found)) == [("hot", 500, "hash"), ("r1", 6, "sequence")]
+    assert L.build_chain(rest.where("false"), "r", "seq", ["p"]).count() == 0
+    built.unpersist()
