@@ -29,6 +29,28 @@ PANEL = """
 """
 
 
+def ridge2(train: str) -> str:
+    """Normal equations of lag and area with a penalty of 1, by determinants: ``w`` has one row."""
+    return PANEL + f""",
+    g as (select count(*)::double as n, avg(lag) m1, avg(area) m2, avg(target) my, stddev_pop(lag) s1, stddev_pop(area) s2, covar_pop(lag, area) c12,
+        covar_pop(lag, target) c1, covar_pop(area, target) c2 from pn where {train}),
+    e as (select *, n + 1 as a, n * c12 / s1 / s2 as b, n * c1 / s1 as r1, n * c2 / s2 as r2 from g),
+    w as (select *, (a * r1 - b * r2) / (a * a - b * b) as w1, (a * r2 - b * r1) / (a * a - b * b) as w2 from e)"""
+
+
+def ridge3(train: str) -> str:
+    """The same for lag, lag_production and area with penalties of 1 and 10: ``w`` has a row per alpha."""
+    return PANEL + f""",
+    g as (select count(*)::double as n, avg(lag) m1, avg(lag_production) m2, avg(area) m3, avg(target) my, stddev_pop(lag) s1, stddev_pop(lag_production) s2, stddev_pop(area) s3,
+        covar_pop(lag, lag_production) c12, covar_pop(lag, area) c13, covar_pop(lag_production, area) c23,
+        covar_pop(lag, target) c1, covar_pop(lag_production, target) c2, covar_pop(area, target) c3 from pn where {train}),
+    e as (select *, n + alpha as a, n * c12 / s1 / s2 as x, n * c13 / s1 / s3 as y, n * c23 / s2 / s3 as z, n * c1 / s1 as r1, n * c2 / s2 as r2, n * c3 / s3 as r3
+        from g cross join (values (1.0::double), (10.0::double)) v(alpha)),
+    d as (select *, a * a * a + 2 * x * y * z - a * (x * x + y * y + z * z) as det from e),
+    w as (select *, ((a * a - z * z) * r1 + (y * z - a * x) * r2 + (x * z - a * y) * r3) / det as w1, ((y * z - a * x) * r1 + (a * a - y * y) * r2 + (x * y - a * z) * r3) / det as w2,
+        ((x * z - a * y) * r1 + (x * y - a * z) * r2 + (a * a - x * x) * r3) / det as w3 from d)"""
+
+
 @query("m01_ridge_single_feature", "year", "with " + PANEL + """
     , g as (select n_regionkey as region, count(*) n, avg(lag) mx, stddev_pop(lag) sx, avg(target) my, covar_pop(lag, target) cv from pn join nation on n_nationkey = province group by all)
     select region, cast(alpha as double) as alpha, round(my, 5) as intercept, round(n * cv / sx / (n + alpha), 4) as coef, round(mx, 5) as mean, round(sx, 5) as scale from g cross join (values (1), (10), (100)) a(alpha)""")
@@ -39,7 +61,9 @@ def _(t):
                       F.round(F.col("mean")[0], 5).alias("mean"), F.round(F.col("scale")[0], 5).alias("scale"))
 
 
-@query("m01_ridge_panel")
+@query("m01_ridge_panel", "year", "with " + ridge3("year_ce <= 1998") + """
+    select cast(province as bigint) as province, cast(year_ce as bigint) as year_ce, alpha,
+        round(greatest(0.0, my + (lag - m1) / s1 * w1 + (lag_production - m2) / s2 * w2 + (area - m3) / s3 * w3), 4) as predicted from pn cross join w where year_ce > 1998""")
 def _(t):
     rows = panel(t)
     models = M.ridge_fit(rows.where("year_ce <= 1998"), ["lag", "lag_production", "area"], "target", [1, 10], [])
@@ -47,7 +71,12 @@ def _(t):
     return out.select(*ints("province", "year_ce"), "alpha", F.round("predicted", 4).alias("predicted"))
 
 
-@query("m02_guarded_scoring")
+@query("m02_guarded_scoring", "year", "with " + ridge2("year_ce <= 1998") + """
+    , p as (select province, year_ce, area, case when province not between 0 and 19 then 'unknown_entity' when year_ce <= 1998 then 'year_not_after_training'
+            when province = 5 or lag is null or area is null then 'missing_or_not_finite' when not area between 0 and 300 then 'out_of_range' end as problem,
+        greatest(0.0, my + (lag - m1) / s1 * w1 + (area - m2) / s2 * w2) as v from pn cross join w)
+    select cast(province as bigint) as province, cast(year_ce as bigint) as year_ce, problem, case when problem is null then round(v, 4) end as predicted,
+        case when problem is null and area > 0 then round(v * area / 1000, 4) end as predicted_tonnes from p""")
 def _(t):
     rows = panel(t)
     models = M.ridge_fit(rows.where("year_ce <= 1998"), ["lag", "area"], "target", [1], [])
@@ -236,7 +265,9 @@ def _(t):
     return out.select("event_id", *ints("wet_score"), "wet_alert")
 
 
-@query("m17_coefficients")
+@query("m17_coefficients", "year", "with " + ridge3("true") + """
+    , c as (select alpha, 'lag' as feature, w1 as c from w union all select alpha, 'lag_production', w2 from w union all select alpha, 'area', w3 from w)
+    select alpha, feature, round(c, 4) as coefficient, row_number() over (partition by alpha order by abs(c) desc, feature) as rank from c""")
 def _(t):
     names = ["lag", "lag_production", "area"]
     models = M.ridge_fit(panel(t), names, "target", [1, 10], [])
@@ -297,7 +328,11 @@ def _(t):
     return out.select("province", day("day"), *r6("depletion_mm", "ks", "eta_mm", "drainage_mm"))
 
 
-@query("m23_dated_estimate")
+@query("m23_dated_estimate", "year", "with " + ridge2("year_ce <= 1997") + """
+    , k as (select year.province, year.year_ce, pn.lag, case when year.province <> 3 then pn.area end as area from year left join pn on pn.province = year.province and pn.year_ce = year.year_ce),
+    p as (select *, case when lag is null then 'pending_prior_yield' when make_date(cast(year_ce as int), 9, 30) >= date '2000-06-01' then 'pending_future_weather' when area is null then 'missing_weather' else 'estimate' end as status from k)
+    select cast(province as bigint) as province, cast(year_ce as bigint) as year_ce, status,
+        case when status = 'estimate' then round(greatest(0.0, my + (lag - m1) / s1 * w1 + (area - m2) / s2 * w2), 4) end as predicted from p cross join w""")
 def _(t):
     rows = panel(t)
     models = M.ridge_fit(rows.where("year_ce <= 1997"), ["lag", "area"], "target", [1], [])
