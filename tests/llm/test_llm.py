@@ -204,7 +204,9 @@ def test_passages_keep_words_that_no_earlier_document_has(spark):
     assert cut == {1: texts[1], 5: own[2] + shared[:4] + shared[56:] + own[3], 9: own[4] + own[5]}
 
 
-def test_passages_around_a_hot_anchor_against_brute_force(spark):
+@pytest.mark.parametrize("cell", [1 << 16, 8])
+def test_passages_around_a_hot_anchor_against_brute_force(spark, cell):
+    plan = suffixes.Sparse(cell=cell)  # the hot anchor in one cell, and in eight
     rng, anchor, texts = random.Random(8), prose(60, 36).split(), {}
     sides = [[prose(100 + 10 * s + i, 15).split() for i in range(4)] for s in (0, 1)]
     for i in range(60):
@@ -218,10 +220,10 @@ def test_passages_around_a_hot_anchor_against_brute_force(spark):
             high[w] = i
     cover = lambda i, test: {j + k for j, w in enumerate(windows[i]) if test(w, i) for k in range(50)}
     rows = docs(spark, [(i, " ".join(w), "a", "en") for i, w in texts.items()])
-    spans = suffixes.repeated_spans(rows).collect()
+    spans = suffixes.repeated_spans(rows, plan).collect()
     assert {(r["doc_id"], k) for r in spans for k in range(r["start_word"], r["end_word"])} == {
         (i, k) for i in texts for k in cover(i, lambda w, _: low[w] < high[w])}
-    cut = {r["doc_id"]: r["text"].split() for r in suffixes.drop_repeats(rows).collect()}
+    cut = {r["doc_id"]: r["text"].split() for r in suffixes.drop_repeats(rows, plan).collect()}
     assert cut == {i: [w for k, w in enumerate(texts[i]) if k not in cover(i, lambda w, own: low[w] < own)] for i in texts}
 
 
