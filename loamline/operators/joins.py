@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.operators.quality import require_unique
-from loamline.operators.scan import Series, done, first_where, last_where, running_count
+from loamline.operators.scan import Series, done, last_where, runs
 
 
 def micros(c) -> Column:
@@ -218,20 +218,22 @@ def around(events: DataFrame, facts: DataFrame, by: Sequence[str], event_ts: str
     return events.join(got, keys, "left")
 
 
-def first_after(df: DataFrame, s: Series, is_event: Column, crossing: Column, gap: Column, within_s: float
-                ) -> DataFrame:
+def first_after(df: DataFrame, s: Series, is_event: Column, crossing: Column, gap: Column | float,
+                within_s: float) -> DataFrame:
     """For each event row: the first row from it on that crosses within the limit, the hours to it and
-    whether the path has a gap. ``gap`` marks rows that follow one. One forward scan, no join."""
-    marked = df.withColumn("_event", is_event).withColumn("_cross", crossing)
-    counted = running_count(marked, s, gap, "_gaps")
-    found = first_where(counted, s, F.col("_cross"), F.struct(F.col(s.time).alias("at"), F.col("_gaps").alias("g")),
-                        "_hit")
-    hours = elapsed(F.col("_hit")["at"], s.time) / 3600
-    ok = elapsed(F.col("_hit")["at"], s.time) <= within_s
-    return done(found.where("_event")).withColumns({
-        "crossed_at": F.when(ok, F.col("_hit")["at"]), "hours_to_crossing": F.when(ok, hours),
-        "path_has_gap": F.when(ok, F.col("_hit")["g"] > F.col("_gaps")),
-    }).drop("_hit", "_gaps", "_event", "_cross")
+    whether the path has a gap. ``gap`` marks rows that follow one, or is the limit in seconds between
+    two rows. One slice summary, no join of rows."""
+    if isinstance(gap, Column):
+        df, lagged, follows = df.withColumn("_gap", gap), {s.time: "_before", "_gap": "_gap_before"}, F.coalesce(F.col("_gap"), F.lit(False))
+    else:
+        lagged, follows = {s.time: "_before"}, F.coalesce(elapsed(s.time, "_before") > gap, F.lit(False))
+    found = done(runs(df, s, lagged, follows, {"_hit": (crossing, s.key)})).where(is_event)
+    hours = elapsed(F.col("_hit")[s.time], s.time) / 3600
+    ok = elapsed(F.col("_hit")[s.time], s.time) <= within_s
+    return found.withColumns({
+        "crossed_at": F.when(ok, F.col("_hit")[s.time]), "hours_to_crossing": F.when(ok, hours),
+        "path_has_gap": F.when(ok, F.coalesce(F.col("_next.key") <= F.col("_hit"), F.lit(False))),
+    }).drop("_hit", "_gap", *lagged.values(), "_break", "_run", "_next", "_last_at")
 
 
 def at_offsets(events: DataFrame, facts: DataFrame, by: Sequence[str], ts: str, value: str,

@@ -97,18 +97,6 @@ def previous(df: DataFrame, s: Series, columns: dict[str, str]) -> DataFrame:
     return out.drop("_scan_before", "_scan_prev")
 
 
-def following(df: DataFrame, s: Series, columns: dict[str, str]) -> DataFrame:
-    """Mirror of ``previous`` for the next row."""
-    df = s.cut(df)
-    packed = F.struct(*[F.col(c).alias(n) for c, n in columns.items()])
-    edges = _folded(df, s, {"_scan_first": F.min_by(packed, s.key)}, {"_scan_after": F.lead("_scan_first").over(s.slices())})
-    out = _attach(df, s, edges)
-    out = out.withColumn("_scan_next", F.coalesce(F.lead(packed).over(s.rows()), F.col("_scan_after")))
-    for name in columns.values():
-        out = out.withColumn(name, F.col("_scan_next")[name])
-    return out.drop("_scan_after", "_scan_next")
-
-
 def last_where(df: DataFrame, s: Series, flag: Column, value: Column, name: str, inclusive: bool = True) -> DataFrame:
     """Value of the latest row at or before (or strictly before) this one where ``flag`` holds."""
     df = s.cut(df).withColumn("_scan_hit", F.when(flag, F.struct(value.alias("v"))))
@@ -122,19 +110,6 @@ def last_where(df: DataFrame, s: Series, flag: Column, value: Column, name: str,
     return _attach(df, s, edges).withColumn(name, hit["v"]).drop("_scan_hit", "_scan_before")
 
 
-def first_where(df: DataFrame, s: Series, flag: Column, value: Column, name: str, inclusive: bool = True) -> DataFrame:
-    """Value of the earliest row at or after (or strictly after) this one where ``flag`` holds."""
-    df = s.cut(df).withColumn("_scan_hit", F.when(flag, F.struct(value.alias("v"))))
-    after = s.slices().rowsBetween(1, Window.unboundedFollowing)
-    edges = _folded(
-        df, s, {"_scan_first": F.min_by("_scan_hit", F.when(F.col("_scan_hit").isNotNull(), s.key))},
-        {"_scan_after": F.first("_scan_first", ignorenulls=True).over(after)},
-    )
-    frame = s.rows().rowsBetween(0 if inclusive else 1, Window.unboundedFollowing)
-    hit = F.coalesce(F.first("_scan_hit", ignorenulls=True).over(frame), F.col("_scan_after"))
-    return _attach(df, s, edges).withColumn(name, hit["v"]).drop("_scan_hit", "_scan_after")
-
-
 def running_sum(df: DataFrame, s: Series, value: Column, name: str) -> DataFrame:
     """Sum of the whole numbers ``value`` up to and including this row; null counts as zero."""
     df = s.cut(df).withColumn("_scan_one", F.coalesce(value, F.lit(0)))
@@ -155,12 +130,49 @@ def running_count(df: DataFrame, s: Series, flag: Column, name: str) -> DataFram
     return running_sum(df, s, F.when(flag, 1).otherwise(0), name)
 
 
-def last_position(df: DataFrame, s: Series, name: str) -> DataFrame:
-    """The order value of the last row of the entity, on every row."""
-    df = s.cut(df)
-    whole = Window.partitionBy(*s.by)
-    edges = _folded(df, s, {"_scan_max": F.max(s.time)}, {name: F.max("_scan_max").over(whole)})
-    return _attach(df, s, edges)
+def runs(df: DataFrame, s: Series, lagged: dict[str, str], broken: Column,
+         ahead: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
+    """Runs of consecutive rows, with one summary per slice for everything that is asked of them.
+
+    A row where ``broken`` holds begins a run. ``broken`` reads the columns of ``lagged`` (the time column among them) and,
+    by their new names, their values in the preceding row, which are null on the first row of an entity; it is never null.
+    Adds these values and ``_break``; ``_run``: key of the latest break at or before the row; ``_next``: key of the earliest
+    break after it and the time ``before`` that break; ``_last_at``: the last time of the entity. ``ahead`` maps a name to
+    (flag, value): the value at the earliest row, from this one on, where the flag holds.
+
+    The first row of a slice cannot see its predecessor, so its break is decided when the summaries are folded, from the
+    first row of the slice and the last one of the slice before. Columns that nobody reads are pruned by the optimiser.
+    """
+    ahead, was = ahead or {}, lagged[s.time]
+    packed = F.struct(*[F.col(c).alias(n) for c, n in lagged.items()])
+    df = s.cut(df).withColumn("_scan_prev", F.lag(packed).over(s.rows()))
+    for name, (flag, value) in ahead.items():
+        df = df.withColumn(f"_hit_{name}", F.when(flag, F.struct(value.alias("v"))))
+    unpack = {n: F.col("_scan_prev")[n] for n in lagged.values()}
+    inner = df.withColumns(unpack).withColumn("_inner", F.when(F.col("_scan_prev").isNotNull() & broken, s.key))
+    edges = inner.groupBy(*s.by, SLICE).agg(
+        F.min_by(F.struct(s.key.alias("_key"), *lagged), s.key).alias("_first"), F.max_by(packed, s.key).alias("_last"), F.max("_inner").alias("_inner"),
+        F.min_by(F.struct(F.col("_inner").alias("key"), F.col(was).alias("before")), F.col("_inner")).alias("_early"),
+        *[F.min_by(f"_hit_{n}", F.when(F.col(f"_hit_{n}").isNotNull(), s.key)).alias(f"_hit_{n}") for n in ahead])
+    edges = edges.withColumn("_scan_before", F.lag("_last").over(s.slices()))
+    edges = edges.withColumns({n: F.col("_scan_before")[n] for n in lagged.values()}).withColumns({c: F.col("_first")[c] for c in lagged})
+    first = F.struct(F.col("_first._key").alias("key"), F.col(was).alias("before"))
+    edges = edges.withColumns({
+        "_own": F.coalesce(F.col("_inner"), F.when(broken, F.col("_first._key"))), "_early": F.when(broken, first).otherwise(F.col("_early"))})
+    past, later = s.slices().rowsBetween(Window.unboundedPreceding, -1), s.slices().rowsBetween(1, Window.unboundedFollowing)
+    edges = edges.select(
+        *s.by, SLICE, "_scan_before", F.last("_own", ignorenulls=True).over(past).alias("_scan_run"),
+        F.first("_early", ignorenulls=True).over(later).alias("_scan_next"), F.max(F.col("_last")[was]).over(Window.partitionBy(*s.by)).alias("_last_at"),
+        *[F.first(f"_hit_{n}", ignorenulls=True).over(later).alias(f"_scan_{n}") for n in ahead])
+    out = _attach(df, s, edges).withColumn("_scan_prev", F.coalesce("_scan_prev", "_scan_before")).withColumns(unpack).withColumn("_break", broken)
+    back, on = s.rows().rowsBetween(Window.unboundedPreceding, 0), s.rows().rowsBetween(0, Window.unboundedFollowing)
+    after = s.rows().rowsBetween(1, Window.unboundedFollowing)
+    here = F.struct(s.key.alias("key"), F.col(was).alias("before"))
+    out = out.withColumns({
+        "_run": F.coalesce(F.last(F.when(F.col("_break"), s.key), ignorenulls=True).over(back), F.col("_scan_run")),
+        "_next": F.coalesce(F.first(F.when(F.col("_break"), here), ignorenulls=True).over(after), F.col("_scan_next")),
+        **{n: F.coalesce(F.first(f"_hit_{n}", ignorenulls=True).over(on), F.col(f"_scan_{n}"))["v"] for n in ahead}})
+    return out.drop("_scan_prev", "_scan_before", "_scan_run", "_scan_next", *[f"_{k}_{n}" for n in ahead for k in ("hit", "scan")])
 
 
 def done(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loamline.operators.joins import elapsed
 from loamline.operators.scan import (
-    Series, balanced, done, first_where, last_position, last_where, previous, running_count,
+    Series, balanced, done, previous, running_count, runs,
 )
 
 
@@ -26,12 +26,11 @@ def gap_delta(df: DataFrame, s: Series, value: str, max_gap_s: float) -> DataFra
 
 
 def _mark_runs(df: DataFrame, s: Series, signature: Sequence[str], max_gap_s: float | None) -> DataFrame:
-    """Adds ``_complete``, ``_break`` (a run starts here), ``_prev_at`` and ``run_start``.
+    """``runs`` of an unchanged signature, with ``_complete`` and ``run_start``.
 
     A null in the signature differs from everything, itself included.
     """
     names = {c: f"_p_{c}" for c in signature}
-    df = previous(df, s, {**names, s.time: "_prev_at"})
     same = F.lit(True)
     complete = F.lit(True)
     for c, p in names.items():
@@ -39,19 +38,19 @@ def _mark_runs(df: DataFrame, s: Series, signature: Sequence[str], max_gap_s: fl
         complete = complete & F.col(c).isNotNull()
     if max_gap_s is not None:
         same = same & F.coalesce(elapsed(s.time, "_prev_at") <= max_gap_s, F.lit(False))
-    df = df.withColumns({"_break": ~same, "_complete": complete}).drop(*names.values())
-    return last_where(df, s, F.col("_break"), F.col(s.time), "run_start")
+    marked = runs(df, s, {**names, s.time: "_prev_at"}, ~same)
+    return marked.withColumns({"_complete": complete, "run_start": F.col("_run")[s.time]}).drop(*names.values(), "_prev_at", "_break", "_run")
 
 
 def stale_runs(df: DataFrame, s: Series, signature: Sequence[str], minutes: float,
                max_gap_s: float | None = None) -> DataFrame:
     """``stale_minutes`` since the signature last changed and the ``stale`` flag."""
-    out = done(_mark_runs(df, s, signature, max_gap_s))
+    out = done(_mark_runs(df, s, signature, max_gap_s)).drop("_next", "_last_at")
     in_run = elapsed(s.time, "run_start") / 60
     return out.withColumns({
         "stale_minutes": F.when(F.col("_complete"), in_run),
         "stale": F.col("_complete") & (in_run >= minutes),
-    }).drop("_break", "_complete", "_prev_at", "run_start")
+    }).drop("_complete", "run_start")
 
 
 def flatline_online(df: DataFrame, s: Series, signature: Sequence[str], minutes: float = 60,
@@ -66,12 +65,10 @@ def flatline_offline(df: DataFrame, s: Series, signature: Sequence[str], minutes
     """Hindsight form: every row of a run that lasts at least ``minutes`` is flagged, its first row included."""
     marked = _mark_runs(df, s, signature, max_gap_s)
     # The run ends at the row before the next break, or at the last row of the entity.
-    marked = first_where(marked, s, F.col("_break"), F.col("_prev_at"), "_end", inclusive=False)
-    marked = last_position(marked, s, "_last_at")
-    end = F.coalesce(F.col("_end"), F.col("_last_at"))
+    end = F.coalesce(F.col("_next.before"), F.col("_last_at"))
     length = (elapsed(end, "run_start")) / 60
     return done(marked).withColumns({"run_end": end, "flatline_offline": F.col("_complete") & (length >= minutes)}).drop(
-        "_break", "_complete", "_prev_at", "_end", "_last_at")
+        "_complete", "_next", "_last_at")
 
 
 def run_table(flagged: DataFrame, s: Series) -> DataFrame:
@@ -213,9 +210,9 @@ def regime_streak(df: DataFrame, by: Sequence[str], index: str, value: str, warm
 def episodes(df: DataFrame, s: Series, value: str, threshold: float, max_gap_s: float) -> DataFrame:
     """Runs of consecutive rows at or above the threshold; a gap ends a run. The peak is its first maximum."""
     high = F.coalesce(F.col(value) >= threshold, F.lit(False))
-    marked = previous(df.withColumn("_high", high), s, {s.time: "_at", "_high": "_was_high"})
     start = F.col("_high") & ~F.coalesce(F.col("_was_high") & (elapsed(s.time, "_at") <= max_gap_s), F.lit(False))
-    found = done(last_where(marked, s, start, s.key, "_episode")).where("_high")
+    marked = runs(df.withColumn("_high", high), s, {s.time: "_at", "_high": "_was_high"}, start)
+    found = done(marked).where("_high").withColumnRenamed("_run", "_episode")
     peak = F.struct(F.col(s.time).alias("at"), F.col(value).alias("value"))
     out = found.groupBy(*s.by, "_episode").agg(
         F.min(s.time).alias("start_at"), F.max(s.time).alias("end_at"), F.count("*").alias("rows"),

@@ -169,8 +169,7 @@ def _(t):
     from p left join c on c.event_id = p.event_id left join g f on f.device_id = p.device_id and f.recorded_at = c.first_at""")
 def _(t):
     s = series(t)
-    rows = W.gap_delta(t.sensor, s, "soil", GAP)
-    out = J.first_after(rows, s, F.col("soil") >= 150, F.col("soil") <= 20, F.coalesce(F.col("gap_minutes") > 720, F.lit(False)), 48 * 3600)
+    out = J.first_after(t.sensor, s, F.col("soil") >= 150, F.col("soil") <= 20, 720 * 60, 48 * 3600)
     return out.select("event_id", ts("crossed_at").alias("crossed_at"), F.round("hours_to_crossing", 6).alias("hours_to_crossing"), "path_has_gap")
 
 
