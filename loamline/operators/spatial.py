@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from loamline.functions.climate import haversine_km
 from loamline.functions.text import district_key
-from loamline.session import cut_lineage
+from loamline.operators.graph import connected
+from loamline.session import cut_lineage, written
 
 EDGE_TOLERANCE = 1e-11
 # An edge belongs to a cell that it comes this near to, which is far more than the tolerance and rounding together.
@@ -314,38 +315,33 @@ def world_pixel(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
     return x, y
 
 
+def linked_bins(groups: DataFrame, zoom: int, spacing: float) -> DataFrame:
+    """(id, other): pairs of centroids closer than the spacing. Only the neighbouring cells of a spacing-wide grid meet."""
+    x, y = world_pixel(F.col("lon"), F.col("lat"), zoom)
+    placed = groups.withColumns({"x": x, "y": y})
+    placed = placed.withColumns({"gx": F.floor(F.col("x") / spacing), "gy": F.floor(F.col("y") / spacing)})
+    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    other = placed.withColumn("_n", F.explode(around)).select(
+        F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"),
+        (F.col("gx") + F.col("_n.dx")).alias("gx"), (F.col("gy") + F.col("_n.dy")).alias("gy"))
+    return placed.join(other, ["gx", "gy"]).where(
+        (F.col("id") != F.col("other")) & (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) < spacing)
+    ).select("id", "other")
+
+
 def merge_clusters(bins: DataFrame, zoom: int, spacing: float) -> DataFrame:
     """Merge centroids closer than the spacing until none are: connected groups take the smallest label,
     then member-weighted centroids are formed and compared again.
 
-    Bins are bounded by the map area over the cell size, not by the number of points. Each round looks
-    only at the neighbouring cells of a spacing-wide grid.
+    Bins are bounded by the map area over the cell size, not by the number of points.
     """
-    groups = bins.select(F.monotonically_increasing_id().alias("id"), "members", "lon", "lat")
-    groups = cut_lineage(groups)
+    groups = written(bins.select(F.monotonically_increasing_id().alias("id"), "members", "lon", "lat"))
     while True:
-        x, y = world_pixel(F.col("lon"), F.col("lat"), zoom)
-        placed = groups.withColumns({"x": x, "y": y})
-        placed = placed.withColumns({"gx": F.floor(F.col("x") / spacing), "gy": F.floor(F.col("y") / spacing)})
-        around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-        other = placed.withColumn("_n", F.explode(around)).select(
-            F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"),
-            (F.col("gx") + F.col("_n.dx")).alias("gx"), (F.col("gy") + F.col("_n.dy")).alias("gy"))
-        links = placed.join(other, ["gx", "gy"]).where(
-            (F.col("id") != F.col("other")) & (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) < spacing)
-        ).select("id", "other")
-        links = cut_lineage(links)
+        links = written(linked_bins(groups, zoom, spacing))
         if links.isEmpty():
             return groups
-        labels = groups.select("id", F.col("id").alias("label"))
-        while True:
-            best = links.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("_m"))
-            moved = labels.join(best, "id", "left").select(
-                "id", F.least("label", F.coalesce("_m", "label")).alias("label"), F.col("label").alias("_was"))
-            moved = cut_lineage(moved)
-            labels = moved.drop("_was")
-            if moved.where("label <> _was").isEmpty():
-                break
-        groups = cut_lineage(groups.join(labels, "id").groupBy("label").agg(
+        label = F.coalesce("label", "id").alias("label")
+        named = groups.join(connected(links), "id", "left").select(label, "members", "lon", "lat")
+        groups = written(named.groupBy("label").agg(
             F.sum("members").alias("members"), (F.sum(F.col("lon") * F.col("members")) / F.sum("members")).alias("lon"),
             (F.sum(F.col("lat") * F.col("members")) / F.sum("members")).alias("lat")).withColumnRenamed("label", "id"))

@@ -7,6 +7,7 @@ from pyspark.sql.types import StructType
 
 from loamline.operators import aggregates as A
 from loamline.operators import spatial as S
+from loamline.operators.graph import connected
 from loamline.operators.windows import topk
 from loamline.plans.q_sources import outlines, scratch
 from loamline.plans.q_windows import ints
@@ -126,6 +127,20 @@ def _(t):
     return S.merge_clusters(S.bin_points(t.pts, x, y, 72), 10, 56).select("members", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
 
 
+@query("g01_linked_bins", "pts", """
+    with recursive p as (select *, (lon + 180) / 360 * 256 * pow(2, 10) as x, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 256 * pow(2, 10) as y from pts),
+    b as (select cast(floor(x / 18) as bigint) as bin_x, cast(floor(y / 18) as bigint) as bin_y, avg(lon) as lon, avg(lat) as lat from p group by all),
+    c as (select bin_x * 1048576 + bin_y as id, (lon + 180) / 360 * 256 * pow(2, 10) as x, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 256 * pow(2, 10) as y from b),
+    e as (select i.id, o.id as other from c i join c o on i.id <> o.id and abs(i.x - o.x) < 14 and abs(i.y - o.y) < 14 and sqrt(pow(i.x - o.x, 2) + pow(i.y - o.y, 2)) < 14),
+    r(id, reached) as (select id, id from e union select r.id, e.other from r join e on e.id = r.reached)
+    select cast(c.id as bigint) as bin, cast(coalesce(min(r.reached), c.id) as bigint) as label from c left join r on r.id = c.id group by c.id""")
+def _(t):
+    x, y = S.world_pixel(F.col("lon"), F.col("lat"), 10)
+    bins = S.bin_points(t.pts, x, y, 18).withColumn("id", F.col("bin_x") * 1048576 + F.col("bin_y"))
+    labels = connected(S.linked_bins(bins, 10, 14))
+    return bins.join(labels, "id", "left").select(F.col("id").alias("bin"), F.coalesce("label", "id").alias("label"))
+
+
 @query("g02_cell_weights", "pts", """
     with c as (select province, cast(floor(lon / 0.25) as bigint) as cx, cast(floor(lat / 0.25) as bigint) as cy, count(*) as n from pts group by all)
     select cast(province as bigint) as province, cx, cy, cast(n as bigint) as amount, round(n / sum(n) over (partition by province), 9) as weight from c""")
