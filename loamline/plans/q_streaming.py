@@ -45,9 +45,9 @@ def closing_rows(df, at: str):
     return [one.withColumns({"device_id": F.lit(-1).cast("long"), at: F.lit(d).cast("timestamp_ntz")}) for d in ("2024-03-01", "2024-03-02")]
 
 
-def finish(t, df, at: str, transform, closing=()):
+def finish(t, df, at: str, transform, closing=(), disk_state=False):
     out = folder(t)
-    replay(t, df, at, lambda s: T.run_to_end(transform(s), out, out + "-checkpoint"), closing)
+    replay(t, df, at, lambda s: T.run_to_end(transform(s), out, out + "-checkpoint", disk_state=disk_state), closing)
     return t.spark.read.parquet(out)
 
 
@@ -68,13 +68,21 @@ def _(t):
     return out.where("device_id >= 0").select("device_id", ts("hour").alias("hour"), F.round("soil", 6).alias("soil"), "soil_n")
 
 
+def delivered(event: str = "event_id"):
+    """Time of delivery: every tenth reading comes eight days after it was taken."""
+    return F.when(F.col(event) % 10 == 0, F.col("recorded_at") + F.expr("interval 8 days")).otherwise(F.col("recorded_at"))
+
+
 @query("t03_stream_flatline", "sensor", RUNS.format(gap=NEAR) + """
-    select event_id, complete and date_diff('microsecond', run_start, recorded_at) / 6e7 >= 360 as flatline_online from m""")
+    select event_id, complete and date_diff('microsecond', run_start, recorded_at) / 6e7 >= 360 as flatline_online, false as late from m
+    union all select event_id, null, true from sensor where event_id % 50 = 0""")
 def _(t):
-    rows = signed(t).select("event_id", "device_id", "recorded_at", "sig1", "sig2")
-    out = finish(t, rows, "recorded_at", lambda s: T.stream_flatline(
-        s, ["device_id"], "recorded_at", "event_id", ["sig1", "sig2"], STALE_MINUTES, GAP))
-    return out.select("event_id", "flatline_online")
+    rows = signed(t).select("event_id", "device_id", "recorded_at", "sig1", "sig2").withColumn("delivered", delivered())
+    # Some rows come once more after the watermark has passed them.
+    out = finish(t, rows, "delivered", lambda s: T.stream_flatline(
+        s, ["device_id"], "recorded_at", "event_id", ["sig1", "sig2"], STALE_MINUTES, GAP, "30 days"),
+        [*closing_rows(rows, "recorded_at"), rows.where("event_id % 50 = 0")], True)
+    return out.where("device_id >= 0").select("event_id", "flatline_online", "late")
 
 
 @query("t04_stream_episodes", "sensor", """
@@ -124,22 +132,25 @@ def _(t):
 def _(t):
     rows = t.sensor.select("device_id", "event_id", "recorded_at", "soil", "valid", "age_sec")
     base = folder(t)
-    paths = []
-    replay(t, rows, "recorded_at", lambda s: paths.append(
-        T.stream_status(s, ["device_id"], "recorded_at", "event_id", base, base + "-checkpoint")))
-    out = t.spark.read.parquet(paths[-1])
+    replay(t, rows, "recorded_at", lambda s: T.stream_status(s, ["device_id"], "recorded_at", "event_id", base, base + "-checkpoint"))
+    out = T.status_table(t.spark, base, ["device_id"])
     state = sensor_state(F.col("soil"), F.col("valid"), F.col("age_sec"), F.lit(False), F.col("recorded_at"),
                          F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"), fresh_minutes=1440)
     return out.select("device_id", "event_id", state.alias("state"))
 
 
 @query("t08_stream_guard", "sensor", """
-    select event_id, recorded_at <= timestamp '2024-01-20 00:05:00' as accepted from sensor""")
+    with d as (select event_id, recorded_at, recorded_at > timestamp '2024-01-20 00:05:00' as ahead,
+        case when event_id % 10 = 0 then recorded_at + interval 8 day else recorded_at end as delivered from sensor),
+    p as (select *, (delivered >= timestamp '2024-01-09')::int + (delivered >= timestamp '2024-01-17')::int + (delivered >= timestamp '2024-01-24')::int as part from d),
+    m as (select part, max(max(recorded_at) filter (not ahead)) over (order by part rows between unbounded preceding and 1 preceding) as mark from p group by part)
+    select event_id, case when ahead then 'rejected' when recorded_at < mark - interval 2 day then 'late' else 'accepted' end as outcome from p join m using (part)""")
 def _(t):
-    rows = t.sensor.select("event_id", "device_id", "recorded_at", "soil")
+    rows = t.sensor.select("event_id", "device_id", "recorded_at", "soil").withColumn("delivered", delivered())
     base = folder(t)
     now = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
-    replay(t, rows, "recorded_at", lambda s: T.stream_guard(
-        s, "recorded_at", now, 300, base + "/good", base + "/bad", base + "-checkpoint"))
-    good = t.spark.read.parquet(base + "/good").select("event_id", F.lit(True).alias("accepted"))
-    return good.unionByName(t.spark.read.parquet(base + "/bad").select("event_id", F.lit(False).alias("accepted")))
+    replay(t, rows, "delivered", lambda s: T.stream_guard(
+        s, "recorded_at", now, 300, base + "/good", base + "/bad", base + "-checkpoint", base + "/late", 2 * 86400))
+    parts = [t.spark.read.parquet(f"{base}/{name}").select("event_id", F.lit(outcome).alias("outcome"))
+             for name, outcome in (("good", "accepted"), ("bad", "rejected"), ("late", "late"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

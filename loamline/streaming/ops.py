@@ -11,11 +11,17 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from loamline.operators.joins import elapsed, vintage_asof
-from loamline.sources.sinks import merge_upsert, upsert_table
+from loamline.sources.sinks import upsert_table
+
+
+DISK_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def read_files(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
@@ -35,47 +41,97 @@ def stream_hourly(stream: DataFrame, by: Sequence[str], ts: str, values: Sequenc
     return out.select(*by, F.col("window.end").alias("hour"), *values, *[f"{c}_n" for c in values])
 
 
-STATE = StructType([StructField("signature", StringType()), StructField("run_start", LongType()), StructField("last", LongType())])
+class InOrder(StatefulProcessor):
+    """Holds the rows of a device until the watermark has passed them, then judges them in order of (time, event).
+
+    State: waiting rows, one per list entry; signature and start of the run, time of the last judged row. A row at or before
+    that time comes too late to be judged in order and leaves at once with no flag. Where the state of a silent device was
+    dropped, its last row was ``expire_ms`` behind the watermark, so that is the limit then.
+    """
+
+    def __init__(self, keys: Sequence[str], event: StructField, limit: int, gap: int, expire_ms: int):
+        self.keys, self.event, self.limit, self.gap, self.expire_ms = list(keys), event, limit, gap, expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", StructType([
+            StructField("us", LongType()), StructField("event", self.event.dataType), StructField("signature", StringType())]))
+        self.run = handle.getValueState("run", StructType([
+            StructField("signature", StringType()), StructField("start", LongType()), StructField("last", LongType())]))
+
+    def _frame(self, key, events: list, flags: list, late: bool) -> pd.DataFrame:
+        columns = {name: [value] * len(events) for name, value in zip(self.keys, key)}
+        return pd.DataFrame({**columns, self.event.name: events, "flatline_online": pd.Series(flags, dtype=object), "late": late})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        judged = self.run.get()[2] if self.run.exists() else (timerValues.getCurrentWatermarkInMs() - self.expire_ms) * 1000
+        first = None
+        for batch in rows:
+            # Spark renames columns that are no Python names, so they are taken by their place.
+            events, at, sign = (batch[c] for c in batch.columns[len(self.keys):])
+            passed = at <= judged
+            if passed.any():
+                yield self._frame(key, events[passed].tolist(), [None] * int(passed.sum()), True)
+            keep = ~passed
+            if keep.any():
+                first = min(int(at[keep].min()), first if first is not None else 2**62)
+                self.waiting.appendList([(int(u), e, g if isinstance(g, str) else None)
+                                         for u, e, g in zip(at[keep], events[keep], sign[keep])])
+        if first is not None:
+            # The next full millisecond, so that the watermark has passed the row when the timer fires.
+            self.handle.registerTimer(first // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        sig, start, last = self.run.get() if self.run.exists() else (None, None, None)
+        ready, rest = [], []
+        for row in self.waiting.get():
+            (ready if row[0] < mark else rest).append(tuple(row))
+        if not ready:
+            # A timer of rows that left with others. The state goes once the device has been silent long enough.
+            if not rest and last is not None and mark - last >= self.expire_ms * 1000:
+                self.run.clear()
+            return
+        flags = []
+        ready.sort(key=lambda r: (r[0], r[1]))
+        for us, _, now in ready:
+            if now is None or now != sig or us - last > self.gap:
+                start = us
+            sig, last = now, us
+            flags.append(now is not None and us - start >= self.limit)
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(min(r[0] for r in rest) // 1000 + 1)
+        else:
+            self.waiting.clear()
+        self.run.update((sig, start, last))
+        self.handle.registerTimer(last // 1000 + self.expire_ms)
+        yield self._frame(key, [r[1] for r in ready], flags, False)
+
+    def close(self) -> None:
+        pass
 
 
 def stream_flatline(stream: DataFrame, by: Sequence[str], ts: str, event: str, signature: Sequence[str], minutes: float = 60,
                     max_gap_s: float = 1800, delay: str = "1 hour", expire_s: int = 7 * 86400) -> DataFrame:
-    """Online stuck-sensor flag with per-device state: signature, start of the run, last time.
+    """Online stuck-sensor flag with per-device state, in event time: rows may come in any order within ``delay``.
 
-    Batches must arrive in time order; inside a batch the rows of a device are sorted. Only the rows of one
-    device in one micro-batch meet in a task. State of a silent device is dropped ``expire_s`` of event time later.
+    A row is judged when the watermark has passed it, after all rows before it. A row that comes after later rows of its device
+    have been judged has ``late`` set and no flag. State of a silent device is dropped ``expire_s`` of event time later.
+    A task holds the rows that one device sent within the delay and one micro-batch. Rows without a time are dropped.
     """
     known = F.lit(True)
     for c in signature:
         known = known & F.col(c).isNotNull()
     text = F.when(known, F.to_json(F.struct(*signature)))
-    rows = stream.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", delay).select(
-        *by, event, "_t", F.unix_micros("_t").alias("_us"), text.alias("_sig"))
-    keys = [f for f in rows.schema.fields if f.name in by]
-    event_field = rows.schema[event]
-    schema = StructType([*keys, StructField(event, event_field.dataType), StructField("flatline_online", BooleanType())])
-    limit, gap = int(minutes * 60_000_000), int(max_gap_s * 1_000_000)
-
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        batch = pd.concat(list(frames)).sort_values(["_us", event])
-        sig, start, last = state.get if state.exists else (None, None, None)
-        flags = []
-        for us, now in zip(batch["_us"].tolist(), batch["_sig"].tolist()):
-            now = now if isinstance(now, str) else None
-            if now is None or now != sig or us - last > gap:
-                start = us
-            sig, last = now, us
-            flags.append(now is not None and us - start >= limit)
-        state.update((sig, start, last))
-        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + expire_s * 1000)
-        out = batch[[*by, event]].copy()
-        out["flatline_online"] = flags
-        yield out
-
-    return rows.groupBy(*by).applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    marked = stream.withColumn("_t", F.col(ts).cast("timestamp")).where("_t is not null").withWatermark("_t", delay)
+    # The marked column itself is left out, or Spark would drop late rows before the operator can set them apart.
+    rows = marked.select(*by, event, F.unix_micros("_t").alias("_us"), text.alias("_sig"))
+    held = rows.schema[event]
+    schema = StructType([*[rows.schema[c] for c in by], StructField(event, held.dataType),
+                         StructField("flatline_online", BooleanType()), StructField("late", BooleanType())])
+    work = InOrder(by, held, int(minutes * 60_000_000), int(max_gap_s * 1_000_000), expire_s * 1000)
+    return rows.groupBy(*by).transformWithStateInPandas(work, schema, "append", "EventTime")
 
 
 def stream_episodes(stream: DataFrame, by: Sequence[str], ts: str, value: str, threshold: float, gap: str, delay: str) -> DataFrame:
@@ -87,19 +143,29 @@ def stream_episodes(stream: DataFrame, by: Sequence[str], ts: str, value: str, t
 
 
 def guard(df: DataFrame, ts: str, now: Column, tolerance_s: float = 300) -> tuple[DataFrame, DataFrame]:
-    """(rows not too far in the future, rejected rows). Works on batch and streaming frames."""
-    ahead = elapsed(ts, now) > tolerance_s
+    """(rows not too far in the future, rejected rows). A row without a time is rejected. Works on batch and streaming frames."""
+    ahead = F.coalesce(elapsed(ts, now) > tolerance_s, F.lit(True))
     return df.where(~ahead), df.where(ahead)
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
-               each: Callable[[DataFrame, int], None] | None = None) -> None:
-    """Process all available input in micro-batches, then stop."""
+               each: Callable[[DataFrame, int], None] | None = None, disk_state: bool = False) -> None:
+    """Process all available input in micro-batches, then stop. ``disk_state`` keeps state on the executors' disks, which lists
+    and timers (``stream_flatline``) need."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).foreachBatch(each or write).start()
+    conf = stream.sparkSession.conf
+    # A query keeps the settings it started with, so the session's own are put back.
+    before = {name: conf.get(name, None) for name in (DISK_STATE if disk_state else {})}
+    for name in before:
+        conf.set(name, DISK_STATE[name])
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(
+            availableNow=True).foreachBatch(each or write).start()
+    finally:
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
     query.awaitTermination()
 
 
@@ -112,12 +178,27 @@ def stream_upsert(stream: DataFrame, target: str, checkpoint: str, keys: Sequenc
     run_to_end(stream, target, checkpoint, each=apply)
 
 
-def stream_guard(stream: DataFrame, ts: str, now: Column, tolerance_s: float, accepted: str, rejected: str, checkpoint: str) -> None:
-    """Accepted rows to one table, future rows to a side table."""
+def stream_guard(stream: DataFrame, ts: str, now: Column, tolerance_s: float, accepted: str, rejected: str, checkpoint: str,
+                 late: str | None = None, delay_s: float = 0) -> None:
+    """Accepted rows to one table, future rows to a side table. With ``late``, rows more than ``delay_s`` behind the newest
+    row accepted in earlier batches go to a third table. The newest time is kept by batch id, so a retried batch meets the same one."""
     def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         good, bad = guard(batch, ts, now, tolerance_s)
-        good.write.mode("overwrite").parquet(f"{accepted}/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
+        if late is not None:
+            newest = good.agg(F.max(ts).alias("_newest"))
+            if batch_id > 0:
+                mark = spark.read.parquet(f"{checkpoint}-newest/batch={batch_id - 1}")
+                newest = newest.unionByName(mark).agg(F.max("_newest").alias("_newest"))
+                good = good.crossJoin(F.broadcast(mark))
+                behind = F.coalesce(elapsed("_newest", F.col(ts)) > delay_s, F.lit(False))
+                good.where(behind).drop("_newest").write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+                good = good.where(~behind).drop("_newest")
+            else:
+                good.limit(0).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+            newest.write.mode("overwrite").parquet(f"{checkpoint}-newest/batch={batch_id}")
+        good.write.mode("overwrite").parquet(f"{accepted}/batch={batch_id}")
 
     run_to_end(stream, accepted, checkpoint, each=apply)
 
@@ -136,30 +217,20 @@ def stream_enrich(stream: DataFrame, vintages: DataFrame, by: Sequence[str], ori
     run_to_end(stream, path, checkpoint, each=apply)
 
 
-def stream_status(stream: DataFrame, by: Sequence[str], ts: str, event: str, folder: str, checkpoint: str) -> str | None:
-    """Latest row per device. Every batch writes a new version of the status table from the version before, so
-    a retried batch starts from the same input. Returns the path of the newest version, of an earlier run where there is
-    nothing new to read, or null if there never was anything."""
-    versions: dict[str, str] = {}
+def stream_status(stream: DataFrame, by: Sequence[str], ts: str, event: str, folder: str, checkpoint: str) -> None:
+    """Latest row per device, kept in the state of the stream. A batch writes only the devices it has rows of; ``status_table``
+    reads the newest row of each. The stream must not hold a column named batch."""
+    rest = [c for c in stream.columns if c not in by]
+    best = stream.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(ts, event)).alias("_row"))
+    newest = best.select(*by, *[F.col("_row")[c].alias(c) for c in rest])
+    # An empty first part, so that the table can be read before there are rows.
+    stream.sparkSession.createDataFrame([], newest.schema).write.mode("ignore").parquet(f"{folder}/batch=-1")
+    run_to_end(newest, folder, checkpoint, "update")
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        newest = merge_upsert(batch.limit(0), batch, by, [ts, event])
-        before = f"{folder}/v{batch_id - 1}"
-        if batch_id > 0:
-            old = batch.sparkSession.read.parquet(before)
-            rest = [c for c in newest.columns if c not in by]
-            both = old.unionByName(newest)
-            best = both.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(ts, event)).alias("_row"))
-            newest = best.select(*by, *[F.col("_row")[c].alias(c) for c in rest])
-        newest.write.mode("overwrite").parquet(f"{folder}/v{batch_id}")
-        versions["last"] = f"{folder}/v{batch_id}"
-
-    run_to_end(stream, folder, checkpoint, each=apply)
-    if versions:
-        return versions["last"]
-    # Nothing new: the last version is that of the checkpoint's last committed batch.
-    spark = stream.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v*")
-    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
-    numbers = [int(f.getPath().getName()[1:]) for f in found]
-    return f"{folder}/v{max(numbers)}" if numbers else None
+
+def status_table(spark: SparkSession, folder: str, by: Sequence[str]) -> DataFrame:
+    """Status of every device after the last finished batch of ``stream_status``."""
+    parts = spark.read.parquet(folder)
+    rest = [c for c in parts.columns if c not in (*by, "batch")]
+    best = parts.groupBy(*by).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+    return best.select(*by, *[F.col("_row")[c].alias(c) for c in rest])

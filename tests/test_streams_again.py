@@ -11,18 +11,68 @@ from loamline.sources import sinks as K
 from loamline.streaming import ops as T
 
 
-def test_status_stream_without_new_files_keeps_its_version(spark, tmp_path):
-    rows = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, h), f"e{h}", float(h)) for h in range(5)], "d int, ts timestamp, event string, v double")
-    rows.write.parquet(str(tmp_path / "in"))
-    def run():
-        stream = T.read_files(spark, str(tmp_path / "in"), rows.schema, 10)
-        return T.stream_status(stream, ["d"], "ts", "event", str(tmp_path / "out"), str(tmp_path / "check"))
-    first = run()
-    assert run() == first and spark.read.parquet(first).first().v == 4.0
-    empty = str(tmp_path / "empty")
-    rows.where("false").write.parquet(empty)
-    stream = T.read_files(spark, empty + "/none*", rows.schema)
-    assert T.stream_status(stream, ["d"], "ts", "event", str(tmp_path / "out2"), str(tmp_path / "check2")) is None
+START = dt.datetime(2024, 1, 1)
+READINGS = "d int, ts timestamp, event string, v double"
+
+
+def readings(spark, minutes, device=1, value=5.0):
+    return spark.createDataFrame([(device, START + dt.timedelta(minutes=m), f"e{m:04d}", value) for m in minutes], READINGS)
+
+
+def test_status_is_kept_in_state_and_survives_a_start_without_new_files(spark, tmp_path):
+    def run(rows=None):
+        if rows is not None:
+            rows.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = T.read_files(spark, str(tmp_path / "in"), readings(spark, [0]).schema, 10)
+        T.stream_status(stream, ["d"], "ts", "event", str(tmp_path / "out"), str(tmp_path / "check"))
+        return {r.d: (r.event, r.v) for r in T.status_table(spark, str(tmp_path / "out"), ["d"]).collect()}
+
+    assert run(readings(spark, []).limit(0)) == {}
+    assert run(readings(spark, [10, 30, 20]).unionByName(readings(spark, [5], device=2))) == {1: ("e0030", 5.0), 2: ("e0005", 5.0)}
+    assert run() == {1: ("e0030", 5.0), 2: ("e0005", 5.0)}
+    # An older row changes nothing; a batch writes only the devices it has rows of.
+    assert run(readings(spark, [15], value=9.0)) == {1: ("e0030", 5.0), 2: ("e0005", 5.0)}
+    last = spark.read.parquet(str(tmp_path / "out")).orderBy(F.desc("batch")).first().batch
+    assert [r.d for r in spark.read.parquet(str(tmp_path / "out")).where(F.col("batch") == last).collect()] == [1]
+
+
+def test_stuck_sensor_stream_takes_rows_in_any_order_and_sets_late_ones_apart(spark, tmp_path):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+
+    def run(minutes=None, value=5.0):
+        if minutes:
+            readings(spark, minutes, value=value).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = T.read_files(spark, str(tmp_path / "in"), readings(spark, [0]).schema, 100)
+        out = T.stream_flatline(stream, ["d"], "ts", "event", ["v"], 60, 1800, "40 minutes")
+        T.run_to_end(out, str(tmp_path / "out"), str(tmp_path / "check"), disk_state=True)
+        return {(r.event, r.late): r.flatline_online for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    # The watermark stands at minute 10, so only the first row is sure to have none before it.
+    assert run([0, 20, 10, 50, 40, 30]) == {("e0000", False): False}
+    assert run() == {("e0000", False): False}
+    got = run([60, 15, 80, 70, 0, 300])
+    assert got.pop(("e0000", True)) is None
+    assert got == {(f"e{m:04d}", False): m >= 60 for m in (0, 10, 15, 20, 30, 40, 50, 60, 70, 80)}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+
+
+def test_guard_sets_future_and_late_rows_apart(spark, tmp_path):
+    names = {n: str(tmp_path / n) for n in ("in", "good", "bad", "late", "check")}
+    now = F.lit(START + dt.timedelta(minutes=100))
+    for minutes in ([0, 90, 104, 105, 106], [20, 44, 45, 95], [105]):
+        readings(spark, minutes, value=float(len(minutes))).write.mode("append").parquet(names["in"])
+        stream = T.read_files(spark, names["in"], readings(spark, [0]).schema, 10)
+        T.stream_guard(stream, "ts", now, 300, names["good"], names["bad"], names["check"], names["late"], 3600)
+
+    def events(name):
+        return sorted(r.event for r in spark.read.parquet(names[name]).collect())
+
+    # Newest accepted before the second batch is minute 105, so minute 45 is an hour behind and still accepted.
+    assert events("good") == ["e0000", "e0045", "e0090", "e0095", "e0104", "e0105", "e0105"]
+    assert events("bad") == ["e0106"] and events("late") == ["e0020", "e0044"]
+    nothing = spark.createDataFrame([(1, None)], "d int, ts timestamp")
+    good, bad = T.guard(nothing, "ts", now)
+    assert good.isEmpty() and bad.count() == 1
 
 
 def test_upsert_keeps_the_null_partition(spark, tmp_path):
