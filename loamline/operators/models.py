@@ -3,25 +3,26 @@ k-by-k systems are solved in Python, one per (fold, configuration), inside tasks
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from loamline.operators import trees
 from loamline.operators.aggregates import error_metrics, gram, metrics_by, paired_gain, class_metrics
 from loamline.operators.features import fold_list
 from loamline.operators.quality import level
 from loamline.operators.scan import Series, balanced, done, grouped_quantiles, running_count
 from loamline.operators.windows import argmin_config
-from loamline.session import cut_lineage
+from loamline.session import cut_lineage, written
 
 
 def ridge_fit(df: DataFrame, features: Sequence[str], target: str, alphas: Sequence[float], by: Sequence[str]) -> DataFrame:
@@ -226,22 +227,36 @@ def purged_split(df: DataFrame, ts: str, target_ts: str, tie: Sequence[str], fra
     return out.withColumn("split", split).drop("_rank", "_c0", "_c1")
 
 
+def fold_rows(panel: DataFrame, year: str, target: str, fold_years: Sequence[int]) -> DataFrame:
+    """Each row once per fold it serves: earlier years to learn from (``_w`` 1), the fold's own year to predict (``_w`` 0)."""
+    years = F.array(*[F.lit(y) for y in fold_years])
+    rows = panel.withColumn("fold_year", F.explode(F.filter(years, lambda y: y >= F.col(year))))
+    learn = F.col(year) < F.col("fold_year")
+    return rows.withColumns({"_w": learn.cast("double"), "_y": F.when(learn, F.col(target).cast("double"))})
+
+
 def tree_fit_predict(panel: DataFrame, kind: str, features: Sequence[str], entity: str, year: str, target: str,
                      fold_years: Sequence[int], params: Mapping | None = None, seed: int = 42) -> DataFrame:
-    """Forest or boosted trees on the same expanding folds; one distributed fit per fold year."""
-    factory = {"forest": RandomForestRegressor, "boosted": GBTRegressor}[kind]
-    # Every fit passes over the panel many times: read it from a written copy, not from its whole lineage.
-    panel = cut_lineage(panel.select(entity, year, target, *features))
-    parts = []
-    for y in fold_years:
-        train, test = panel.where(F.col(year) < y), panel.where(F.col(year) == y)
-        stages = [StringIndexer(inputCol=entity, outputCol="_e", handleInvalid="keep"),
-                  OneHotEncoder(inputCol="_e", outputCol="_o", dropLast=False),
-                  VectorAssembler(inputCols=["_o", *features], outputCol="_x", handleInvalid="error"),
-                  factory(featuresCol="_x", labelCol=target, predictionCol="_p", seed=seed, **(params or {}))]
-        out = Pipeline(stages=stages).fit(train).transform(test)
-        parts.append(out.select(entity, year, F.col(target).alias("actual"), F.greatest(F.lit(0.0), "_p").alias("predicted")))
-    return reduce(DataFrame.unionByName, parts)
+    """Single tree, forest or boosted trees on expanding folds. All folds grow together, level by level (``trees.grow``).
+
+    ``params``: maxDepth, minInstancesPerNode, maxBins, numTrees and featureSubset (forest; a third of the features by
+    default), maxIter and stepSize (boosted). A null feature counts as lowest; the entity splits as one value against the rest.
+    """
+    got = {"maxDepth": 3, "minInstancesPerNode": 1, "maxBins": 32, "numTrees": 20, "featureSubset": -(-(len(features) + 1) // 3),
+           "maxIter": 20, "stepSize": 0.1, **(params or {})}
+    rows = fold_rows(panel.select(entity, year, target, *features), year, target, fold_years)
+    rows = written(trees.binned(rows, ["fold_year"], features, got["maxBins"]).withColumn("_cat", F.col(entity).cast("string")))
+    depth, least = got["maxDepth"], got["minInstancesPerNode"]
+    if kind == "tree":
+        out = rows.join(trees.grow(rows, ["fold_year"], depth, least), "fold_year", "left").withColumn(
+            "_p", trees.value_of(F.struct("root", "splits"), depth))
+    elif kind == "forest":
+        out = trees.forest(rows, ["fold_year"], [entity, year], got["numTrees"], depth, least, got["featureSubset"], seed)
+    elif kind == "boosted":
+        out = trees.boosted(rows, ["fold_year"], got["maxIter"], depth, least, got["stepSize"], seed)
+    else:
+        raise ValueError(f"Unknown kind: {kind}")
+    return out.where(F.col("_w") == 0).select(entity, year, F.col(target).alias("actual"), F.when(F.col("_p").isNotNull(), F.greatest(F.lit(0.0), "_p")).alias("predicted"))
 
 
 def _direction_pipeline(family: str, numeric: Sequence[str], entity: str, balanced_weights: bool, seed: int) -> Pipeline:
@@ -255,9 +270,6 @@ def _direction_pipeline(family: str, numeric: Sequence[str], entity: str, balanc
     weight = {"weightCol": "_w"} if balanced_weights else {}
     if family == "logistic":
         stages.append(LogisticRegression(featuresCol="_x", labelCol="label", predictionCol="_p", regParam=0.1, **weight))
-    elif family == "forest":
-        stages.append(RandomForestClassifier(featuresCol="_x", labelCol="label", predictionCol="_p", numTrees=50, maxDepth=2,
-                                             minInstancesPerNode=3, seed=seed, **weight))
     else:
         raise ValueError(f"Unknown family: {family}")
     return Pipeline(stages=stages)
@@ -270,7 +282,9 @@ def _with_missing(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
 def direction_models(panel: DataFrame, family: str, numeric: Sequence[str], entity: str, year: str, label: str,
                      fold_years: Sequence[int], balanced_weights: bool = True, seed: int = 42) -> DataFrame:
     """Up/down classifier per fold year: median imputation with indicators learned on the training years,
-    optional balanced class weights."""
+    optional balanced class weights. The forest grows for all folds at once; the logistic model is fitted fold by fold."""
+    if family == "forest":
+        return _direction_forest(panel, numeric, entity, year, label, fold_years, balanced_weights, seed)
     rows = _with_missing(panel, numeric).withColumn("label", F.col(label).cast("double")).where("label is not null")
     rows = cut_lineage(rows.select(entity, year, "label", *numeric, *[f"_m_{c}" for c in numeric]))
     parts = []
@@ -284,6 +298,26 @@ def direction_models(panel: DataFrame, family: str, numeric: Sequence[str], enti
     return reduce(DataFrame.unionByName, parts)
 
 
+def _direction_forest(panel: DataFrame, numeric: Sequence[str], entity: str, year: str, label: str, fold_years: Sequence[int],
+                      balanced_weights: bool, seed: int, count: int = 50, depth: int = 2, least: int = 3) -> DataFrame:
+    known = _with_missing(panel, numeric).withColumn("label", F.col(label).cast("double")).where("label is not null")
+    rows = written(fold_rows(known.select(entity, year, "label", *numeric, *[f"_m_{c}" for c in numeric]), year, "label", fold_years))
+    learn = rows.where("_w > 0")
+    for c in numeric:
+        medians = grouped_quantiles(learn, ["fold_year"], c, {"_med": 0.5}).drop("n")
+        rows = rows.join(medians, "fold_year", "left").withColumn(c, F.coalesce(F.col(c), "_med")).drop("_med")
+    if balanced_weights:
+        sizes = learn.groupBy("fold_year").agg(*[F.count_if(F.col("label") == v).alias(f"_c{v}") for v in (0, 1)])
+        own = F.when(F.col("label") == 1, F.col("_c1")).otherwise(F.col("_c0"))
+        rows = rows.join(sizes, "fold_year", "left").withColumn(
+            "_w", F.when(F.col("_w") > 0, (F.col("_c0") + F.col("_c1")) / (2 * own)).otherwise(0.0)).drop("_c0", "_c1")
+    names = [*numeric, *[f"_m_{c}" for c in numeric]]
+    rows = written(trees.binned(rows, ["fold_year"], names).withColumn("_cat", F.col(entity).cast("string")))
+    subset = math.isqrt(len(names)) + 1
+    out = trees.forest(rows, ["fold_year"], [entity, year], count, depth, least, subset, seed)
+    return out.where(F.col("_w") == 0).select(entity, year, F.col("label").cast("int").alias("actual"), (F.col("_p") > 0.5).cast("int").alias("predicted"))
+
+
 def permutation_importance(train: DataFrame, test: DataFrame, family: str, numeric: Sequence[str], groups: Mapping[str, Sequence[str]],
                            entity: str, label: str, key: Sequence[str], repeats: int = 5, seed: int = 42) -> DataFrame:
     """Drop of macro F1 when the columns of a group are permuted together, mean over repeats.

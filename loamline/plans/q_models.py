@@ -175,6 +175,32 @@ def _(t):
     return A.error_metrics(out, ["model", "year_ce"]).select("model", *ints("year_ce"), "n", *m4("mae", "rmse", "bias"))
 
 
+def level(number: int) -> str:
+    """Exhaustive search of the best split of each node: every threshold and every single province against the rest."""
+    a, b = f"n{number}", f"n{number + 1}"
+    return f""",
+    k{number} as (select r.fold_year, r.node, c.f, c.bin, c.cat, count(*) as n, sum(target) as s,
+            count(*) filter (case when c.f < 0 then r.province = c.cat when c.f = 0 then r.b0 <= c.bin else r.b1 <= c.bin end) as nl,
+            sum(target) filter (case when c.f < 0 then r.province = c.cat when c.f = 0 then r.b0 <= c.bin else r.b1 <= c.bin end) as sl
+        from {a} r join c on c.fold_year = r.fold_year where r.learn and r.node >= {2**number - 1} group by all),
+    s{number} as (select * from k{number} where nl > 0 and nl < n qualify row_number() over (partition by fold_year, node order by sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n desc, f, bin) = 1),
+    {b} as (select r.* replace (case when s.f is null then r.node else 2 * r.node + 1 + (case when s.f < 0 then r.province = s.cat when s.f = 0 then r.b0 > s.bin else r.b1 > s.bin end)::int end as node)
+        from {a} r left join s{number} s on s.fold_year = r.fold_year and s.node = r.node)"""
+
+
+@query("m08_depth_two_tree", "year", "with " + PANEL + """
+    , fo as (select f as fold_year, p.*, year_ce < f as learn from pn p join (values (1999), (2000)) v(f) on year_ce <= f),
+    eg as (select fold_year, quantile_cont(lag, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) as q0, quantile_cont(area, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) as q1 from fo where learn group by fold_year),
+    n0 as (select fo.*, 0 as node, len(list_filter(q0, lambda e: e < lag)) as b0, len(list_filter(q1, lambda e: e < area)) as b1 from fo join eg using (fold_year)),
+    c as (select fold_year, f, bin, null as cat from (select distinct fold_year from fo), (values (0), (1)) a(f), generate_series(0, 6) g(bin)
+        union all select distinct fold_year, -1, 0, province from fo where learn)""" + level(0) + level(1) + """
+    select cast(x.province as bigint) as province, cast(x.year_ce as bigint) as year_ce, round(greatest(0, v.p), 4) as predicted
+    from n2 x join (select fold_year, node, avg(target) as p from n2 where learn group by all) v on v.fold_year = x.fold_year and v.node = x.node where not x.learn""")
+def _(t):
+    out = M.tree_fit_predict(panel(t), "tree", ["lag", "area"], "province", "year_ce", "target", [1999, 2000], {"maxDepth": 2, "maxBins": 8})
+    return out.select(*ints("province", "year_ce"), F.round("predicted", 4).alias("predicted"))
+
+
 def direction_panel(t):
     rows = panel(t).withColumn("label", F.when(F.col("target") > F.col("lag"), 1).when(F.col("target") < F.col("lag"), 0))
     return rows.withColumn("lag_production", F.when(F.col("province") % 6 != 0, F.col("lag_production")))
