@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loamline.llm import classlm, langid, minhash, mixing, packing, quality, ranking, sharding, suffixes, tokens, urls, variants, vectors
 
 RULES = [urls.Rule.parse(v, t) for v, t in (
-    ("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))]
+    ("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
