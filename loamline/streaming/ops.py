@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, StringType, StructField, StructType
 
 from loamline.operators.joins import elapsed, vintage_asof
 from loamline.sources.sinks import upsert_table
@@ -41,84 +43,125 @@ def stream_hourly(stream: DataFrame, by: Sequence[str], ts: str, values: Sequenc
     return out.select(*by, F.col("window.end").alias("hour"), *values, *[f"{c}_n" for c in values])
 
 
+def _pack(frame: pd.DataFrame) -> bytes:
+    table, sink = pa.Table.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_pandas()
+
+
 class InOrder(StatefulProcessor):
-    """Holds the rows of a device until the watermark has passed them, then judges them in order of (time, event).
+    """Holds the rows of a bucket of devices until the watermark has passed them, then judges those of each device in order of
+    (time, event), all devices of the bucket at once.
 
-    State: waiting rows, one per list entry; signature and start of the run, time of the last judged row. A row at or before
-    that time comes too late to be judged in order and leaves at once with no flag. Where the state of a silent device was
-    dropped, its last row was ``expire_ms`` behind the watermark, so that is the limit then.
+    State: waiting rows, as one Arrow table per arrival; signature and start of the run and time of the last judged row per
+    device, as one Arrow table. A row at or before that time comes too late to be judged in order and leaves at once with no
+    flag. Where the state of a silent device was dropped, its last row was ``expire_ms`` behind the watermark, so that is
+    the limit then.
     """
 
-    def __init__(self, keys: Sequence[str], event: StructField, limit: int, gap: int, expire_ms: int):
-        self.keys, self.event, self.limit, self.gap, self.expire_ms = list(keys), event, limit, gap, expire_ms
+    def __init__(self, event: str, limit: int, gap: int, expire_ms: int):
+        self.event, self.limit, self.gap, self.expire_ms = event, limit, gap, expire_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", StructType([
-            StructField("us", LongType()), StructField("event", self.event.dataType), StructField("signature", StringType())]))
-        self.run = handle.getValueState("run", StructType([
-            StructField("signature", StringType()), StructField("start", LongType()), StructField("last", LongType())]))
+        self.waiting = handle.getListState("waiting", StructType([StructField("rows", BinaryType())]))
+        self.runs = handle.getValueState("runs", StructType([StructField("rows", BinaryType())]))
+
+    def _runs(self) -> pd.DataFrame:
+        if self.runs.exists():
+            return _unpack(self.runs.get()[0])
+        return pd.DataFrame({"device": pd.Series(dtype=object), "sig": pd.Series(dtype=object),
+                             "start": pd.Series(dtype="int64"), "last": pd.Series(dtype="int64")})
 
-    def _frame(self, key, events: list, flags: list, late: bool) -> pd.DataFrame:
-        columns = {name: [value] * len(events) for name, value in zip(self.keys, key)}
-        return pd.DataFrame({**columns, self.event.name: events, "flatline_online": pd.Series(flags, dtype=object), "late": late})
+    def _frame(self, rows: pd.DataFrame, flags: list, late: bool) -> pd.DataFrame:
+        return pd.DataFrame({"_device": rows["device"].to_numpy(object), self.event: rows["event"].tolist(),
+                             "flatline_online": pd.Series(flags, dtype=object), "late": late})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        judged = self.run.get()[2] if self.run.exists() else (timerValues.getCurrentWatermarkInMs() - self.expire_ms) * 1000
-        first = None
+        runs = self._runs()
+        # The last place stands for devices without state.
+        judged = np.append(runs["last"].to_numpy("int64"), (timerValues.getCurrentWatermarkInMs() - self.expire_ms) * 1000)
+        known, first = pd.Index(runs["device"]), None
         for batch in rows:
             # Spark renames columns that are no Python names, so they are taken by their place.
-            events, at, sign = (batch[c] for c in batch.columns[len(self.keys):])
-            passed = at <= judged
+            batch = batch.iloc[:, 1:].set_axis(["device", "event", "us", "sig"], axis=1)
+            passed = batch["us"].to_numpy("int64") <= judged[known.get_indexer(batch["device"])]
             if passed.any():
-                yield self._frame(key, events[passed].tolist(), [None] * int(passed.sum()), True)
-            keep = ~passed
-            if keep.any():
-                first = min(int(at[keep].min()), first if first is not None else 2**62)
-                self.waiting.appendList([(int(u), e, g if isinstance(g, str) else None)
-                                         for u, e, g in zip(at[keep], events[keep], sign[keep])])
+                yield self._frame(batch[passed], [None] * int(passed.sum()), True)
+            if not passed.all():
+                keep = batch[~passed]
+                first = min(int(keep["us"].min()), first if first is not None else 2**62)
+                self.waiting.appendList([(_pack(keep),)])
         if first is not None:
             # The next full millisecond, so that the watermark has passed the row when the timer fires.
             self.handle.registerTimer(first // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        sig, start, last = self.run.get() if self.run.exists() else (None, None, None)
-        ready, rest = [], []
-        for row in self.waiting.get():
-            (ready if row[0] < mark else rest).append(tuple(row))
-        if not ready:
-            # A timer of rows that left with others. The state goes once the device has been silent long enough.
-            if not rest and last is not None and mark - last >= self.expire_ms * 1000:
-                self.run.clear()
-            return
-        flags = []
-        ready.sort(key=lambda r: (r[0], r[1]))
-        for us, _, now in ready:
-            if now is None or now != sig or us - last > self.gap:
-                start = us
-            sig, last = now, us
-            flags.append(now is not None and us - start >= self.limit)
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(min(r[0] for r in rest) // 1000 + 1)
-        else:
-            self.waiting.clear()
-        self.run.update((sig, start, last))
-        self.handle.registerTimer(last // 1000 + self.expire_ms)
-        yield self._frame(key, [r[1] for r in ready], flags, False)
+        mark, runs = timerValues.getCurrentWatermarkInMs() * 1000, self._runs()
+        parts = [_unpack(row[0]) for row in self.waiting.get()]
+        held = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"device": [], "us": []})
+        passed = held["us"] < mark
+        ready, rest = held[passed], held[~passed]
+        # The state of a device goes once it has been silent long enough; one that is judged now begins its silence now.
+        waits, judged = runs["device"].isin(rest["device"]), runs["device"].isin(ready["device"])
+        fresh = runs[judged | waits | (mark - runs["last"] < self.expire_ms * 1000)]
+        if len(ready):
+            ready = ready.sort_values(["device", "us", "event"])
+            flags, ends = self._judge(ready, runs)
+            fresh = pd.concat([fresh[~fresh["device"].isin(ends["device"])], ends], ignore_index=True) if len(fresh) else ends
+            if len(rest):
+                self.waiting.put([(_pack(rest),)])
+            else:
+                self.waiting.clear()
+            yield self._frame(ready, flags.tolist(), False)
+        if len(rest):
+            self.handle.registerTimer(int(rest["us"].min()) // 1000 + 1)
+        if len(fresh):
+            if len(ready) or len(fresh) < len(runs):
+                self.runs.update((_pack(fresh),))
+            silent = fresh["last"][~fresh["device"].isin(rest["device"])]
+            if len(silent):
+                self.handle.registerTimer(int(silent.min()) // 1000 + 1 + self.expire_ms)
+        elif len(runs):
+            self.runs.clear()
+
+    def _judge(self, ready: pd.DataFrame, runs: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+        """Flags of ``ready``, sorted by device, time and event, and the state of its devices after it."""
+        device, us, sig = ready["device"].to_numpy(object), ready["us"].to_numpy("int64"), ready["sig"].to_numpy(object)
+        none = ready["sig"].isna().to_numpy()
+        opens = np.append(True, device[1:] != device[:-1])
+        at = pd.Index(runs["device"]).get_indexer(device)
+        before = {c: np.append(runs[c].to_numpy(kind), empty)[at] for c, kind, empty in (("sig", object, None), ("start", "int64", 0), ("last", "int64", 0))}
+        was = np.where(opens, before["sig"], np.append(None, sig[:-1]))
+        last = np.where(opens, before["last"], np.append(0, us[:-1]))
+        breaks = none | (sig != was) | (us - last > self.gap) | (opens & (at < 0))
+        row = np.arange(len(us))
+        start = np.where(breaks, us, before["start"])[np.maximum.accumulate(np.where(breaks | opens, row, 0))]
+        ends = np.append(opens[1:], True)
+        state = pd.DataFrame({"device": device[ends], "sig": np.where(none, None, sig)[ends], "start": start[ends], "last": us[ends]})
+        return ~none & (us - start >= self.limit), state
 
     def close(self) -> None:
         pass
 
 
+# Keys as text and back, with every digit of a time.
+KEY_TEXT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def stream_flatline(stream: DataFrame, by: Sequence[str], ts: str, event: str, signature: Sequence[str], minutes: float = 60,
-                    max_gap_s: float = 1800, delay: str = "1 hour", expire_s: int = 7 * 86400) -> DataFrame:
-    """Online stuck-sensor flag with per-device state, in event time: rows may come in any order within ``delay``.
+                    max_gap_s: float = 1800, delay: str = "1 hour", expire_s: int = 7 * 86400, buckets: int = 1024) -> DataFrame:
+    """Online stuck-sensor flag with state per device, in event time: rows may come in any order within ``delay``.
 
     A row is judged when the watermark has passed it, after all rows before it. A row that comes after later rows of its device
     have been judged has ``late`` set and no flag. State of a silent device is dropped ``expire_s`` of event time later.
-    A task holds the rows that one device sent within the delay and one micro-batch. Rows without a time are dropped.
+    Devices are dealt to ``buckets``, each with one state and one Python call a micro-batch. A task holds the rows that the devices
+    of one bucket sent within the delay and one micro-batch. Rows without a time are dropped.
     """
     known = F.lit(True)
     for c in signature:
@@ -126,12 +169,16 @@ def stream_flatline(stream: DataFrame, by: Sequence[str], ts: str, event: str, s
     text = F.when(known, F.to_json(F.struct(*signature)))
     marked = stream.withColumn("_t", F.col(ts).cast("timestamp")).where("_t is not null").withWatermark("_t", delay)
     # The marked column itself is left out, or Spark would drop late rows before the operator can set them apart.
-    rows = marked.select(*by, event, F.unix_micros("_t").alias("_us"), text.alias("_sig"))
-    held = rows.schema[event]
-    schema = StructType([*[rows.schema[c] for c in by], StructField(event, held.dataType),
+    device = F.struct(*by)
+    rows = marked.select(
+        F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int").alias("_bucket"), F.to_json(device, KEY_TEXT).alias("_device"), event,
+        F.unix_micros("_t").alias("_us"), text.alias("_sig"))
+    schema = StructType([StructField("_device", StringType()), StructField(event, rows.schema[event].dataType),
                          StructField("flatline_online", BooleanType()), StructField("late", BooleanType())])
-    work = InOrder(by, held, int(minutes * 60_000_000), int(max_gap_s * 1_000_000), expire_s * 1000)
-    return rows.groupBy(*by).transformWithStateInPandas(work, schema, "append", "EventTime")
+    work = InOrder(event, int(minutes * 60_000_000), int(max_gap_s * 1_000_000), expire_s * 1000)
+    judged = rows.groupBy("_bucket").transformWithStateInPandas(work, schema, "append", "EventTime")
+    key = F.from_json("_device", marked.select(device.alias("_d")).schema["_d"].dataType, KEY_TEXT)
+    return judged.select(*[key.getField(c).alias(c) for c in by], event, "flatline_online", "late")
 
 
 def stream_episodes(stream: DataFrame, by: Sequence[str], ts: str, value: str, threshold: float, gap: str, delay: str) -> DataFrame:

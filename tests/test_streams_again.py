@@ -1,7 +1,9 @@
 """A status stream that is started again with nothing new, an upsert into the null partition, bulletins as rows."""
 
 import datetime as dt
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +58,102 @@ def test_stuck_sensor_stream_takes_rows_in_any_order_and_sets_late_ones_apart(sp
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
 
 
+def test_stuck_sensors_of_one_bucket_are_judged_as_one_by_one():
+    class Cell:
+        def __init__(self):
+            self.value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Rows(Cell):
+        def get(self):
+            return iter(self.value or [])
+
+        def appendList(self, rows):
+            self.value = (self.value or []) + rows
+
+        def put(self, rows):
+            self.value = list(rows)
+
+    class Handle:
+        timers = set()
+
+        def getListState(self, name, schema):
+            return Rows()
+
+        def getValueState(self, name, schema):
+            return Cell()
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+    class Mark:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    rng, handle, expire = random.Random(7), Handle(), 400
+    work = T.InOrder("event", 60_000, 50_000, expire)
+    work.init(handle)
+    got, want, number, mark = [], [], 0, 0
+    waiting, runs = {}, {}
+    for step in range(60):
+        # One call for all devices of the bucket: a row of each of them may come at any time.
+        rows = [(1, f"d{rng.randrange(6)}", number + i, 1000 * (step * 60 + rng.randrange(-200, 200)), rng.choice(["a", "a", "a", "a", "b", None]))
+                for i in range(0 if step in (30, 31, 32, 33, 34, 35, 36, 37, 38, 39) else 8)]
+        number += len(rows)
+        if rows:
+            frame = pd.DataFrame(rows, columns=["_bucket", "k", "event", "t", "s"])
+            for out in work.handleInputRows((1,), iter([frame[:5], frame[5:]]), Mark(mark)):
+                got += list(out.itertuples(index=False, name=None))
+        for _, device, event, us, sig in rows:
+            if us <= (runs[device][2] if device in runs else (mark - expire) * 1000):
+                want.append((device, event, None, True))
+            else:
+                waiting.setdefault(device, []).append((us, event, sig))
+        mark = step * 60 - 100
+        while handle.timers and min(handle.timers) < mark:
+            handle.timers.remove(min(handle.timers))
+            for out in work.handleExpiredTimer((1,), Mark(mark), None):
+                got += list(out.itertuples(index=False, name=None))
+        for device in {*waiting, *runs}:
+            ready = sorted(r for r in waiting.get(device, []) if r[0] < mark * 1000)
+            waiting[device] = [r for r in waiting.get(device, []) if r[0] >= mark * 1000]
+            if not ready and not waiting[device] and device in runs and mark * 1000 - runs[device][2] >= expire * 1000:
+                del runs[device]
+            for us, event, sig in ready:
+                was, start, last = runs.get(device, (None, None, None))
+                start = us if sig is None or sig != was or us - last > 50_000 else start
+                runs[device] = (sig, start, us)
+                want.append((device, event, sig is not None and us - start >= 60_000, False))
+    assert not set(got) ^ set(want) and len(got) == len(want) > 300
+    assert any(flag for *_, flag, late in got if not late) and any(late for *_, late in got)
+
+
+def test_stuck_sensor_stream_keeps_keys_of_any_type(spark, tmp_path):
+    rows = spark.createDataFrame([(None, START, 1, "x"), (2**60 + 1, START, 2, "x"), (2**60, START + dt.timedelta(microseconds=1), 3, None)],
+                                 "d long, ts timestamp, event long, v string").withColumn("at", F.col("ts"))
+    closing = rows.limit(1).withColumn("ts", F.col("ts") + F.expr("interval 1 day"))
+    for part in (rows, closing):
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = T.read_files(spark, str(tmp_path / "in"), rows.schema, 100)
+        out = T.stream_flatline(stream, ["d", "at"], "ts", "event", ["v"], 60, 1800, "40 minutes", buckets=1)
+        T.run_to_end(out, str(tmp_path / "out"), str(tmp_path / "check"), disk_state=True)
+    got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
+    assert [f.dataType.simpleString() for f in got.schema] == ["bigint", "timestamp", "bigint", "boolean", "boolean"]
+    assert sorted((r.event, r.d, r["at"], r.flatline_online, r.late) for r in got.collect()) == [
+        (r.event, r.d, r["at"], False, False) for r in rows.orderBy("event").collect()]
+
+
 def test_guard_sets_future_and_late_rows_apart(spark, tmp_path):
     names = {n: str(tmp_path / n) for n in ("in", "good", "bad", "late", "check")}
     now = F.lit(START + dt.timedelta(minutes=100))
