@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from loamline.session import shared_folder
 
 
-def stored(df: DataFrame) -> DataFrame:
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts the lineage and outlives any executor.
 
-    Each call takes a folder of its own under the application's id; remove that folder when the application is over.
+    Each call takes a folder of its own under the application's id, or replaces the table at ``path``, which ``df`` must not
+    read; remove the application's folder when it is over.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or new_folder(spark)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

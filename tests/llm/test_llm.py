@@ -1,6 +1,7 @@
 """Small cases with brute force beside the training-data operators."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -244,6 +245,40 @@ def test_words_beyond_the_first_clustered_get_classes(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) and all(r["n_tokens"] == 81 for r in scored)
 
 
+def test_class_model_counts_all_bigrams_in_little_space(spark):
+    # 400 words, of which tasks hold 100; texts with ends, repeats, an empty one, and rarer words next to each other.
+    vocabulary = list(dict.fromkeys(f"{w}{i % 7}" for i, w in enumerate(prose(31, 900).split())))[:400]
+    texts = [" ".join(random.Random(i).choices(vocabulary, [1 / (k + 1) for k in range(400)], k=400)) for i in range(300)] + ["", vocabulary[0] * 3]
+    table = docs(spark, [(i, x, "a", "en") for i, x in enumerate(texts)])
+    often = Counter(w for x in texts for w in x.split())
+    hash_of = {w: int(classlm.Words([w.encode()], lower=True).hashes.view("int64")[0]) for w in often}
+    counts, total = classlm.word_counts(table), 4 + classlm.SHAPES + 1
+    top = sorted(((hash_of[w] % 2**64, n) for w, n in often.most_common(100)))
+    known, near_n = np.array([h for h, _ in top], dtype=np.uint64), np.array([n for _, n in top])
+    inside = set(known.view(np.int64).tolist())
+    near_class = (known % np.uint64(4)).astype(np.int64)
+    rare = counts.where(~F.col("word").isin(sorted(inside))).select("word", F.pmod("word", F.lit(4)).cast("int").alias("class"), "n")
+    rows = classlm.neighbours(table, known, near_n, 3).union(classlm._rare_rows(rare, 3))
+    pairs = classlm._pairs(rows, len(known)).cache()
+    got = Counter()
+    for r in classlm._counted(classlm._cell_rows(pairs, known, near_class, total, 3), near_class, total).collect():
+        names = [known.view(np.int64), classlm.unpack(r["state"])[0]]
+        for name, (of, kind, owner, cell, n) in zip(names, classlm._entries(r["cells"], r["state"], near_class, total)):
+            assert (kind == name[of] % 4).all()
+            for w, c, k in zip(name[of][owner].tolist(), cell.tolist(), n.tolist()):
+                got[w, c] += k
+    want = Counter()
+    for x in texts:
+        row = [total - 1, *[hash_of[w] % 4 for w in x.split()], total - 1]
+        for i, w in enumerate(x.split()):
+            want[hash_of[w], row[i + 2]] += 1
+            want[hash_of[w], total + row[i]] += 1
+    assert got == want
+    # Rows of five columns took 16 bytes for each side of a bigram.
+    bigrams = len({p for x in texts for p in zip(["", *x.split()], [*x.split(), ""])})
+    assert sum(len(r["data"]) for r in pairs.collect()) < 8 * bigrams
+
+
 def test_urls_tell_apart_branches_below_the_sixth_segment(spark):
     rules = [urls.Rule.parse("block", "net/a/b/c/d/e/f/bad/")]
     pages = [(i, f"http://a.net/a/b/c/d/e/f/{'bad' if i % 2 else 'good'}/{i}") for i in range(60)]
