@@ -192,6 +192,31 @@ def test_manifest_lists_missing_and_changed(spark, tmp_path):
     assert got == {"a.txt": "ok", "b.txt": "changed", "c.txt": "unlisted", "d.txt": "missing"}
 
 
+def test_digests_of_long_files_are_handed_on_by_block(spark, tmp_path):
+    import hashlib
+    import random
+
+    noise = random.Random(3).randbytes(3_000_000)
+    cases = {"a b+%20.bin": noise, "newline.bin": noise + b"\n", "mark.bin": b"\xef\xbb\xbf" + noise, "both.bin": b"\xef\xbb\xbf\n\r\n" + noise + b"\n\n",
+             "crlf.txt": b"one\r\ntwo\rthree\n" * 50000, "one line": b"x" * 700000, "data.gz": noise[:1000000], "short.bin": b"s"}
+    for name, data in cases.items():
+        (tmp_path / name).write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        got = sorted(map(tuple, K.file_digests(spark, str(tmp_path), whole=1000, step=400000).collect()))
+        lines = spark.read.option("lineSep", "\n").text(str(tmp_path / "newline.bin")).select(
+            F.lit("p").alias("path"), F.lit("p").alias("name"), F.lit(1).cast("long").alias("size"), F.col("_metadata.file_block_start").alias("start"),
+            F.col("value").cast("binary").alias("line"))
+        longest = K._pieces(lines, 400000).groupBy("round").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(name, hashlib.sha256(data).hexdigest()) for name, data in cases.items()]
+    assert {x for x, _ in got} == set(cases)
+    assert got == sorted(want) and longest < 420000
+    assert got == sorted(map(tuple, K.file_digests(spark, str(tmp_path)).collect()))
+
+
 def test_grid_rows_and_registry_have_unique_names():
     from __spark_entry__ import oracle_sql, queries
 
