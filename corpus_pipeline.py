@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words: whole times, and once more with the chance that is left,
     by a seeded hash, so that each source comes near its target."""
     key = docs.select("*", F.xxhash64(*docs.columns).alias("_hash"))
-    sized = key.select("source", "doc_id", "_hash", F.coalesce(F.regexp_count("text", F.lit(packing.WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = key.select("source", "doc_id", "_hash", packing.word_count(F.col("text")).alias("size"))
     mixed = mixing.mix(sized, mixing.cycle_weights)
     chance = F.pmod(F.xxhash64("_hash", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + chance)).otherwise(0)

@@ -13,8 +13,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loamline.llm.numbering import number_rows
 from loamline.llm.sharding import Feistel
+from loamline.llm.shared import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
+BLANK = "\x20\x09\x0A\x0B\x0C\x0D"
+
+
+def word_count(text: Column) -> Column:
+    """Number of words of a text, 0 without one. Each word and the blanks behind it become one character of a new text:
+    ``regexp_count`` would hold every word of a text as an object of its own until the last is found."""
+    marks = F.regexp_replace(F.ltrim(text, F.lit(BLANK)), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit("x"))
+    return F.coalesce(F.char_length(marks), F.lit(0)).cast("long")
 
 
 @dataclass(frozen=True)
@@ -88,8 +97,8 @@ def pack(docs: DataFrame, plan: Packing = Packing()) -> DataFrame:
     source, or copies of one text, spread over all groups evenly; each group is packed on its own, largest piece first. Null
     and empty texts are one piece of length 0 with null bin and place. A null source conflicts with nothing.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    cut = pieces(docs, size, plan)
+    # Stored, so that the texts are read and their words counted once.
+    cut = stored(pieces(docs, word_count(F.col("text")), plan))
     rows = cut.where("length > 0").count()
     groups = max(1, -(-rows // plan.group))
     numbered = number_rows(cut.where("length > 0"), rows, "_row")

@@ -63,8 +63,8 @@ def op9_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_sainte_lague_mix(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _table(spark, folder, "documents").select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.coalesce(
-        F.regexp_count("text", F.lit(packing.WORD)), F.lit(0)).cast("long").alias("size"))
+    docs = _table(spark, folder, "documents").select("doc_id", "source", F.xxhash64("text").alias("text_hash"), packing.word_count(
+        F.col("text")).alias("size"))
     return mixing.mix(docs, mixing.cycle_weights).select("doc_id", "size", "source_size", "target", "taken", "shard_words")
 
 

@@ -293,3 +293,15 @@ def test_language_id_keeps_texts_that_two_languages_share(spark):
     rows = [(i, "shared words only", "a", "en" if i % 2 else "de") for i in range(20)] + [(20, "12 34", "a", "en"), (21, "qqqqqq", "a", None)]
     kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs(spark, rows), "").collect()}
     assert kept == set(range(20))
+
+
+def test_words_are_counted_as_the_pattern_finds_them_and_texts_read_once(spark, tmp_path):
+    texts = [None, "", " ", "\t\n\x0b\x0c\r ", "a", " a", "a ", "\n a\x0bb  c\r\n", "\x00 \x1f\x85 \u00a0\u3000 $1 \\", "\U0001f600 é\u0301 x" * 50]
+    table = docs(spark, [(i, t, "s", "en") for i, t in enumerate(texts)])
+    rows = table.select("doc_id", packing.word_count(F.col("text")).alias("n"), F.coalesce(
+        F.regexp_count("text", F.lit(packing.WORD)), F.lit(0)).alias("old")).collect()
+    assert [r["n"] for r in rows] == [r["old"] for r in rows] and max(r["n"] for r in rows) == 101
+    table.write.parquet(str(tmp_path / "docs"))
+    packed = packing.pack(spark.read.parquet(str(tmp_path / "docs")))
+    assert not [f for f in packed.inputFiles() if str(tmp_path) in f]
+    assert {r["doc_id"]: r["length"] for r in packed.collect()} == {r["doc_id"]: r["n"] for r in rows}
