@@ -35,3 +35,16 @@ def components(links: DataFrame) -> DataFrame:
             break
     low = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     return low.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def joined(reach: DataFrame, links: DataFrame) -> DataFrame:
+    """``reach``, the components (node, component) of earlier links, after more ``links`` (a, b). Only links between two of
+    its components are contracted, with these as nodes, so neither work nor plans grow with the earlier links."""
+    of = lambda end: F.coalesce(f"_{end}", end).alias(end)
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(reach.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left")
+    up = stored(components(ends.select(of("a"), of("b"))))
+    moved = reach.join(up.select(F.col("node").alias("component"), F.col("component").alias("_up")), "component", "left")
+    return moved.select("node", F.coalesce("_up", "component").alias("component")).union(up).groupBy("node").agg(
+        F.min("component").alias("component"))

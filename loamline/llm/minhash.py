@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loamline.llm.components import components
+from loamline.llm.components import components, joined
 from loamline.llm.shared import small_batches, stored
 from loamline.llm.words import Words, chunks, mix, signed, to_bytes
 
@@ -290,22 +290,28 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
     tried = stored(_pruned(pairs, signatures, plan))
     links = stored(_verified(tried, texts, plan))
     same = keyed.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    reach = stored(components(links.union(same)))
+    reach, done = stored(components(links.union(same))), 0  # done: partners of a member tried between these components
     for best in (*plan.best, None):
-        inside = shared.join(reach.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "band", "key", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        members = stored(inside.join(mixed, "key").join(signatures, "rep"))
-        if members.isEmpty():
-            break
+        if best is not None and best <= done:
+            continue
+        if not done:
+            inside = shared.join(reach.withColumnRenamed("node", "rep"), "rep", "left").select(
+                "band", "key", "rep", F.coalesce("component", "rep").alias("component"))
+            mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+            members = stored(inside.join(mixed, "key").join(signatures, "rep"))
+            if members.isEmpty():
+                break
         if best is None:
             close = members.join(_across(members, plan, None, sift=True).distinct(), ["key", "rep"], "left_semi")
-            links = links.union(stored(_across(stored(close).join(texts, "rep"), plan, None).distinct()))
-            reach = stored(components(links.union(same)))
+            links = stored(_across(stored(close).join(texts, "rep"), plan, None).distinct())
+            reach = stored(joined(reach, links))
             break
         more = stored(_across(members, plan, best).distinct().join(tried, ["a", "b"], "left_anti"))
-        links, tried = links.union(stored(_verified(more, texts, plan))), tried.union(more)
-        reach = stored(components(links.union(same)))
+        links, tried = stored(_verified(more, texts, plan)), tried.union(more)
+        if links.isEmpty():
+            done = best
+        else:
+            reach, done = stored(joined(reach, links)), 0
     return keyed.select("doc_id", "n_shingles").join(reach.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

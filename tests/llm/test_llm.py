@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamline.llm import classlm, langid, minhash, mixing, packing, quality, sharding, suffixes, urls, vectors
+from loamline.llm import classlm, components, langid, minhash, mixing, packing, quality, sharding, suffixes, urls, vectors
 
 DOCS = "doc_id long, text string, source string, lang string, k1 string, band string"
 
@@ -305,3 +305,25 @@ def test_words_are_counted_as_the_pattern_finds_them_and_texts_read_once(spark,
     packed = packing.pack(spark.read.parquet(str(tmp_path / "docs")))
     assert not [f for f in packed.inputFiles() if str(tmp_path) in f]
     assert {r["doc_id"]: r["length"] for r in packed.collect()} == {r["doc_id"]: r["n"] for r in rows}
+
+
+def test_later_links_contract_only_components(spark, monkeypatch):
+    seen, plain = [], components.components
+    chain = spark.createDataFrame([(i, i + 1) for i in [*range(5, 40), *range(50, 80)]], "a long, b long")
+    more = spark.createDataFrame([(12, 60), (13, 61), (7, 8), (60, 3), (90, 91), (None, 4)], "a long, b long")
+    reach = plain(chain)
+    monkeypatch.setattr(components, "components", lambda links: seen.append(links.where("a <> b").distinct().count()) or plain(links))
+    got = {r["node"]: r["component"] for r in components.joined(reach, more).collect()}
+    assert got == {r["node"]: r["component"] for r in plain(chain.union(more)).collect()}
+    assert seen == [3]
+    same = {r["node"]: r["component"] for r in components.joined(reach, more.where("false")).collect()}
+    assert same == {r["node"]: r["component"] for r in reach.collect()}
+
+
+def test_a_round_without_links_is_not_repeated(spark, monkeypatch):
+    rng, base, seen, across = random.Random(9), prose(3, 80).split(), [], minhash._across
+    texts = [" ".join(w if rng.random() > 0.2 else "x" + str(rng.randrange(999)) for w in base) for _ in range(12)]
+    monkeypatch.setattr(minhash, "_across", lambda members, plan, best, sift=False: seen.append(best) or across(members, plan, best, sift))
+    got = minhash.near_duplicates(docs(spark, [(i, t, "s", "en") for i, t in enumerate(texts)]), minhash.NearDup(shingle=1)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i for i in range(12)}
+    assert seen == [2, None, None]
