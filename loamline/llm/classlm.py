@@ -636,7 +636,7 @@ def _near_scores(rows: DataFrame, model: Fitted, plan: ClassModel) -> DataFrame:
         between, runs, held = [], [], 0
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), to_bytes(batch.column(1))
-            for begin, end in chunks(texts):
+            for begin, end in chunks(texts, 1 << 20):
                 words = Words(texts[begin:end], lower=True)
                 doc, out = (batch.column(i).slice(begin, end - begin) for i in (2, 3))
                 count, owner, n, own_ids = end - begin, words.owners(), words.counts, ids[begin:end]

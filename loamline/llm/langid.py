@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from loamline.llm.shared import small_batches, stored
+from loamline.llm.shared import listed, small_batches, stored
 from loamline.llm.words import chunks, mix, to_bytes
 
 
@@ -87,8 +87,8 @@ def learn(docs: DataFrame, plan: Filters = Filters()) -> Model:
     if not languages:
         return Model((), np.zeros((1, 1), dtype=np.uint64), np.zeros(0), "und")
     words = -(-len(languages) // 64)
-    number = spark.createDataFrame([(lang, i // 64, 1 << (i % 64) if i % 64 < 63 else -(1 << 63)) for i, lang in enumerate(languages)],
-                                   "lang string, word int, bit long")
+    number = listed(spark, [(lang, i // 64, 1 << (i % 64) if i % 64 < 63 else -(1 << 63)) for i, lang in enumerate(languages)],
+                    pa.schema([("lang", pa.string()), ("word", pa.int32()), ("bit", pa.int64())]))
     counts = stored(gram_counts(docs))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rates = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))

@@ -6,10 +6,12 @@ import heapq
 from dataclasses import dataclass
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loamline.llm.numbering import RUN
 from loamline.llm.sharding import Feistel
+from loamline.llm.shared import listed
 
 
 @dataclass(frozen=True)
@@ -137,8 +139,9 @@ def mix(docs: DataFrame, weights, plan: Mix = Mix()) -> DataFrame:
     for s in dealt:
         a, b = Feistel(s.blocks, plan.seed).grid
         rows.append((s.source, s.size, s.target, s.blocks, a, b, list(s.picks)))
-    table = docs.sparkSession.createDataFrame(
-        rows, "_s string, source_size long, target double, _blocks long, _a long, _b long, _picks array<long>")
+    table = listed(docs.sparkSession, rows, pa.schema([
+        ("_s", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("_blocks", pa.int64()), ("_a", pa.int64()), ("_b", pa.int64()),
+        ("_picks", pa.list_(pa.int64()))]))
     joined = laid.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_s")))
     n = F.col("_blocks")
     last = F.col("begin") + F.col("size")

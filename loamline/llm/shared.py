@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from loamline.session import shared_folder
@@ -32,3 +33,9 @@ def small_batches(df: DataFrame) -> DataFrame:
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return df
+
+
+def listed(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """``rows`` of the driver as a table. From Arrow they stand in the plan; from Python rows, executors would start Python
+    workers of another kind to read them and keep these beside the others."""
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, row)) for row in rows], schema=schema))

@@ -290,12 +290,9 @@ def drop_repeats(docs: DataFrame, plan: Sparse = Sparse()) -> DataFrame:
     return cut.where(F.col("_cuts").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
-@F.pandas_udf(T.StringType())
-def _without(texts, cuts):
-    import pandas as pd
-
+def _cut_texts(texts, cuts):
     out = []
-    for text, spans in zip(texts, cuts):
+    for text, spans in zip(texts.to_pylist(), cuts.to_pylist()):
         if text is None or spans is None:
             out.append(text)
             continue
@@ -309,4 +306,9 @@ def _without(texts, cuts):
             at = max(at, end)
         pieces.append(data[at:])
         out.append(b"".join(pieces).decode())
-    return pd.Series(out, dtype=object)
+    return pa.array(out, pa.string())
+
+
+# Declared nondeterministic, or the filter on its result is pushed below it with a second call: each text cut twice, and a
+# second Python worker for every task.
+_without = F.arrow_udf(_cut_texts, T.StringType()).asNondeterministic()

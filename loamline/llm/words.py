@@ -12,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
-CHUNK = 1 << 20
+#: Bytes of text taken at once: each Python worker of an executor holds some ten arrays of eight bytes a byte over them.
+CHUNK = 1 << 18
 M64 = (1 << 64) - 1
 
 SPACE = np.zeros(256, dtype=bool)

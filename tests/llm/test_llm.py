@@ -327,3 +327,33 @@ def test_a_round_without_links_is_not_repeated(spark, monkeypatch):
     got = minhash.near_duplicates(docs(spark, [(i, t, "s", "en") for i, t in enumerate(texts)]), minhash.NearDup(shingle=1)).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i for i in range(12)}
     assert seen == [2, None, None]
+
+
+def test_texts_are_cut_by_one_python_worker_a_task(spark, capsys):
+    shared = prose(9, 60)
+    rows = [(1, prose(10, 90) + " " + shared, "a", "en"), (2, shared + " \u00e4 " + prose(11, 80), None, "en"), (3, shared, "a", "en"), (4, None, "a", "en")]
+    cut = suffixes.drop_repeats(docs(spark, rows))
+    cut.explain()
+    assert capsys.readouterr().out.count("EvalPython") == 1
+    assert {r["doc_id"]: r["text"] for r in cut.collect()} == {1: rows[0][1], 2: "\u00e4 " + prose(11, 80), 4: None}
+
+
+def test_tables_of_the_driver_start_no_python_worker(spark, monkeypatch):
+    made, plain = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **k: made.append(plain(*a, **k)) or made[-1])
+    table = spark.range(90).selectExpr("id as doc_id", "concat('some words of ', id % 7) as text", "if(id % 3 = 0, null, 's') as source",
+                                       "if(id % 2 = 0, 'en', 'de') as lang", "4L as size")
+    assert langid.identify(table).count() == 90
+    got = mixing.mix(table, mixing.cycle_weights).collect()
+    assert {(r["source"], r["source_size"], r["target"]) for r in got} == {("s", 240, 120.0), (None, 120, 240.0)}
+    plans = [df._jdf.queryExecution().toString() for df in made]
+    assert len(plans) == 2 and not any("ExistingRDD" in p or "LogicalRDD" in p for p in plans)
+
+
+def test_a_worker_holds_arrays_over_little_text_at_a_time(monkeypatch):
+    taken, texts = [], [prose(i, 400).encode() for i in range(900)]
+    plain = minhash.Words
+    monkeypatch.setattr(minhash, "Words", lambda part, lower: taken.append(sum(map(len, part))) or plain(part, lower))
+    sets = minhash.shingle_sets(texts, 5)
+    assert len(sets) == 900 and sum(taken) == sum(map(len, texts)) and max(taken) <= 1 << 18
+    assert all((a == minhash.shingle_sets([t], 5)[0]).all() for a, t in zip(sets[::100], texts[::100]))
