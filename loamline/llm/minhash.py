@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loamline.llm.components import components, joined
-from loamline.llm.shared import small_batches, stored
+from loamline.llm.shared import Scratch, small_batches, stored
 from loamline.llm.words import Words, chunks, mix, signed, to_bytes
 
 
@@ -276,17 +276,20 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
     Null and empty texts have no shingles and link with nothing. Rows that share a doc_id are one node. A null doc_id
     links with nothing, gets a null component and is kept. Other columns are not read.
     """
-    made = stored(sketches(small_batches(docs), plan))
+    scratch = Scratch()
+    made = scratch.stored(sketches(small_batches(docs), plan))
     classes = made.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    keyed = stored(made.join(classes, ["k1", "k2", "n_shingles"], "left").select(
+    keyed = scratch.stored(made.join(classes, ["k1", "k2", "n_shingles"], "left").select(
         "doc_id", "n_shingles", "rep", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("sig", "bands")]))
+    scratch.emptied(made)
     chosen = keyed.where("sig is not null").groupBy("rep").agg(F.min(F.struct("sig", "bands")).alias("s")).select("rep", "s.*")
-    buckets = stored(chosen.select("rep", F.posexplode("bands").alias("band", "key")))
+    buckets = scratch.stored(chosen.select("rep", F.posexplode("bands").alias("band", "key")))
     lead = buckets.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).where("lead < top")
-    shared = stored(buckets.join(lead, "key").select("band", "key", "rep", "lead"))
-    signatures = stored(chosen.select("rep", "sig").join(shared.select("rep").distinct(), "rep", "left_semi"))
+    shared = scratch.stored(buckets.join(lead, "key").select("band", "key", "rep", "lead"))
+    scratch.emptied(buckets)
+    signatures = scratch.stored(chosen.select("rep", "sig").join(shared.select("rep").distinct(), "rep", "left_semi"))
     pairs = shared.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    texts = stored(_texts(docs, shared))
+    texts = scratch.stored(_texts(docs, shared))
     tried = stored(_pruned(pairs, signatures, plan))
     links = stored(_verified(tried, texts, plan))
     same = keyed.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
@@ -298,7 +301,7 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
             inside = shared.join(reach.withColumnRenamed("node", "rep"), "rep", "left").select(
                 "band", "key", "rep", F.coalesce("component", "rep").alias("component"))
             mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-            members = stored(inside.join(mixed, "key").join(signatures, "rep"))
+            members = scratch.stored(inside.join(mixed, "key").join(signatures, "rep"))
             if members.isEmpty():
                 break
         if best is None:
@@ -312,7 +315,9 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
             done = best
         else:
             reach, done = stored(joined(reach, links)), 0
-    return keyed.select("doc_id", "n_shingles").join(reach.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+    sizes = stored(keyed.select("doc_id", "n_shingles"))
+    scratch.emptied()
+    return sizes.join(reach.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -26,6 +26,25 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one operator that are emptied once nothing reads them any more, so that their disk does not wait for the
+    application's end."""
+
+    def __init__(self):
+        self.paths: dict[DataFrame, str] = {}
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        path = new_folder(df.sparkSession)
+        out = stored(df, path)
+        self.paths[out] = path
+        return out
+
+    def emptied(self, *tables: DataFrame) -> None:
+        """The given tables, or all, lose their rows; no plan that is still to run may read them."""
+        for table in tables or list(self.paths):
+            table.sparkSession.range(0).write.mode("overwrite").parquet(self.paths.pop(table))
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``; from now on its session hands Python at most 1000 rows or 8 MB at a time, so that a worker's memory is
     bounded by its batch, or by one text where that is longer."""

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from loamline.llm.shared import small_batches, stored
+from loamline.llm.shared import Scratch, small_batches, stored
 from loamline.llm.words import Words, chunks, grams, mix, signed, to_bytes
 
 
@@ -218,11 +218,13 @@ def matches(docs: DataFrame, plan: Sparse = Sparse()) -> DataFrame:
     """Rows (doc, th, start, until, lead): the passages of ``least`` words from the words start to until on are in more than
     one document, and lead is the smallest document that has them."""
     keyed = _keyed(small_batches(docs).where("text is not null"))
-    kept = stored(anchors(keyed, plan))
+    scratch = Scratch()
+    kept = scratch.stored(anchors(keyed, plan))
     cells = F.ceil(F.col("n") / plan.cell).cast("int").alias("cells")
     repeated = kept.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", cells)
     at = kept.join(repeated, "key").groupBy("doc", "th").agg(F.collect_set(F.struct("pos", "cells")).alias("at"))
     found = stored(_neighbours(_contexts(keyed.join(at, ["doc", "th"]), plan), plan))
+    scratch.emptied()
     divided = found.where("salt >= 0")
     parts = stored(divided.groupBy("passage", "salt").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")))
     shared = parts.groupBy("passage").agg(F.min("lo").alias("lead"), F.max("hi").alias("_hi")).where("lead < _hi").drop("_hi")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamline.llm import classlm, components, langid, minhash, mixing, packing, quality, sharding, suffixes, urls, vectors
+from loamline.llm import classlm, components, langid, minhash, mixing, packing, quality, sharding, shared, suffixes, urls, vectors
 
 DOCS = "doc_id long, text string, source string, lang string, k1 string, band string"
 
@@ -357,3 +357,17 @@ def test_a_worker_holds_arrays_over_little_text_at_a_time(monkeypatch):
     sets = minhash.shingle_sets(texts, 5)
     assert len(sets) == 900 and sum(taken) == sum(map(len, texts)) and max(taken) <= 1 << 18
     assert all((a == minhash.shingle_sets([t], 5)[0]).all() for a, t in zip(sets[::100], texts[::100]))
+
+
+def test_tables_that_nothing_reads_any_more_are_emptied(spark, monkeypatch):
+    rng, base, made, plain = random.Random(9), prose(3, 80).split(), {}, shared.stored
+    texts = [" ".join(w if rng.random() > 0.02 else "x" + str(rng.randrange(999)) for w in base) for _ in range(12)] + [prose(4, 60), None]
+    table = docs(spark, [(i, t, "s", "en") for i, t in enumerate(texts)])
+    monkeypatch.setattr(shared, "stored", lambda df, path=None: made.setdefault(path, (df.columns, plain(df, path)))[1])
+    found = minhash.near_duplicates(table, minhash.NearDup(shingle=1))
+    spans = suffixes.repeated_spans(table)
+    left = [spark.read.parquet(path).count() for path in made]
+    assert ["doc_id", "n_shingles", "k1", "k2", "sig", "bands"] in [c for c, _ in made.values()] and ["rep", "text"] in [c for c, _ in made.values()]
+    assert ["key", "doc", "th", "pos"] in [c for c, _ in made.values()] and not any(left)
+    got = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    assert got == {**{i: 0 for i in range(12)}, 12: 12, 13: 13} and spans.count() > 0
