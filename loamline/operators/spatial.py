@@ -7,7 +7,7 @@ is spread over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +24,8 @@ MARGIN = 1e-9
 # Where the reference point of a cell lies in it: the fractions of two square roots, so that no line through round
 # coordinates meets it.
 REF_X, REF_Y = 2**0.5 - 1, 3**0.5 - 1
+# So many edges of one ring in a cell are tested without a lambda.
+FEW = 4
 
 
 def _edges(polygons: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -92,8 +94,43 @@ def _inside_cell(x, y, rx, ry) -> Column:
     return (odd(F.lit(0)) | on(F.lit(0))) & ~F.exists(holes, lambda h: odd(h) & ~on(h))
 
 
+def _few_edges(x, y) -> Column:
+    """``_inside_cell`` for at most ``FEW`` edges of one ring, from plain columns that are never null: with lambdas or arrays Spark
+    makes no code, or more than Java compiles. ``_rx``, ``_ry``: the reference point, ``_q``: the ring holds it."""
+    sides = [{c: F.col(f"_{c}{k}") for c in ("ax", "ay", "bx", "by")} for k in range(FEW)]
+    rx, ry = F.col("_rx"), F.col("_ry")
+    more = lambda c: F.when(F.col("_k") > 1, c).otherwise(False)
+    first, *others = [_crosses(x, y, rx, ry, *e.values()) for e in sides]
+    odd = (first != F.col("_q")) != more(reduce(lambda a, b: a != b, others))
+    first, *others = [_touches(x, y, e) for e in sides]
+    on = first | more(reduce(lambda a, b: a | b, others))
+    return (odd == (F.col("_ring") == 0)) | on
+
+
+def _cell_sums(leaves: DataFrame, places: DataFrame, cells: DataFrame, key: Sequence[str], x, y, rx, ry, sums: Sequence[str]) -> DataFrame:
+    """_pid, sums: of the places in each polygon. A cell without edges is all in or all out and adds its own sums; the places of
+    the others are tested one by one, and no pair leaves its task."""
+    added = lambda df: df.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in sums])
+    never_null = lambda c, other: F.coalesce(c, F.lit(other))
+    rings, held = F.array_distinct(F.transform("_es", lambda e: e["_ring"])), F.col("_in")
+    edged, ring = F.size("_es") > 0, F.get(rings, F.lit(0))
+    few = (F.size("_es") <= FEW) & (F.size(rings) == 1)
+    whole = leaves.where(~edged & F.array_contains(held, 0) & (F.size(held) == 1)).join(cells, list(key))
+    # An edge that is not there lies at no place: nothing crosses or touches it.
+    corner = {f"_{c}{k}": never_null(F.get("_es", F.lit(k))[c], float("inf")) for k in range(FEW) for c in ("ax", "ay", "bx", "by")}
+    # The outer ring has to hold the cell if no edge of it is there, and no other hole may.
+    plain = leaves.where(edged & few & ((ring == 0) | F.array_contains(held, 0)) & ~F.exists(held, lambda h: (h > 0) & (h != ring)))
+    plain = plain.select(*key, "_pid", F.size("_es").alias("_k"), never_null(ring, 0).alias("_ring"), never_null(F.array_contains(held, ring), False).alias("_q"),
+                         never_null(rx, 0.0).alias("_rx"), never_null(ry, 0.0).alias("_ry"), *[c.alias(n) for n, c in corner.items()])
+    spots = places.select(*key, never_null(x, 0.0).alias("_x"), never_null(y, 0.0).alias("_y"), *sums)
+    tested = plain.join(spots, list(key)).where(_few_edges(F.col("_x"), F.col("_y")))
+    rest = leaves.where(edged & ~few).join(places, list(key)).where(_inside_cell(x, y, rx, ry))
+    return reduce(DataFrame.unionByName, map(added, (whole, tested, rest)))
+
+
 def point_in_polygon_join(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str = "lat", step: float = 0.25,
-                          on: Sequence[str] = (), dense: int = 32, depth: int = 12) -> DataFrame:
+                          on: Sequence[str] = (), dense: int = 32, depth: int = 12, totals: Mapping[str, Column] | None = None,
+                          full: int = 1024) -> DataFrame:
     """Every (point, polygon) pair where the polygon holds the point; ``on`` adds equality keys.
 
     Edges, not rings, are dealt to the cells of a quadtree. The scan line of each grid row tells which cells have their
@@ -102,13 +139,23 @@ def point_in_polygon_join(points: DataFrame, polygons: DataFrame, lon: str = "lo
     reached from the old one in the same way, until it is sparse or ``depth`` cuts deep. So no row holds a ring, and a
     pair costs the edges of one cell. Cells without points are dropped at each level.
 
+    ``totals`` (name: column of the points) asks for the sums over the points of each polygon row in place of the pairs, whose
+    number grows with points times polygons. Points of one place are added up first, then those of each cell, and a cell
+    that lies in the polygon as a whole gives its sum. A cell with an edge is cut while it has more than ``full``
+    places, or a 64th of them if several rings or more than ``FEW`` edges meet there. So a polygon costs the cells
+    along its outline, whose number grows with the square root of the points. Polygon rows without a point are left out.
+
     Points with null coordinates are in no polygon; a polygon row without corners holds none.
     """
     on, key = list(on), [*on, "_cx", "_cy"]
     shapes = cut_lineage(polygons.withColumn("_pid", F.monotonically_increasing_id()))
     edges = _edges(shapes, [*on, "_pid"])
     width, x, y = step, F.col(lon), F.col(lat)
-    located = points.where(x.isNotNull() & y.isNotNull()).withColumns({"_cx": _cell(x, width), "_cy": _cell(y, width)})
+    located = points.where(x.isNotNull() & y.isNotNull())
+    sums = [f"_sum{i}" for i in range(len(totals or {}))]
+    if totals:
+        located = cut_lineage(located.groupBy(*on, x.alias(lon), y.alias(lat)).agg(*[F.sum(c).alias(s) for s, c in zip(sums, totals.values())]))
+    located = located.withColumns({"_cx": _cell(x, width), "_cy": _cell(y, width)})
     taken = located.select(*key).distinct()
     near = cut_lineage(_edge_cells(edges, width).join(taken, key, "left_semi"))
     runs = _row_crossings(edges, width, REF_Y).select(*on, "_pid", "_ring", "_cy", "_x")
@@ -121,13 +168,23 @@ def point_in_polygon_join(points: DataFrame, polygons: DataFrame, lon: str = "lo
     edge = F.struct("_ring", "ax", "ay", "bx", "by")
     for level in range(depth + 1):
         rx, ry = (F.col("_cx") + REF_X) * F.lit(width), (F.col("_cy") + REF_Y) * F.lit(width)
-        crowded = near.groupBy(*key, "_pid").agg(F.count("*").alias("_k")).where(F.col("_k") > dense).drop("_k")
-        crowded = cut_lineage(crowded) if level < depth else crowded.where("false")
         whole = [*key, "_pid"]
+        crowded = near.groupBy(*whole).agg(F.count("*").alias("_k"), F.min("_ring").alias("_r0"), F.max("_ring").alias("_r1"))
+        if totals:
+            cells = located.groupBy(*key).agg(F.count("*").alias("_m"), *[F.sum(s).alias(s) for s in sums])
+            few = (F.col("_k") <= FEW) & (F.col("_r0") == F.col("_r1"))
+            crowded = crowded.join(cells.select(*key, "_m"), key).where((F.col("_k") > dense) | (F.col("_m") > F.when(few, full).otherwise(full // 64)))
+        else:
+            crowded = crowded.where(F.col("_k") > dense)
+        crowded = crowded.select(*whole)
+        crowded = cut_lineage(crowded) if level < depth else crowded.where("false")
         leaves = near.join(crowded, whole, "left_anti").select(*whole, edge.alias("_e"), F.lit(None).cast("int").alias("_r")).unionByName(
             held.join(crowded, whole, "left_anti").select(*whole, F.lit(None).cast(near.select(edge.alias("_e")).schema["_e"].dataType).alias("_e"), F.col("_ring").alias("_r")))
         leaves = leaves.groupBy(*whole).agg(F.collect_list("_e").alias("_es"), F.collect_set("_r").alias("_in"))
-        hits.append(located.join(leaves, key).where(_inside_cell(x, y, rx, ry)).drop("_cx", "_cy", "_es", "_in"))
+        if totals:
+            hits.append(_cell_sums(leaves, located, cells, key, x, y, rx, ry, sums))
+        else:
+            hits.append(located.join(leaves, key).where(_inside_cell(x, y, rx, ry)).drop("_cx", "_cy", "_es", "_in"))
         if level == depth or crowded.isEmpty():
             break
         half = width / 2
@@ -139,8 +196,8 @@ def point_in_polygon_join(points: DataFrame, polygons: DataFrame, lon: str = "lo
         parts = sub(near)
         flip = _crosses((F.col("_nx") + REF_X) * F.lit(half), (F.col("_ny") + REF_Y) * F.lit(half), rx, ry, *map(F.col, ("ax", "ay", "bx", "by")))
         names = [*on, "_pid", "_ring", "_nx", "_ny"]
-        turns = parts.select(*names, flip.cast("int").alias("_t")).unionByName(sub(held).select(*names, F.lit(1).alias("_t")))
-        turned = turns.groupBy(*names).agg((F.sum("_t") % 2).alias("_t")).where("_t = 1").drop("_t")
+        turns = parts.where(flip).select(*names).unionByName(sub(held).select(*names))
+        turned = turns.groupBy(*names).agg((F.count("*") % 2).alias("_t")).where("_t = 1").drop("_t")
         moved = {"_nx": "_cx", "_ny": "_cy"}
         held = cut_lineage(turned.withColumnsRenamed(moved).join(taken, key, "left_semi"))
         cx, cy, reach = (F.col("_nx") + 0.5) * F.lit(half), (F.col("_ny") + 0.5) * F.lit(half), half / 2 + MARGIN
@@ -151,6 +208,8 @@ def point_in_polygon_join(points: DataFrame, polygons: DataFrame, lon: str = "lo
         near = cut_lineage(parts.where(meets).drop("_c", "_cx", "_cy").withColumnsRenamed(moved).join(taken, key, "left_semi"))
         width = half
     found = reduce(DataFrame.unionByName, hits)
+    if totals:
+        found = found.groupBy("_pid").agg(*[F.sum(s).alias(name) for s, name in zip(sums, totals)])
     return found.join(shapes.drop("rings", *on), "_pid").drop("_pid")
 
 

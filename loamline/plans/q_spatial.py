@@ -70,8 +70,8 @@ def _(t):
     outlines(t, path)
     shapes = R.polygon_rows(R.read_features(t.spark, path, StructType([])))
     # Points off the grid of the corners, so that none lies on a side but for rounding.
-    hits = S.point_in_polygon_join(t.pts.select("point_id", "lon", "lat"), shapes.select("id", "rings"))
-    return hits.groupBy("id").agg(F.count("*").alias("points"), F.sum("point_id").alias("ids"))
+    hits = S.point_in_polygon_join(t.pts.select("point_id", "lon", "lat"), shapes.select("id", "rings"), totals={"points": F.lit(1), "ids": F.col("point_id")})
+    return hits.groupBy("id").agg(F.sum("points").alias("points"), F.sum("ids").alias("ids"))
 
 
 KM = """2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(r.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(r.lat)) * pow(sin(radians(r.lon - p.lon) / 2), 2))))"""

@@ -111,6 +111,38 @@ def test_boundaries_belong_to_the_outer_ring_and_to_holes_sides(spark):
         assert {r.id for r in S.point_in_polygon_join(df, polygons, step=step, dense=2).collect()} == {"corner", "side", "top", "hole side", "in"}
 
 
+@pytest.mark.parametrize("step,dense,full,depth", [(0.25, 32, 1024, 12), (1.0, 8, 64, 4)])
+def test_sums_of_points_in_outlines_against_ray_casting(spark, step, dense, full, depth):
+    rng = random.Random(5)
+    shapes = [("lake", [star(100, 10, 300, rng), star(100, 10, 90, rng, 0.1, 0.3), star(100.2, 10.1, 40, rng, 0.05, 0.2)]), ("lake", [star(101, 11, 60, rng)]),
+              ("spike", [[(99.0, 9.0), (101.0, 9.001), (99.0, 9.002), (99.1, 9.001)]]), ("bow", [[(99.0, 9.0), (100.5, 10.5), (100.5, 9.0), (99.0, 10.5)]]),
+              ("box", [[(99.5, 9.5), (100.503, 9.5), (100.503, 10.497), (99.5, 10.497)], [(99.7, 9.7), (99.9, 9.7), (99.9, 9.9), (99.7, 9.9)]]),
+              ("tile", [[(100.01, 10.51), (100.03, 10.51), (100.03, 10.53), (100.01, 10.53)]]), ("far", [[(-50.0, -50.0), (-49.0, -50.0), (-50.0, -49.0)]]), ("none", [[]])]
+    points = [(i, rng.uniform(98.9, 101.9), rng.uniform(8.9, 11.9)) for i in range(900)]
+    points += [(2000 + i, 100.02 + rng.gauss(0, 0.01), 10.52 + rng.gauss(0, 0.01)) for i in range(400)]
+    points += [(3000 + i, 100.1, 10.6) for i in range(300)] + [(None, 100.1, 10.6), (None, 99.62, 9.6), (3999, None, 10.0), (4000, 100.0, None), (10, *points[10][1:])]
+    found = S.point_in_polygon_join(spark.createDataFrame(points, "id int, lon double, lat double"), spark.createDataFrame(
+        [(f"{n}{k}", [[{"x": x, "y": y} for x, y in ring] for ring in rings]) for k, (n, rings) in enumerate(shapes)], SHAPE),
+        step=step, dense=dense, full=full, depth=depth, totals={"points": F.lit(1), "ids": F.col("id")})
+    assert sorted(found.columns) == ["ids", "points", "poly"]
+    want = {}
+    for k, (n, rings) in enumerate(shapes):
+        held = [i for i, x, y in points if x is not None and y is not None and rings[0] and inside(x, y, rings[0]) and not any(inside(x, y, h) for h in rings[1:])]
+        if held:
+            want[f"{n}{k}"] = (len(held), sum(i for i in held if i is not None))
+    assert {r.poly: (r.points, r.ids) for r in found.collect()} == want and len(want) == 5
+
+
+def test_sums_count_boundaries_and_keep_keys_apart(spark):
+    rings = [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0)]]
+    places = [(4.0, 4.0), (0.0, 2.2), (3.3, 4.0), (1.0, 1.5), (1.5, 1.5), (3.0, 3.0), (4.0001, 2.0)]
+    df = spark.createDataFrame([(g, 10**i, x, y) for g in "ab" for i, (x, y) in enumerate(places)], "g string, id long, lon double, lat double")
+    polygons = spark.createDataFrame([(g, n, [[{"x": x, "y": y} for x, y in ring] for ring in rings]) for g, n in [("a", "s"), ("a", "t"), ("c", "u")]], "g string, " + SHAPE)
+    for step, full in ((1.0, 1024), (10.0, 1)):
+        found = S.point_in_polygon_join(df, polygons, step=step, on=["g"], dense=2, full=full, depth=3, totals={"ids": F.col("id")})
+        assert {(r.poly, r.ids) for r in found.collect()} == {("s", 101111), ("t", 101111)}
+
+
 def test_scan_lines_give_the_cells_of_an_outline(spark):
     rng = random.Random(11)
     shapes = [("lake", [star(5, 5, 400, rng), star(5, 5, 80, rng, 0.1, 0.3)]), ("box", [[(1.05, 1.05), (2.0, 1.05), (2.0, 1.95), (1.05, 1.95)]]),
