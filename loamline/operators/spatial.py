@@ -182,7 +182,8 @@ def point_in_polygon_join(points: DataFrame, polygons: DataFrame, lon: str = "lo
             held.join(crowded, whole, "left_anti").select(*whole, F.lit(None).cast(near.select(edge.alias("_e")).schema["_e"].dataType).alias("_e"), F.col("_ring").alias("_r")))
         leaves = leaves.groupBy(*whole).agg(F.collect_list("_e").alias("_es"), F.collect_set("_r").alias("_in"))
         if totals:
-            hits.append(_cell_sums(leaves, located, cells, key, x, y, rx, ry, sums))
+            # Written once for the three joins, which also keeps their plans short.
+            hits.append(_cell_sums(cut_lineage(leaves), located, cells, key, x, y, rx, ry, sums))
         else:
             hits.append(located.join(leaves, key).where(_inside_cell(x, y, rx, ry)).drop("_cx", "_cy", "_es", "_in"))
         if level == depth or crowded.isEmpty():
